@@ -168,3 +168,75 @@ oracle("tfidf_terms", ["confidences"], f"""SELECT CAST(row_number() OVER (ORDER
 round(ln((1.0 + N) / (1.0 + df)) + 1.0, 6) AS idf
 FROM ({_DF_SQL.format(src=TARGET_DOCS)}) d, (SELECT CAST(count(*) AS DOUBLE) AS N FROM ({TARGET_DOCS}) x) c
 ORDER BY rank LIMIT 400""")
+
+# --------------------------------------------------------------- status ---
+PHOTOS = ("SELECT tweet_id, list(media_url ORDER BY pos) AS urls FROM media "
+          "WHERE type = 'photo' GROUP BY tweet_id")
+PHOTO_SLOTS = ("SELECT tweet_id, media_url, pos, "
+               "row_number() OVER (PARTITION BY tweet_id ORDER BY pos) - 1 AS slot "
+               "FROM media WHERE type = 'photo'")
+NOT_RT = "NOT coalesce(starts_with(s.text, 'RT'), false)"
+RESOLVED = ("NOT EXISTS (SELECT 1 FROM media m WHERE m.tweet_id = s.tweet_id AND m.type = 'photo' "
+            "AND m.media_url NOT IN (SELECT media_url FROM assets))")
+_SV = ["statuses", "media", "assets"]
+REPLY_COLS = """CAST(s.in_reply_to_status_id AS VARCHAR) AS in_reply_to_status_id,
+CASE WHEN s.in_reply_to_status_id IS NOT NULL THEN CAST(s.user_id AS VARCHAR) END AS in_reply_to_user_id,
+CASE WHEN s.in_reply_to_status_id IS NOT NULL THEN 'user' || CAST(s.user_id AS VARCHAR) END AS in_reply_to_screen_name"""
+PLACE_COLS = """s.longitude, s.latitude, s.place_full_name, s.place_type, lower(s.place_full_name) AS place_id,
+'https://places.example/' || lower(s.place_full_name) AS place_url"""
+
+oracle("full_text_flatten", ["statuses"], f"""SELECT CAST(s.user_id AS VARCHAR) AS user_id, CAST(s.tweet_id AS VARCHAR) AS tweet_id,
+coalesce(s.full_text, s.text) AS text, s.created_at, s.source, s.full_text IS NOT NULL AS truncated,
+{REPLY_COLS}, {PLACE_COLS}, s.lang, s.protected FROM statuses s""")
+oracle("drop_retweets", ["statuses"], f"SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id, s.text FROM statuses s WHERE {NOT_RT}")
+oracle("photo_urls", ["statuses", "media"], f"""SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id,
+CAST(coalesce(len(p.urls), 0) AS BIGINT) AS n_photos, p.urls[1] AS photo_0, p.urls[2] AS photo_1,
+p.urls[3] AS photo_2, p.urls[4] AS photo_3, coalesce(array_to_string(p.urls, ' '), '') AS all_photos
+FROM statuses s LEFT JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id""")
+_HASHED = (f"SELECT q.tweet_id, q.slot, q.media_url, sha256(concat_ws('/', CAST(q.tweet_id AS VARCHAR), "
+           f"CAST(q.slot AS VARCHAR), q.media_url)) AS h FROM ({PHOTO_SLOTS}) q "
+           f"WHERE q.slot < 4 AND q.tweet_id IN (SELECT tweet_id FROM statuses)")
+oracle("asset_paths", ["statuses", "media"], f"""SELECT CAST(tweet_id AS VARCHAR) AS tweet_id, CAST(slot AS INTEGER) AS slot, media_url,
+'data/images/' || h || '.jpg' AS image_file, 'data/images/' || h || '_marked.jpg' AS marked_up_image_file,
+'data/confidences/' || h || '.json' AS csv_to_json_file_path FROM ({_HASHED}) a""")
+oracle("all_media_resolved", _SV, f"SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id FROM statuses s WHERE {RESOLVED}")
+oracle("has_asset", _SV, f"""SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id FROM statuses s JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id
+WHERE p.urls[1] IN (SELECT media_url FROM assets)""")
+oracle("has_asset_by_column", _SV, f"""SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id FROM statuses s LEFT JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id
+WHERE p.urls[2] IS NULL OR p.urls[2] IN (SELECT media_url FROM assets)""")
+oracle("distinct_media", ["statuses", "media"], """SELECT DISTINCT CAST(user_id AS VARCHAR) AS user_id, media_url FROM (
+SELECT s.user_id, m.media_url, row_number() OVER (PARTITION BY s.user_id ORDER BY s.tweet_id DESC, m.pos) AS rn
+FROM statuses s JOIN media m ON m.tweet_id = s.tweet_id WHERE m.type = 'photo') t WHERE rn <= 3""")
+oracle("row_limit", ["statuses"], f"""SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id, s.created_at FROM statuses s WHERE {NOT_RT}
+ORDER BY s.created_at, s.tweet_id LIMIT 250""")
+oracle("photo_limit", ["statuses", "media"], f"""SELECT tweet_id, photos_so_far FROM (
+SELECT CAST(s.tweet_id AS VARCHAR) AS tweet_id,
+CAST(sum(coalesce(len(p.urls), 0)) OVER (ORDER BY s.created_at, s.tweet_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS photos_so_far
+FROM statuses s LEFT JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id WHERE {NOT_RT}) t WHERE photos_so_far <= 500""")
+
+_SLOT_COLS = ",\n".join(
+    [f"'data/images/' || a.h[{i + 1}] || '.jpg' AS image_file_{i}" for i in range(4)]
+    + [f"'data/images/' || a.h[{i + 1}] || '_marked.jpg' AS marked_up_image_file_{i}" for i in range(4)]
+    + [f"'data/confidences/' || a.h[{i + 1}] || '.json' AS csv_to_json_file_path_{i}" for i in range(4)])
+COLLECTED_SQL = f"""SELECT CAST(s.user_id AS VARCHAR) AS user_id, CAST(s.tweet_id AS VARCHAR) AS tweet_id,
+coalesce(s.full_text, s.text) AS text,
+{_SLOT_COLS},
+s.created_at, s.source, s.full_text IS NOT NULL AS truncated, {REPLY_COLS}, {PLACE_COLS},
+CAST(0 AS BIGINT) AS quote_count, CAST(0 AS BIGINT) AS reply_count, CAST(0 AS BIGINT) AS retweet_count,
+CAST(0 AS BIGINT) AS favorite_count, s.lang
+FROM statuses s LEFT JOIN (SELECT tweet_id, list(h ORDER BY slot) AS h FROM ({_HASHED}) x GROUP BY tweet_id) a
+  ON a.tweet_id = s.tweet_id
+WHERE {NOT_RT} AND {RESOLVED}"""
+oracle("collected", _SV, COLLECTED_SQL)
+oracle("union_runs", _SV, f"SELECT tweet_id, user_id, created_at, image_file_0 FROM ({COLLECTED_SQL}) c")
+
+TRACKING = ["#src3", "@Purchase", "thon thth", "Elle de", "lost words", "  ",
+            "@view #src7", "ble", "@mail5", "#"]
+_PHRASES = ("SELECT trim(phrase) AS phrase, list_distinct(" + tokens_expr("trim(phrase)") + ") AS terms FROM (VALUES "
+            + ", ".join(f"({sq(p)})" for p in TRACKING) + ") v(phrase) WHERE trim(phrase) <> ''")
+TRACK_PAIRS = f"""SELECT t.tweet_id, p.phrase FROM
+(SELECT s.tweet_id, {tokens_expr('coalesce(s.full_text, s.text)')} AS tok FROM statuses s) t, ({_PHRASES}) p
+WHERE len(p.terms) > 0 AND list_has_all(t.tok, p.terms)"""
+oracle("track_filter_small", ["statuses"], TRACK_PAIRS)
+oracle("track_filter_indexed", ["statuses"], TRACK_PAIRS)
+oracle("track_filter", ["statuses"], f"SELECT tweet_id, count(*) AS n_phrases FROM ({TRACK_PAIRS}) x GROUP BY tweet_id")

@@ -106,8 +106,12 @@ def nested_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("screen_name"),
                  F.col("protected").alias("protected")).alias("user"),
         F.col("in_reply_to_status_id").cast("string").alias("in_reply_to_status_id_str"),
-        F.lit(None).cast("string").alias("in_reply_to_user_id_str"),
-        F.lit(None).cast("string").alias("in_reply_to_screen_name"),
+        # replies continue the author's own thread
+        F.when(F.col("in_reply_to_status_id").isNotNull(), F.col("user_id").cast("string"))
+         .alias("in_reply_to_user_id_str"),
+        F.when(F.col("in_reply_to_status_id").isNotNull(),
+               F.concat(F.lit("user"), F.col("user_id").cast("string")))
+         .alias("in_reply_to_screen_name"),
         F.when(F.col("longitude").isNotNull(),
                F.struct(F.lit("Point").alias("type"),
                         F.array("longitude", "latitude").alias("coordinates"))).alias("coordinates"),
@@ -119,10 +123,10 @@ def nested_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
                F.struct(F.col("full_text").alias("full_text"))).alias("extended_tweet"),
         ents.alias("extended_entities"),
         ents.alias("entities"),
-        F.lit(None).cast("long").alias("quote_count"),
-        F.lit(None).cast("long").alias("reply_count"),
-        F.lit(None).cast("long").alias("retweet_count"),
-        F.lit(None).cast("long").alias("favorite_count"),
+        F.lit(0).cast("long").alias("quote_count"),
+        F.lit(0).cast("long").alias("reply_count"),
+        F.lit(0).cast("long").alias("retweet_count"),
+        F.lit(0).cast("long").alias("favorite_count"),
     ).select(*[F.col(f.name).cast(f.dataType) for f in schemas.STATUS.fields]))
 
 
