@@ -240,3 +240,45 @@ WHERE len(p.terms) > 0 AND list_has_all(t.tok, p.terms)"""
 oracle("track_filter_small", ["statuses"], TRACK_PAIRS)
 oracle("track_filter_indexed", ["statuses"], TRACK_PAIRS)
 oracle("track_filter", ["statuses"], f"SELECT tweet_id, count(*) AS n_phrases FROM ({TRACK_PAIRS}) x GROUP BY tweet_id")
+
+# ------------------------------------------------------------ detection ---
+DET = """SELECT CAST(floor(vec_id / 10) AS BIGINT) AS image_id, vec_id AS pos, 640 AS w, 480 AS h,
+0.5 + CAST(embedding[1] AS DOUBLE) AS cx, 0.5 + CAST(embedding[2] AS DOUBLE) AS cy,
+0.2 + abs(CAST(embedding[3] AS DOUBLE)) AS bw, 0.2 + abs(CAST(embedding[4] AS DOUBLE)) AS bh,
+list_transform(embedding[6:64], lambda v: abs(CAST(v AS DOUBLE))) AS scores FROM embeddings"""
+DEC = f"""SELECT image_id, pos, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS class_id,
+list_max(scores) AS confidence, CAST(trunc(cxi - bwi / 2.0) AS INTEGER) AS x, CAST(trunc(cyi - bhi / 2.0) AS INTEGER) AS y,
+bwi AS bw, bhi AS bh FROM (SELECT *, CAST(trunc(cx * w) AS INTEGER) AS cxi, CAST(trunc(cy * h) AS INTEGER) AS cyi,
+CAST(trunc(bw * w) AS INTEGER) AS bwi, CAST(trunc(bh * h) AS INTEGER) AS bhi FROM ({DET}) d0) d1"""
+
+
+def _iou(a: str, b: str) -> str:
+    inter = (f"(CAST(greatest(0, least({a}.x + {a}.bw, {b}.x + {b}.bw) - greatest({a}.x, {b}.x)) AS DOUBLE) * "
+             f"CAST(greatest(0, least({a}.y + {a}.bh, {b}.y + {b}.bh) - greatest({a}.y, {b}.y)) AS DOUBLE))")
+    union = f"(CAST({a}.bw AS DOUBLE) * {a}.bh + CAST({b}.bw AS DOUBLE) * {b}.bh - {inter})"
+    return f"CAST(1.0 - (1.0 - CASE WHEN {union} > 0 THEN {inter} / {union} ELSE 0.0 END) AS REAL)"
+
+
+KEPT = f"""SELECT image_id, CASE WHEN cand IS NULL THEN [] ELSE list_reduce(cand,
+  lambda acc, c: CASE WHEN list_bool_or(list_transform(acc, lambda k: {_iou('k', 'c')} > CAST(0.3 AS REAL))) THEN acc
+                      ELSE list_append(acc, c) END, cand[1:0]) END AS kept FROM (
+SELECT image_id, list(struct_pack(pos := pos, class_id := class_id, confidence := confidence, x := x, y := y, bw := bw, bh := bh)
+  ORDER BY confidence DESC, pos) FILTER (WHERE confidence > 0.3) AS cand
+FROM ({DEC}) d GROUP BY image_id) g"""
+KEPT_ROWS = f"""SELECT image_id, CAST(keep_rank AS INTEGER) AS keep_rank, b.pos AS pos, b.class_id AS class_id,
+b.confidence AS confidence, b.x AS x, b.y AS y, b.bw AS bw, b.bh AS bh FROM (
+SELECT image_id, unnest(kept) AS b, generate_subscripts(kept, 1) - 1 AS keep_rank FROM ({KEPT}) k WHERE len(kept) > 0) u"""
+
+oracle("best_class", [], f"SELECT pos, class_id, confidence FROM ({DEC}) d")
+oracle("decode_detections", [], f"SELECT * FROM ({DEC}) d WHERE confidence > 0.3")
+oracle("suppress_overlaps", [], KEPT_ROWS)
+oracle("confidence_map", [], f"""SELECT i.image_id, l.label, coalesce(string_agg(printf('%.6f', r.confidence), ',' ORDER BY r.keep_rank), '') AS confidences
+FROM (SELECT DISTINCT image_id FROM ({DET}) d) i
+CROSS JOIN (SELECT CAST(range AS INTEGER) AS class_id, printf('c%02d', range) AS label FROM range(59)) l
+LEFT JOIN ({KEPT_ROWS}) r ON r.image_id = i.image_id AND r.class_id = l.class_id
+GROUP BY i.image_id, l.label""")
+oracle("caption_label", [], f"""SELECT image_id, pos, printf('%s: %.4f', printf('c%02d', class_id), confidence) AS caption
+FROM ({KEPT_ROWS}) r""")
+_W = [((i * 7) % 13 - 6) / 10.0 for i in range(64)]
+oracle("score_images", [], "SELECT vec_id, label, round(" + " + ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) * {w!r}" for i, w in enumerate(_W)) + ", 6) AS score FROM embeddings")
