@@ -282,3 +282,49 @@ FROM ({KEPT_ROWS}) r""")
 _W = [((i * 7) % 13 - 6) / 10.0 for i in range(64)]
 oracle("score_images", [], "SELECT vec_id, label, round(" + " + ".join(
     f"CAST(embedding[{i + 1}] AS DOUBLE) * {w!r}" for i, w in enumerate(_W)) + ", 6) AS score FROM embeddings")
+
+# ---------------------------------------------------------------- graph ---
+CAPPED = ("SELECT src, dst, nbr_rank FROM (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src "
+          "ORDER BY (dst * 31 + src * 17) % 151, dst) AS BIGINT) AS nbr_rank FROM edges) e WHERE nbr_rank <= 2")
+USER_IMAGES = """SELECT u.user_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_images
+FROM (SELECT user_id, bool_or(protected) AS protected FROM statuses GROUP BY user_id) u
+LEFT JOIN (SELECT user_id, count(DISTINCT media_url) AS n FROM (
+  SELECT s.user_id, m.media_url, row_number() OVER (PARTITION BY s.user_id ORDER BY s.tweet_id DESC, m.pos) AS rn
+  FROM statuses s JOIN media m ON m.tweet_id = s.tweet_id WHERE m.type = 'photo' AND NOT s.protected) t
+  WHERE rn <= 3 GROUP BY user_id) c ON c.user_id = u.user_id"""
+oracle("cap_neighbours", ["edges"], CAPPED)
+oracle("user_images", ["statuses", "media"], USER_IMAGES)
+oracle("follow_list", ["edges"], """SELECT user_id, kind, other, rank FROM (
+SELECT src AS user_id, 'followers' AS kind, dst AS other,
+  CAST(row_number() OVER (PARTITION BY src ORDER BY (dst * 31 + src * 17) % 151, dst) AS BIGINT) AS rank FROM edges
+UNION ALL
+SELECT dst AS user_id, 'following' AS kind, src AS other,
+  CAST(row_number() OVER (PARTITION BY dst ORDER BY (dst * 31 + src * 17) % 151, src) AS BIGINT) AS rank FROM edges) f
+WHERE rank <= 3""")
+oracle("snowball_depths", ["edges"], f"""SELECT * FROM (WITH RECURSIVE capped AS ({CAPPED}),
+bfs(user_id, depth) AS (SELECT CAST(1 AS BIGINT), 0 UNION
+  SELECT c.dst, b.depth + 1 FROM bfs b JOIN capped c ON c.src = b.user_id
+  WHERE b.depth < (SELECT count(DISTINCT src) + 1 FROM edges))
+SELECT user_id, CAST(min(depth) AS INTEGER) AS depth FROM bfs GROUP BY user_id) q""")
+
+
+def _levels_sql(levels: int = 30) -> str:
+    """Breadth-first levels unrolled: level d from level d-1 and everything
+    visited before; order inside a level by (parent order, neighbour rank)."""
+    parts = ["L0 AS MATERIALIZED (SELECT CAST(1 AS BIGINT) AS user_id, 0 AS depth, CAST(0 AS BIGINT) AS vo)",
+             "V0 AS MATERIALIZED (SELECT * FROM L0)"]
+    for d in range(1, levels + 1):
+        parts.append(
+            f"L{d} AS MATERIALIZED (SELECT dst AS user_id, {d} AS depth, "
+            f"CAST((SELECT count(*) FROM V{d - 1}) + row_number() OVER (ORDER BY k) - 1 AS BIGINT) AS vo FROM "
+            f"(SELECT c.dst, min(p.vo * 1000 + c.nbr_rank) AS k FROM L{d - 1} p JOIN capped c ON c.src = p.user_id "
+            f"WHERE c.dst NOT IN (SELECT user_id FROM V{d - 1}) GROUP BY c.dst) x)")
+        parts.append(f"V{d} AS MATERIALIZED (SELECT * FROM V{d - 1} UNION ALL SELECT * FROM L{d})")
+    return ",\n".join(parts) + f"\nSELECT * FROM V{levels}"
+
+
+ORACLE["snowball_sample"] = with_views(["statuses", "media", "edges"], f"""SELECT user_id, depth, visit_order, n_images, images_before FROM (
+SELECT v.user_id, CAST(v.depth AS INTEGER) AS depth, v.vo AS visit_order, CAST(coalesce(i.n_images, 0) AS BIGINT) AS n_images,
+  CAST(coalesce(sum(coalesce(i.n_images, 0)) OVER (ORDER BY v.vo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS images_before
+FROM (WITH capped AS ({CAPPED}), {_levels_sql()}) v LEFT JOIN ({USER_IMAGES}) i ON i.user_id = v.user_id) s
+WHERE images_before < 40""")
