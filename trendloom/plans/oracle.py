@@ -328,3 +328,34 @@ SELECT v.user_id, CAST(v.depth AS INTEGER) AS depth, v.vo AS visit_order, CAST(c
   CAST(coalesce(sum(coalesce(i.n_images, 0)) OVER (ORDER BY v.vo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS images_before
 FROM (WITH capped AS ({CAPPED}), {_levels_sql()}) v LEFT JOIN ({USER_IMAGES}) i ON i.user_id = v.user_id) s
 WHERE images_before < 40""")
+
+# ---------------------------------------------------------------- pages ---
+oracle("page_meta", ["post_pages"], """SELECT page_id,
+nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS og_image,
+nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM post_pages""")
+oracle("page_links", ["post_pages"], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
+SELECT page_id, unnest(l[1:10]) AS link, generate_subscripts(l[1:10], 1) - 1 AS pos FROM (
+SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM post_pages) a) b""")
+oracle("page_jpg_links", ["post_pages"], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
+SELECT page_id, unnest(l[1:10]) AS link, generate_subscripts(l[1:10], 1) - 1 AS pos FROM (
+SELECT page_id, list_filter(regexp_extract_all(html, 'content="([^"]*)"', 1), lambda u: regexp_matches(u, '\\.jpg$')) AS l
+FROM post_pages) a WHERE len(l) > 0) b""")
+oracle("page_post_count", ["post_pages"], """SELECT page_id, c AS post_count, least(CAST(100 AS BIGINT), c) AS n_to_fetch FROM (
+SELECT page_id, TRY_CAST(nullif(regexp_extract(html, '(?:edge_hashtag_to_media|edge_owner_to_timeline_media)":[{]"count":([0-9]+)', 1), '') AS BIGINT) AS c
+FROM post_pages) p""")
+TARGET_PLAN = """SELECT query_id, query, crawl_type,
+CASE WHEN starts_with(query, '#') THEN 'hashtag' ELSE 'user' END AS kind,
+'https://photos.example/' || CASE WHEN starts_with(query, '#') THEN 'explore/tags/' || regexp_replace(query, '^#+|#+$', '', 'g') ELSE query END AS url,
+CASE WHEN starts_with(query, '#') THEN regexp_replace(query, '^#+', '') || '.hashtag' ELSE query END AS dir_name
+FROM queries"""
+oracle("target_plan", ["queries"], TARGET_PLAN)
+oracle("route_by_kind", ["queries"], f"""SELECT query_id, CASE WHEN crawl_type = 'photos' THEN 'posts'
+WHEN crawl_type IN ('followers', 'following') AND kind = 'hashtag' THEN 'invalid'
+WHEN crawl_type IN ('followers', 'following') THEN 'follow' ELSE 'unknown' END AS route FROM ({TARGET_PLAN}) t""")
+oracle("first_line", [], "SELECT conv_id, turn, split_part(text, chr(10), 1) AS first_line FROM conversations")
+oracle("first_n_posts", [], """SELECT conv_id, turn, role, rank FROM (SELECT conv_id, turn, role,
+CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS rank FROM conversations) c WHERE rank <= 3""")
+oracle("zip_posts", [], """SELECT u.conv_id, u.i AS pos, u.text AS prompt, a.text AS reply FROM
+(SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS i FROM conversations WHERE role = 'user') u
+JOIN (SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS i FROM conversations WHERE role = 'assistant') a
+ON a.conv_id = u.conv_id AND a.i = u.i""")
