@@ -25,5 +25,5 @@ def register(name: str):
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     # importing the modules fills QUERIES
-    from trendloom.plans import q_detect, q_graph, q_pages, q_status, q_terms  # noqa: F401
+    from trendloom.plans import q_detect, q_graph, q_io, q_pages, q_status, q_terms  # noqa: F401
     return dict(QUERIES)

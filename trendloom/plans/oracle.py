@@ -359,3 +359,21 @@ oracle("zip_posts", [], """SELECT u.conv_id, u.i AS pos, u.text AS prompt, a.tex
 (SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS i FROM conversations WHERE role = 'user') u
 JOIN (SELECT conv_id, text, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS i FROM conversations WHERE role = 'assistant') a
 ON a.conv_id = u.conv_id AND a.i = u.i""")
+
+# ----------------------------------------------------- sinks and streams ---
+oracle("csv_round_trip", _SV, COLLECTED_SQL)
+ORACLE["write_tracking"] = f"SELECT term FROM ({ORACLE['trending_terms']}) t"
+oracle("rewrite_table", _SV, f"SELECT tweet_id, image_file_0 FROM ({COLLECTED_SQL}) c WHERE image_file_0 IS NOT NULL")
+oracle("user_partitions", ["statuses", "media"], f"""SELECT DISTINCT s.user_id, 'user' || CAST(s.user_id AS VARCHAR) AS screen_name,
+s.protected, i.n_images FROM statuses s JOIN ({USER_IMAGES}) i ON i.user_id = s.user_id""")
+oracle("posts_sink", ["post_pages"], """SELECT regexp_extract(url, '//([^/:]+)', 1) AS query_dir,
+'./data/' || regexp_extract(url, '//([^/:]+)', 1) || '/images/' || sha256(link) || '.jpg' AS imagefile,
+regexp_extract(html, '<title>([^<]*)</title>', 1) AS caption FROM (
+SELECT url, html, nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS link FROM post_pages) p
+WHERE link IS NOT NULL""")
+oracle("confidence_json", [], f"""SELECT i.image_id, coalesce(bool_or(r.class_id = 7 AND r.confidence > 0.3), false) AS has_target,
+CAST(59 AS BIGINT) AS n_labels FROM (SELECT DISTINCT image_id FROM ({DET}) d) i LEFT JOIN ({KEPT_ROWS}) r ON r.image_id = i.image_id
+GROUP BY i.image_id""")
+oracle("collect_stream", _SV, COLLECTED_SQL)
+oracle("stop_at_limit", _SV, f"SELECT tweet_id, created_at FROM ({COLLECTED_SQL}) c ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300")
+oracle("resume", _SV, f"SELECT tweet_id, user_id, image_file_0 FROM ({COLLECTED_SQL}) c")
