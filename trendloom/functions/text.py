@@ -58,10 +58,12 @@ def ngrams(tokens, n: int) -> Column:
     tokens = _c(tokens)
     if n == 1:
         return F.coalesce(tokens, F.array().cast("array<string>"))
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - n),
-        lambda i: F.array_join(F.slice(tokens, i + 1, n), " "),
-    )
+    # gram i = tokens[i] + ' ' + ... + tokens[i+n-1]: zip n shifted slices of
+    # equal length (size - n + 1); no per-gram array is built.
+    k = F.size(tokens) - n + 1
+    grams = F.slice(tokens, 1, k)
+    for j in range(1, n):
+        grams = F.zip_with(grams, F.slice(tokens, j + 1, k), lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(tokens) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 

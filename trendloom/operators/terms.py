@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.stopwords import ENGLISH_STOP_WORDS
 from trendloom.functions.text import clean_tokens, ngrams_range
+from trendloom.session import checkpoint_dir
 
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -61,9 +62,20 @@ def total_scalar(counts: DataFrame) -> Column:
 
 
 def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
-    """A4: (term, n, tf) with tf = n / total."""
+                   stop_words=ENGLISH_STOP_WORDS, materialize: bool = True) -> DataFrame:
+    """A4: (term, n, tf) with tf = n / total.
+
+    The total needs every count, and a scalar subquery over the same
+    aggregate would tokenize the texts a second time (the subquery's
+    exchange is not shared with the main plan).  So the aggregated counts
+    - one row per term, far smaller than the texts - are written once as a
+    reliable checkpoint in the shared checkpoint folder; the total and the
+    tf column both read that.
+    """
     counts = term_counts(docs, id_col, text_col, stop_words)
+    if materialize:
+        checkpoint_dir(counts.sparkSession)
+        counts = counts.checkpoint(eager=True)
     return counts.withColumn("tf", F.col("n").cast("double") / total_scalar(counts).cast("double"))
 
 

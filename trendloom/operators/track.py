@@ -25,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.functions.plan import with_computed
 from trendloom.functions.text import clean_tokens, phrase_terms
 
 SMALL_LIST_MAX = 1000          # phrases inlined as literals up to this
@@ -48,7 +49,8 @@ def phrase_table(phrases: DataFrame) -> DataFrame:
 
 def _tokens(statuses: DataFrame, id_col: str, text_col) -> DataFrame:
     text = F.col(text_col) if isinstance(text_col, str) else text_col
-    return statuses.select(F.col(id_col).alias("_id"), clean_tokens(text).alias("_tok"))
+    return with_computed(statuses.select(F.col(id_col).alias("_id"), text.alias("_text")),
+                         "_tok", clean_tokens("_text")).drop("_text")
 
 
 def match_phrases_small(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
@@ -104,8 +106,7 @@ def track_filter(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_i
         if not rows:
             return statuses.limit(0).withColumn("n_phrases", F.lit(0))
         lit_phrases = F.array(*[F.array(*[F.lit(t) for t in r["terms"]]) for r in rows])
-        tok = clean_tokens(text)
-        s = statuses.withColumn("_tok", tok)
+        s = with_computed(statuses, "_tok", clean_tokens(text))
         cnt = F.size(F.filter(lit_phrases, lambda p: F.forall(
             p, lambda t: F.array_contains(F.col("_tok"), t))))
         return (s.withColumn("n_phrases", cnt.cast("long")).where(F.col("n_phrases") > 0)
