@@ -29,7 +29,7 @@ _BOX = "struct<k:double,pos:bigint,confidence:double,class_id:int,x:int,y:int,bw
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Class names, one per line; position (0-based) is the class id.
     A single text file keeps line order within its one split."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     lines = F.split(F.regexp_replace(F.col("value"), r"\n$", ""), "\n")
     return df.select(F.posexplode(lines).alias("class_id", "label")).select(
         F.col("class_id").cast("int"), "label")

@@ -5,7 +5,9 @@ A running sum over a global order written as one ``Window.orderBy`` with no
 
 1. ``repartitionByRange`` on (group, order) keys: sampled bounds, so every
    partition holds a contiguous, balanced key range - also when one group
-   holds a third of all rows (that group spans several partitions).
+   holds a third of all rows (that group spans several partitions).  The
+   partition id is recorded and the result checkpointed, because sampled
+   bounds may differ between two executions of the same exchange.
 2. a window inside (partition id, group): each piece is one range partition.
 3. per (partition id, group) totals - one row per piece, not per row - and
    an exclusive running sum of those totals per group, ordered by partition
@@ -23,6 +25,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.session import checkpoint_dir
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -41,6 +45,12 @@ def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence
     base = df.withColumn("_v", _col(value))
     ranged = (base.repartitionByRange(p, *[F.col(c) for c in part], *order)
                   .withColumn("_pid", F.spark_partition_id()))
+    # Range bounds come from sampling and are not guaranteed to be equal in
+    # two executions of the exchange, while both branches below must see
+    # the same partition of every row: assign it once and materialise it
+    # (reliable checkpoint in the shared folder, also a lineage cut).
+    checkpoint_dir(spark)
+    ranged = ranged.checkpoint(eager=True)
     w_local = (Window.partitionBy("_pid", *part).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     local = ranged.withColumn("_loc", F.sum("_v").over(w_local))

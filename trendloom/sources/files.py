@@ -57,7 +57,7 @@ def read_confidence_docs(spark: SparkSession, path: str, base_dir: str | None =
     """One JSON object per file (label -> list of confidences) as
     (path, detected).  ``path`` is relative to ``base_dir`` when given, so it
     joins the relative paths stored in the collected table."""
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     full = F.col("_metadata.file_path")
     rel = full
     if base_dir is not None:
@@ -106,7 +106,7 @@ def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     per page (url = file path)."""
     if fmt == "parquet":
         return spark.read.parquet(path).select("page_id", "url", "html")
-    df = spark.read.option("wholetext", True).text(path)
+    df = spark.read.text(path, wholetext=True)
     return df.select(F.xxhash64(F.col("_metadata.file_path")).alias("page_id"),
                      F.col("_metadata.file_path").alias("url"), F.col("value").alias("html"))
 
