@@ -47,10 +47,20 @@ def phrase_table(phrases: DataFrame) -> DataFrame:
             .where(F.size("terms") > 0))
 
 
-def _tokens(statuses: DataFrame, id_col: str, text_col) -> DataFrame:
+def _tracked_tokens(tokens, rows) -> "F.Column":
+    """Tokens reduced to those that occur in some phrase: one hash pass over
+    the text's tokens, after which every phrase test scans a short array."""
+    vocab = sorted({t for r in rows for t in r["terms"]})
+    return F.array_intersect(tokens, F.array(*[F.lit(t) for t in vocab]))
+
+
+def _tokens(statuses: DataFrame, id_col: str, text_col, rows=None) -> DataFrame:
     text = F.col(text_col) if isinstance(text_col, str) else text_col
+    tok = clean_tokens("_text")
+    if rows is not None:
+        tok = _tracked_tokens(tok, rows)
     return with_computed(statuses.select(F.col(id_col).alias("_id"), text.alias("_text")),
-                         "_tok", clean_tokens("_text")).drop("_text")
+                         "_tok", tok).drop("_text")
 
 
 def match_phrases_small(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
@@ -69,7 +79,7 @@ def match_phrases_small(statuses: DataFrame, phrases: DataFrame, id_col: str = "
         F.struct(F.lit(r["phrase"]).alias("phrase"),
                  F.array(*[F.lit(t) for t in r["terms"]]).alias("terms"))
         for r in rows])
-    tok = _tokens(statuses, id_col, text_col)
+    tok = _tokens(statuses, id_col, text_col, rows)
     hit = F.filter(lit_phrases,
                    lambda p: F.forall(p["terms"], lambda t: F.array_contains(F.col("_tok"), t)))
     return tok.select(F.col("_id").alias(id_col),
@@ -106,7 +116,7 @@ def track_filter(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_i
         if not rows:
             return statuses.limit(0).withColumn("n_phrases", F.lit(0))
         lit_phrases = F.array(*[F.array(*[F.lit(t) for t in r["terms"]]) for r in rows])
-        s = with_computed(statuses, "_tok", clean_tokens(text))
+        s = with_computed(statuses, "_tok", _tracked_tokens(clean_tokens(text), rows))
         cnt = F.size(F.filter(lit_phrases, lambda p: F.forall(
             p, lambda t: F.array_contains(F.col("_tok"), t))))
         return (s.withColumn("n_phrases", cnt.cast("long")).where(F.col("n_phrases") > 0)

@@ -34,7 +34,11 @@ def spread(df: DataFrame, key: str, nbytes: int) -> DataFrame:
     target = df.sparkSession.sparkContext.defaultParallelism
     if nbytes < SPREAD_MIN_BYTES:
         return df
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - e.g. no RDD access (Spark Connect): keep the scan
+        return df
+    if splits >= target:
         return df
     return df.repartition(target, key)
 
