@@ -377,3 +377,6 @@ GROUP BY i.image_id""")
 oracle("collect_stream", _SV, COLLECTED_SQL)
 oracle("stop_at_limit", _SV, f"SELECT tweet_id, created_at FROM ({COLLECTED_SQL}) c ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300")
 oracle("resume", _SV, f"SELECT tweet_id, user_id, image_file_0 FROM ({COLLECTED_SQL}) c")
+oracle("baseline_file", [], BASELINE_SQL)
+oracle("stream_progress", ["statuses", "media"], f"""SELECT CAST(count(*) AS BIGINT) AS statuses,
+CAST(sum(coalesce(len(p.urls), 0)) AS BIGINT) AS photos FROM statuses s LEFT JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id""")

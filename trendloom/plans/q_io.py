@@ -175,3 +175,35 @@ def q_resume(spark, sf):
     run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
                        max_files_per_trigger=1)
     return read_collected_sink(spark, sink).select("tweet_id", "user_id", "image_file_0")
+
+
+@register("baseline_file")
+def q_baseline_file(spark, sf):
+    """The baseline table written as CSV (term, count, freq) with a
+    stale line for every term before its current one; reading keeps the
+    last line of each term."""
+    path = scratch_path(spark, "baseline-csv")
+    base = q_terms._baseline(spark, sf)
+    stale = base.select("term", F.lit("0").alias("count"),
+                        (F.col("freq") * 2).cast("string").alias("freq"))
+    fresh = base.select("term", F.lit("1").alias("count"), F.col("freq").cast("string").alias("freq"))
+    (stale.unionByName(fresh).coalesce(1).write.mode("overwrite")
+     .option("header", True).csv(path))
+    return files.read_baseline(spark, path)
+
+
+@register("stream_progress")
+def q_stream_progress(spark, sf):
+    """ST4/A12: statuses and photos read by the collection stream, summed
+    from each micro-batch's observed metrics."""
+    src, sink, ckpt = _stream_dirs(spark)
+    land_statuses(spark, derived.nested_statuses(spark, sf), src, STREAM_FILES)
+    state = run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
+                               max_files_per_trigger=2, name="collect_progress")
+    rows = photos = 0
+    for p in state["progress"]:
+        m = (p.get("observedMetrics") or {}).get("collect_progress")
+        if m:
+            rows += int(m.get("rows") or 0)
+            photos += int(m.get("photos") or 0)
+    return spark.createDataFrame([(rows, photos)], "statuses long, photos long")

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from trendloom.schemas import COLLECTED_COLUMNS
 
@@ -89,8 +90,11 @@ def write_user_partitions(spark: SparkSession, users: DataFrame, path: str,
     """One directory per user (``user_id=<id>``); users with a
     directory already are skipped (left anti join with the stored keys).
     Returns the number of users written."""
+    key_type = users.schema[key].dataType
+
     def reader(s, p):
-        return s.read.json(p)
+        # only the partition column, explicit schema: no inference pass
+        return s.read.schema(T.StructType([T.StructField(key, key_type)])).json(p)
     stored = existing_partitions(spark, path, key, reader)
     new = users if stored is None else users.join(stored, key, "left_anti")
     new = new.persist()

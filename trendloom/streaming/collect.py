@@ -20,6 +20,7 @@ StreamingQueryListener from each batch's observed metrics.
 
 from __future__ import annotations
 
+import json
 import os
 import threading
 import time
@@ -118,6 +119,11 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
 
     def per_batch(batch: DataFrame, batch_id: int):
         with lock:
+            # the batch is read by several branches (rejects, media check,
+            # rows): materialise it once, so its files are read once and the
+            # observed metrics count each status once.  Its size is bounded
+            # by maxFilesPerTrigger.
+            batch = batch.persist()
             if rejects is not None:
                 bad = batch.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
                 bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
@@ -144,6 +150,7 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
             spark.createDataFrame([(n, int(ph))], "rows long, photos long").write.mode(
                 "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
             rows.unpersist()
+            batch.unpersist()
             if limit is not None:
                 total_rows, total_photos = _ledger_total(spark, ledger, batch_id + 1)
                 if (total_photos if photos_as_limit else total_rows) >= limit:
@@ -160,6 +167,14 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
     return q, state
 
 
+def _progress_dict(p) -> dict:
+    """A progress update as plain JSON data (observed metrics as dicts)."""
+    j = getattr(p, "json", None)
+    if isinstance(j, str):
+        return json.loads(j)
+    return json.loads(json.dumps(p, default=lambda o: o.asDict() if hasattr(o, "asDict") else str(o)))
+
+
 def run_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
                        timeout_s: float = 600, **kw) -> dict:
     """Run until drained (availableNow) or the limit is reached (ST7:
@@ -175,6 +190,7 @@ def run_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint:
             raise TimeoutError("collection stream did not finish")
         q.awaitTermination(0.5)
     q.processAllAvailable() if q.isActive else None
+    state["progress"] = [_progress_dict(p) for p in q.recentProgress]
     if state.get("listener") is not None:
         spark.streams.removeListener(state["listener"])
     return state
