@@ -106,7 +106,7 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
                          limit: int | None = None, photos_as_limit: bool = False,
                          max_files_per_trigger: int | None = 1, available_now: bool = True,
                          rejects: str | None = None, progress: Progress | None = None,
-                         name: str = "collect"):
+                         name: str = "collect", after_batch=None):
     """Start the query; returns (query, state).  ``sink`` receives
     ``data/batch_id=*`` (collected rows) and ``ledger/batch_id=*``."""
     stream = stream_statuses(spark, source, max_files_per_trigger)
@@ -151,6 +151,8 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
                 "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
             rows.unpersist()
             batch.unpersist()
+            if after_batch is not None:  # e.g. fault injection in tests
+                after_batch(batch_id)
             if limit is not None:
                 total_rows, total_photos = _ledger_total(spark, ledger, batch_id + 1)
                 if (total_photos if photos_as_limit else total_rows) >= limit:
