@@ -188,3 +188,17 @@ def test_stream_restart_after_failure_has_no_duplicates(spark, tmpdir_path):
     want = st.collect_rows(s, assets)
     assert got.count() == want.count()
     assert got.select("tweet_id").distinct().count() == got.count()
+
+
+def test_stream_processing_time_trigger_stops_at_limit(spark, tmpdir_path):
+    """ST7 with a continuous trigger: the driver stops the query between
+    batches once the ledger reaches the limit."""
+    src = os.path.join(tmpdir_path, "src")
+    s = _statuses_small(spark)
+    land_statuses(spark, s, src, 3)
+    sink = os.path.join(tmpdir_path, "sink")
+    state = run_collect_stream(spark, src, sink, os.path.join(tmpdir_path, "ckpt"),
+                               assets=derived.assets(spark, SF_SMALL), limit=40,
+                               max_files_per_trigger=1, available_now=False, timeout_s=300)
+    assert state["done"]
+    assert read_collected_sink(spark, sink).count() == 40

@@ -198,3 +198,13 @@ def test_distinct_media_counts_duplicates_toward_limit(spark):
     assert got == ["a"]
     got3 = sorted(r.media_url for r in st.distinct_media(df, 3).collect())
     assert got3 == ["a", "b"]
+
+
+def test_custom_tokenizer_hook(spark):
+    docs = spark.createDataFrame([(1, "a-b a-b c"), (2, "c")], "doc_id long, text string")
+    got = {r.term: r.n for r in terms.term_counts(
+        docs, stop_words=None, tokenizer=lambda c: F.split(c, " ")).collect()}
+    assert got == {"a-b": 2, "c": 2}
+    df = {r.term: r.df for r in terms.document_frequency(
+        docs, 2, tokenizer=lambda c: F.split(c, " ")).collect()}
+    assert df["a-b a-b"] == 1 and df["c"] == 2

@@ -20,15 +20,17 @@ from trendloom.session import checkpoint_dir
 
 def doc_terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               stop_words: Sequence[str] | DataFrame | None = ENGLISH_STOP_WORDS,
-              url_mode: str = "line") -> DataFrame:
+              url_mode: str = "line", tokenizer=None) -> DataFrame:
     """One row per token occurrence: (id_col, term), stop words removed.
 
     Lower-casing precedes tokenizing; stop words are removed after it.  A
     list of stop words becomes an InSet predicate (hash lookup inside
     codegen); a DataFrame of stop words (column ``term``) becomes a left
-    anti join whose strategy AQE chooses by its runtime size.
+    anti join whose strategy AQE chooses by its runtime size.  ``tokenizer``
+    (Column -> array<string> Column) replaces the built-in clean + tokenize.
     """
-    t = docs.select(F.col(id_col), F.explode(clean_tokens(text_col, url_mode)).alias("term"))
+    tok = tokenizer(F.col(text_col)) if tokenizer is not None else clean_tokens(text_col, url_mode)
+    t = docs.select(F.col(id_col), F.explode(tok).alias("term"))
     if stop_words is None:
         return t
     if isinstance(stop_words, DataFrame):
@@ -44,9 +46,9 @@ def term_document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def term_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                stop_words=ENGLISH_STOP_WORDS) -> DataFrame:
+                stop_words=ENGLISH_STOP_WORDS, tokenizer=None) -> DataFrame:
     """A2: occurrences per term over all texts (term, n)."""
-    return (doc_terms(docs, id_col, text_col, stop_words)
+    return (doc_terms(docs, id_col, text_col, stop_words, tokenizer=tokenizer)
             .groupBy("term").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -62,7 +64,8 @@ def total_scalar(counts: DataFrame) -> Column:
 
 
 def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   stop_words=ENGLISH_STOP_WORDS, materialize: bool = True) -> DataFrame:
+                   stop_words=ENGLISH_STOP_WORDS, materialize: bool = True,
+                   tokenizer=None) -> DataFrame:
     """A4: (term, n, tf) with tf = n / total.
 
     The total needs every count, and a scalar subquery over the same
@@ -72,7 +75,7 @@ def term_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     reliable checkpoint in the shared checkpoint folder; the total and the
     tf column both read that.
     """
-    counts = term_counts(docs, id_col, text_col, stop_words)
+    counts = term_counts(docs, id_col, text_col, stop_words, tokenizer)
     if materialize:
         checkpoint_dir(counts.sparkSession)
         counts = counts.checkpoint(eager=True)
@@ -137,7 +140,7 @@ def trending_terms(docs: DataFrame, baseline: DataFrame, n: int | None = 400,
 
 
 def document_frequency(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id",
-                       text_col: str = "text") -> DataFrame:
+                       text_col: str = "text", tokenizer=None) -> DataFrame:
     """A6 input: documents containing each 1..max_n-gram (gram, df).
 
     No stop words (the reference's IDF job keeps them).  ``array_distinct``
@@ -147,7 +150,8 @@ def document_frequency(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id",
     """
     # tokens are projected first: the n-gram lambdas must read a column, not
     # re-run the tokenizer per gram position.
-    toks = docs.select(clean_tokens(text_col).alias("_tok"))
+    tok = tokenizer(F.col(text_col)) if tokenizer is not None else clean_tokens(text_col)
+    toks = docs.select(tok.alias("_tok"))
     grams = F.array_distinct(ngrams_range("_tok", 1, max_n))
     return (toks.select(F.explode(grams).alias("term"))
                 .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
