@@ -2,7 +2,6 @@
 
 import collections
 
-import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
