@@ -39,12 +39,15 @@ def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence
     ``order_by`` (per ``partition_by`` group).  ``order_by`` must be a total
     order (add a unique tie-breaker)."""
     spark = df.sparkSession
-    p = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     part = list(partition_by)
     order = [_col(c) for c in order_by]
     base = df.withColumn("_v", _col(value))
-    ranged = (base.repartitionByRange(p, *[F.col(c) for c in part], *order)
-                  .withColumn("_pid", F.spark_partition_id()))
+    keys = [*[F.col(c) for c in part], *order]
+    # Without an explicit count AQE may coalesce small ranges; it merges
+    # adjacent ones only, so partition ids still follow key order.
+    ranged = (base.repartitionByRange(num_partitions, *keys) if num_partitions
+              else base.repartitionByRange(*keys))
+    ranged = ranged.withColumn("_pid", F.spark_partition_id())
     # Range bounds come from sampling and are not guaranteed to be equal in
     # two executions of the exchange, while both branches below must see
     # the same partition of every row: assign it once and materialise it
