@@ -105,7 +105,7 @@ def asset_paths(statuses: DataFrame) -> DataFrame:
 
 
 def all_media_resolved(statuses: DataFrame, assets: DataFrame, url_col: str = "media_url",
-                       id_col: str = "id_str") -> DataFrame:
+                       id_col: str = "id_str", probe_limit: int | None = None) -> DataFrame:
     """Drop a status when any of its photos has no landed asset;
     statuses without photos are kept.
 
@@ -113,10 +113,19 @@ def all_media_resolved(statuses: DataFrame, assets: DataFrame, url_col: str = "m
     the URL; a hot URL is split by AQE's skew-join handling, the asset side
     is never forced to broadcast because a listing grows with the data).
     The few statuses with a missing photo are then anti-joined away.
+
+    ``probe_limit``: when the statuses are a bounded batch (a stream's
+    micro-batch), their distinct photo URLs are counted and, up to this
+    bound, broadcast into a semi join over the listing, so the listing is
+    scanned but never shuffled for each batch.
     """
     urls = statuses.select(F.col(id_col).alias("_sid"),
                            F.explode(photo_urls()).alias("_url"))
     listing = assets.select(F.col(url_col).alias("_url"))
+    if probe_limit is not None:
+        wanted = urls.select("_url").distinct()
+        if wanted.count() <= probe_limit:
+            listing = listing.join(F.broadcast(wanted), "_url", "left_semi")
     missing = urls.join(listing, "_url", "left_anti").select("_sid")
     return statuses.join(missing, statuses[id_col] == missing["_sid"], "left_anti")
 
@@ -184,13 +193,13 @@ def photo_limit(statuses: DataFrame, limit: int, order: list[str] | None = None,
 
 
 def collect_rows(statuses: DataFrame, assets: DataFrame | None = None,
-                 drop_rts: bool = True) -> DataFrame:
+                 drop_rts: bool = True, probe_limit: int | None = None) -> DataFrame:
     """The collection job's batch body: F2 -> J5 -> P1..P7 -> the flat
     32-column collected table (absent slots are null; the CSV sink writes
     them as empty strings)."""
     s = drop_retweets(statuses) if drop_rts else statuses
     if assets is not None:
-        s = all_media_resolved(s, assets)
+        s = all_media_resolved(s, assets, probe_limit=probe_limit)
     s = s.withColumn("_urls", F.slice(photo_urls(), 1, N_SLOTS))
     ids = F.transform(F.col("_urls"), lambda u, i: asset_id(F.col("id_str"), i, u))
     s = s.withColumn("_ids", ids)

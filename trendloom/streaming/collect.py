@@ -35,6 +35,7 @@ from trendloom.operators import track
 from trendloom.sources.files import CORRUPT, stream_statuses
 
 PROGRESS_EVERY = 25  # report interval (rows or photos), as the reference
+BATCH_URLS_MAX = 5_000_000  # distinct photo URLs of a micro-batch broadcast up to this
 
 
 @dataclass
@@ -96,7 +97,7 @@ def collect_batch(batch: DataFrame, assets: DataFrame | None, phrases: DataFrame
     s = st.drop_retweets(batch)
     if phrases is not None:
         s = track.track_filter(s, phrases, "id_str", st.full_text(), plan="small").drop("n_phrases")
-    return st.collect_rows(s, assets, drop_rts=False).withColumn(
+    return st.collect_rows(s, assets, drop_rts=False, probe_limit=BATCH_URLS_MAX).withColumn(
         "_photos", F.size(F.filter(F.array(*[F.col(f"image_file_{i}") for i in range(4)]),
                                    lambda x: x.isNotNull())).cast("long"))
 
