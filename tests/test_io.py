@@ -202,3 +202,45 @@ def test_stream_processing_time_trigger_stops_at_limit(spark, tmpdir_path):
                                max_files_per_trigger=1, available_now=False, timeout_s=300)
     assert state["done"]
     assert read_collected_sink(spark, sink).count() == 40
+
+
+def test_loop_track_collect_clean_trend_track(spark, tmpdir_path):
+    """track -> collect -> clean -> find terms -> track, through files."""
+    from trendloom.operators import terms
+    from trendloom.plans.jobs import clean_job, collect_batch_job, trending_files_job
+    base = tmpdir_path
+    s = _statuses_small(spark)
+    src = os.path.join(base, "statuses")
+    sinks.write_statuses(s, src)
+    _write(os.path.join(src, "zz-bad.json"), "{not json\n")
+    tracking = os.path.join(base, "tracking.txt")
+    _write(tracking, "#src1\n#src2\n#src3\n#src4\n#src5\n\n")
+    collected = os.path.join(base, "data.csv")
+    n = collect_batch_job(spark, src, collected, tracking, derived.assets(spark, SF_SMALL),
+                          rejects_path=os.path.join(base, "rejects"))
+    assert n > 0
+    assert spark.read.parquet(os.path.join(base, "rejects")).count() == 1
+    rows = files.read_collected(spark, collected).collect()
+    assert len(rows) == n
+    # land the images of every other row, and a confidence document per landed image
+    landed = [r for i, r in enumerate(rows) if r.image_file_0 and i % 2 == 0]
+    for i, r in enumerate(landed):
+        _write(os.path.join(base, r.image_file_0), "jpg")
+        score = 0.9 if i % 3 else 0.1
+        _write(os.path.join(base, r.csv_to_json_file_path_0), json.dumps({"aeroplane": [score], "dog": []}))
+    clean_job(spark, collected, os.path.join(base, "data/images"), base)
+    cleaned = files.read_collected(spark, collected)
+    assert cleaned.count() == len(landed)
+    conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    baseline = terms.baseline_from_texts(conv, "id")
+    out = os.path.join(base, "next_tracking")
+    top = trending_files_job(spark, collected, os.path.join(base, "data/confidences/*.json"), base,
+                             baseline, out, "aeroplane", 0.5, 50, 1)
+    written = [r.value for r in spark.read.text(out).collect()]
+    assert written == [r.term for r in top.orderBy("rank").collect()]
+    assert 0 < len(written) <= 50
+    # the new list is a valid tracking list for the next collection round
+    again = collect_batch_job(spark, src, os.path.join(base, "round2.csv"), out,
+                              derived.assets(spark, SF_SMALL))
+    assert again > 0

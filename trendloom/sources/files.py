@@ -42,7 +42,10 @@ def good_records(df: DataFrame) -> DataFrame:
 
 
 def bad_records(df: DataFrame) -> DataFrame:
-    return df.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+    """Rejected lines (raw text), with whatever id could be parsed.  A query
+    may not read only the corrupt-record column of raw files, so ``id_str``
+    is kept alongside (persist the parsed input to read both sides once)."""
+    return df.where(F.col(CORRUPT).isNotNull()).select("id_str", CORRUPT)
 
 
 def read_collected(spark: SparkSession, path: str) -> DataFrame:

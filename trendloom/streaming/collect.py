@@ -126,7 +126,7 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
             # by maxFilesPerTrigger.
             batch = batch.persist()
             if rejects is not None:
-                bad = batch.where(F.col(CORRUPT).isNotNull()).select(CORRUPT)
+                bad = batch.where(F.col(CORRUPT).isNotNull()).select("id_str", CORRUPT)
                 bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
             good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
             rows = collect_batch(good, assets, phrases)
