@@ -11,7 +11,7 @@ track -> collect -> clean -> find terms -> track.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.operators import status as st
@@ -33,11 +33,11 @@ def collect_batch_job(spark: SparkSession, statuses_path: str, out_path: str,
     if tracking_path is not None:
         s = track.track_filter(s, track.read_tracking(spark, tracking_path), "id_str",
                                st.full_text()).drop("n_phrases")
-    rows = st.collect_rows(s, assets, drop_rts=False).persist()
-    n = rows.count()
+    # counted while written (one pass, nothing cached)
+    obs = Observation("collected")
+    rows = st.collect_rows(s, assets, drop_rts=False).observe(obs, F.count(F.lit(1)).alias("n"))
     sinks.write_collected(rows, out_path, fmt, "append")
-    rows.unpersist()
-    return n
+    return int(obs.get["n"])
 
 
 def clean_job(spark: SparkSession, collected_path: str, asset_dir: str, base_dir: str) -> str:

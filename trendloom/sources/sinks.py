@@ -6,7 +6,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -97,12 +97,10 @@ def write_user_partitions(spark: SparkSession, users: DataFrame, path: str,
         return s.read.schema(T.StructType([T.StructField(key, key_type)])).json(p)
     stored = existing_partitions(spark, path, key, reader)
     new = users if stored is None else users.join(stored, key, "left_anti")
-    new = new.persist()
-    n = new.count()
-    if n:
-        new.write.mode("append").partitionBy(key).options(**JSON_OPTIONS).json(path)
-    new.unpersist()
-    return n
+    obs = Observation("users_written")  # counted while written, one pass
+    (new.observe(obs, F.count(F.lit(1)).alias("n"))
+     .write.mode("append").partitionBy(key).options(**JSON_OPTIONS).json(path))
+    return int(obs.get["n"])
 
 
 def write_posts(posts: DataFrame, path: str, dir_col: str = "query_dir") -> None:
