@@ -6,10 +6,12 @@ vec = [cx, cy, bw, bh, objectness, score_0, ...] normalised to 0..1 and
 expressions (higher-order functions), so they run in codegen.
 
 Group sizes: suppression works per image.  The boxes of one image are
-bounded by the detector's output grid (a fixed property of the network and
-its input size, about 10^4 for a 416x416 input), so the per-image array is
-bounded independently of the data volume; images are independent and
-spread by hash over tasks.
+normally bounded by the detector's output grid (a fixed property of the
+network and its input size, about 10^4 for a 416x416 input); an image with
+more candidates than ``HOT_IMAGE_BOXES`` is first cut into x-components
+that cannot interact (``x_components``), so no single image has to be
+folded in one task.  The per-image confidence map is one document per
+image by definition and is assembled from the kept boxes.
 """
 
 from __future__ import annotations
@@ -19,9 +21,12 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.operators.prefix import ordinal, running_agg, running_sum
+
 DEFAULT_MIN_CONFIDENCE = 0.5
 DEFAULT_NMS_THRESHOLD = 0.3
 MAX_CLASSES = 100_000  # class list read on the driver up to this (checked)
+HOT_IMAGE_BOXES = 50_000  # above this many candidates in one image, split it first
 
 _BOX = "struct<k:double,pos:bigint,confidence:double,class_id:int,x:int,y:int,bw:int,bh:int>"
 
@@ -86,21 +91,62 @@ def kept_boxes(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
         (-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
         F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh"))
     grouped = d.groupBy("image_id").agg(F.sort_array(F.collect_list(cand)).alias("_cand"))
+    return grouped.select("image_id", _fold(F.col("_cand"), nms_threshold).alias("kept"))
+
+
+def _fold(sorted_boxes: Column, nms_threshold: float) -> Column:
+    """Greedy pass over boxes sorted by (confidence desc, pos): keep a box
+    unless a kept one overlaps it by more than the threshold."""
     t = F.lit(nms_threshold).cast("float")
-    kept = F.aggregate(
-        F.col("_cand"), F.array().cast(f"array<{_BOX}>"),
+    return F.aggregate(
+        sorted_boxes, F.array().cast(f"array<{_BOX}>"),
         lambda acc, c: F.when(F.exists(acc, lambda k: _iou_f32(k, c) > t), acc)
                         .otherwise(F.concat(acc, F.array(c))))
-    return grouped.select("image_id", kept.alias("kept"))
+
+
+def x_components(boxes: DataFrame) -> DataFrame:
+    """Adds ``comp``: boxes of one image swept left to right; a box starts a
+    new component when its left edge is at or beyond the right edge of every
+    box before it.  Boxes of different components have disjoint x-extents,
+    so they never overlap and never suppress each other: greedy suppression
+    per (image, component) keeps exactly what it keeps per image.  Both
+    sweeps are distributed running aggregates (a hot image spans many
+    range partitions)."""
+    order = [F.col("x"), F.col("pos")]
+    e = running_agg(boxes, F.col("x") + F.col("bw"), order, ["image_id"], out="_prev_end",
+                    inclusive=False, how="max")
+    e = e.withColumn("_start", (F.col("_prev_end").isNull()
+                                | (F.col("x") >= F.col("_prev_end"))).cast("long"))
+    return running_sum(e, F.col("_start"), order, ["image_id"], out="comp").drop(
+        "_prev_end", "_start")
 
 
 def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
-                      nms_threshold: float = DEFAULT_NMS_THRESHOLD) -> DataFrame:
-    """Kept boxes, one row each, with their keep order."""
-    k = kept_boxes(raw, min_confidence, nms_threshold)
-    return k.select("image_id", F.posexplode("kept").alias("keep_rank", "b")).select(
-        "image_id", F.col("keep_rank").cast("int"), "b.pos", "b.class_id", "b.confidence",
-        "b.x", "b.y", "b.bw", "b.bh")
+                      nms_threshold: float = DEFAULT_NMS_THRESHOLD,
+                      hot_image_boxes: int = HOT_IMAGE_BOXES) -> DataFrame:
+    """Kept boxes, one row each, with their keep order.
+
+    Images are independent.  When some image has more than
+    ``hot_image_boxes`` candidates (checked with one aggregate), images are
+    first cut into x-components (``x_components``) and each (image,
+    component) is folded separately; the keep order over the whole image
+    is then a distributed running count."""
+    cand = decode_boxes(raw).where(F.col("confidence") > min_confidence)
+    largest = cand.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
+    if largest <= hot_image_boxes:
+        k = kept_boxes(raw, min_confidence, nms_threshold)
+        return k.select("image_id", F.posexplode("kept").alias("keep_rank", "b")).select(
+            "image_id", F.col("keep_rank").cast("int"), "b.pos", "b.class_id", "b.confidence",
+            "b.x", "b.y", "b.bw", "b.bh")
+    comps = x_components(cand)
+    box = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
+                   F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh")
+    grouped = comps.groupBy("image_id", "comp").agg(F.sort_array(F.collect_list(box)).alias("_cand"))
+    kept = grouped.select("image_id", F.explode(_fold(F.col("_cand"), nms_threshold)).alias("b")).select(
+        "image_id", "b.pos", "b.class_id", "b.confidence", "b.x", "b.y", "b.bw", "b.bh")
+    ranked = ordinal(kept, [F.col("confidence").desc(), F.col("pos")], ["image_id"], out="_r")
+    return ranked.select("image_id", (F.col("_r") - 1).cast("int").alias("keep_rank"), "pos",
+                         "class_id", "confidence", "x", "y", "bw", "bh")
 
 
 def _label_array(labels: DataFrame) -> Column:

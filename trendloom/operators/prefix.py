@@ -32,12 +32,17 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
-                out: str = "running", inclusive: bool = True,
+def running_agg(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
+                out: str = "running", inclusive: bool = True, how: str = "sum",
                 num_partitions: int | None = None) -> DataFrame:
-    """Adds ``out`` = sum of ``value`` over rows up to this one in
-    ``order_by`` (per ``partition_by`` group).  ``order_by`` must be a total
-    order (add a unique tie-breaker)."""
+    """Adds ``out`` = sum (``how='sum'``) or max (``how='max'``) of ``value``
+    over the rows up to this one (``inclusive``) or before it, in
+    ``order_by`` per ``partition_by`` group.  ``order_by`` must be a total
+    order (add a unique tie-breaker).  An exclusive max of the first row of a
+    group is null; an exclusive sum is 0."""
+    if how not in ("sum", "max"):
+        raise ValueError(f"unknown aggregate {how!r}")
+    agg = F.sum if how == "sum" else F.max
     spark = df.sparkSession
     part = list(partition_by)
     order = [_col(c) for c in order_by]
@@ -54,27 +59,36 @@ def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence
     # (reliable checkpoint in the shared folder, also a lineage cut).
     checkpoint_dir(spark)
     ranged = ranged.checkpoint(eager=True)
+    last = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("_pid", *part).orderBy(*order)
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    local = ranged.withColumn("_loc", F.sum("_v").over(w_local))
-    totals = ranged.groupBy("_pid", *part).agg(F.sum("_v").alias("_tot"))
+               .rowsBetween(Window.unboundedPreceding, last))
+    local = ranged.withColumn("_loc", agg("_v").over(w_local))
+    totals = ranged.groupBy("_pid", *part).agg(agg("_v").alias("_tot"))
     if part:
         w_off = Window.partitionBy(*part).orderBy("_pid")
     else:
-        # one row per range partition: bounded by num_partitions.
+        # one row per range partition: bounded by the number of partitions.
         w_off = Window.orderBy("_pid")
     w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *part,
-                            F.coalesce(F.sum("_tot").over(w_off), F.lit(0)).alias("_off"))
+    offsets = totals.select("_pid", *part, agg("_tot").over(w_off).alias("_off"))
     if not part:
         offsets = F.broadcast(offsets)
     res = local.join(offsets, ["_pid", *part])
-    run = F.col("_loc") + F.col("_off")
-    if not inclusive:
-        run = run - F.col("_v")
+    if how == "sum":
+        run = F.coalesce(F.col("_loc"), F.lit(0)) + F.coalesce(F.col("_off"), F.lit(0))
+    else:
+        run = F.greatest(F.col("_loc"), F.col("_off"))
     return res.withColumn(out, run).drop("_v", "_loc", "_off", "_pid")
 
 
+def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
+                out: str = "running", inclusive: bool = True,
+                num_partitions: int | None = None) -> DataFrame:
+    """Adds ``out`` = sum of ``value`` over rows up to this one in
+    ``order_by`` (per ``partition_by`` group)."""
+    return running_agg(df, value, order_by, partition_by, out, inclusive, "sum", num_partitions)
+
+
 def ordinal(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
             out: str = "ordinal", num_partitions: int | None = None) -> DataFrame:
     """1-based row number in ``order_by`` (per group) without a

@@ -61,10 +61,11 @@ def rewrite_table(spark: SparkSession, path: str, read, transform, write) -> str
     place.  Returns the path of the previous version."""
     staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
     backup = f"{path.rstrip('/')}.previous-{uuid.uuid4().hex}"
-    cleaned = transform(read(spark, path))
+    obs = Observation("rewrite")  # rows produced, counted during the staged write
+    cleaned = transform(read(spark, path)).observe(obs, F.count(F.lit(1)).alias("n"))
     write(cleaned, staging)
+    n_expected = int(obs.get["n"])
     n_written = read(spark, staging).count()
-    n_expected = transform(read(spark, path)).count()
     if n_written != n_expected:
         raise RuntimeError(f"staged table has {n_written} rows, expected {n_expected}")
     fs, p, jvm = _fs(spark, path)
