@@ -104,21 +104,27 @@ def _fold(sorted_boxes: Column, nms_threshold: float) -> Column:
                         .otherwise(F.concat(acc, F.array(c))))
 
 
-def x_components(boxes: DataFrame) -> DataFrame:
-    """Adds ``comp``: boxes of one image swept left to right; a box starts a
-    new component when its left edge is at or beyond the right edge of every
-    box before it.  Boxes of different components have disjoint x-extents,
-    so they never overlap and never suppress each other: greedy suppression
-    per (image, component) keeps exactly what it keeps per image.  Both
-    sweeps are distributed running aggregates (a hot image spans many
-    range partitions)."""
-    order = [F.col("x"), F.col("pos")]
-    e = running_agg(boxes, F.col("x") + F.col("bw"), order, ["image_id"], out="_prev_end",
+def _sweep(boxes: DataFrame, group: list[str], lo: str, size: str, out: str) -> DataFrame:
+    """Adds ``out``: boxes of each group swept along one axis; a box starts a
+    new component when its low edge is at or beyond the high edge of every
+    box before it.  Both passes are distributed running aggregates (a hot
+    group spans many range partitions)."""
+    order = [F.col(lo), F.col("pos")]
+    e = running_agg(boxes, F.col(lo) + F.col(size), order, group, out="_prev_end",
                     inclusive=False, how="max")
     e = e.withColumn("_start", (F.col("_prev_end").isNull()
-                                | (F.col("x") >= F.col("_prev_end"))).cast("long"))
-    return running_sum(e, F.col("_start"), order, ["image_id"], out="comp").drop(
-        "_prev_end", "_start")
+                                | (F.col(lo) >= F.col("_prev_end"))).cast("long"))
+    return running_sum(e, F.col("_start"), order, group, out=out).drop("_prev_end", "_start")
+
+
+def x_components(boxes: DataFrame) -> DataFrame:
+    """Adds ``comp`` (x sweep) and ``comp_y`` (y sweep inside each x
+    component).  Boxes in different components have disjoint x- or
+    y-extents, so they never overlap and never suppress each other: greedy
+    suppression per (image, comp, comp_y) keeps exactly what it keeps per
+    image."""
+    xs = _sweep(boxes, ["image_id"], "x", "bw", "comp")
+    return _sweep(xs, ["image_id", "comp"], "y", "bh", "comp_y")
 
 
 def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
@@ -141,7 +147,8 @@ def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFID
     comps = x_components(cand)
     box = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
                    F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh")
-    grouped = comps.groupBy("image_id", "comp").agg(F.sort_array(F.collect_list(box)).alias("_cand"))
+    grouped = (comps.groupBy("image_id", "comp", "comp_y")
+               .agg(F.sort_array(F.collect_list(box)).alias("_cand")))
     kept = grouped.select("image_id", F.explode(_fold(F.col("_cand"), nms_threshold)).alias("b")).select(
         "image_id", "b.pos", "b.class_id", "b.confidence", "b.x", "b.y", "b.bw", "b.bh")
     ranked = ordinal(kept, [F.col("confidence").desc(), F.col("pos")], ["image_id"], out="_r")
