@@ -26,7 +26,7 @@ import threading
 import time
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
 
@@ -144,13 +144,13 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
                     else:
                         rows = st.row_limit(rows, left, ["created_at", "_id"])
                     rows = rows.drop("_id")
-            # rows and photos counted while the batch output is written
-            obs = Observation(f"{name}_batch_{batch_id}")
-            (rows.observe(obs, F.count(F.lit(1)).alias("n"), F.sum("_photos").alias("ph"))
-             .drop("_photos").write.mode("overwrite").parquet(f"{data_dir}/batch_id={batch_id}"))
-            n, ph = int(obs.get["n"]), int(obs.get["ph"] or 0)
-            spark.createDataFrame([(n, ph)], "rows long, photos long").write.mode(
+            rows = rows.persist()
+            n = rows.count()
+            ph = rows.agg(F.sum("_photos")).first()[0] or 0
+            rows.drop("_photos").write.mode("overwrite").parquet(f"{data_dir}/batch_id={batch_id}")
+            spark.createDataFrame([(n, int(ph))], "rows long, photos long").write.mode(
                 "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
+            rows.unpersist()
             batch.unpersist()
             if after_batch is not None:  # e.g. fault injection in tests
                 after_batch(batch_id)
