@@ -5,14 +5,40 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trendloom.llm import decontaminate, license_scan, quality_rules
+from trendloom.llm import (
+    dart_minhash, decontaminate, elias_fano, factorization, license_scan, quality_rules, sp_transducer, token_counts,
+    toxicity,
+)
 from trendloom.llm.common import read
+from trendloom.session import scratch_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))
+
+
+def op4_factorization(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return factorization.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op5_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.classes(read(spark, sf_dir, "documents"))
+
+
+def op6_elias_fano(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "token-ids")
+    elias_fano.write_ids(read(spark, sf_dir, "documents"), path)
+    return elias_fano.read_documents(spark, path)
+
+
+def op7_sp_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sp_transducer.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(read(spark, sf_dir, "documents"))
 
@@ -21,7 +47,13 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op8_license_scan, op9_decontaminate)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op3_token_counts, op4_factorization, op5_dart_minhash, op6_elias_fano, op7_sp_transducer,
+    op8_license_scan, op9_decontaminate, op10_toxicity)}
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
