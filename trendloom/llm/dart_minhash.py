@@ -246,3 +246,20 @@ def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMIL
     roots = stored(components(links.union(more)), "roots")
     named = entries.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
     return sigs.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "class_id")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs``, all columns, with one document of each class: that whose id names
+    it, once.  Rows with a null id stay, as no class can be named by them."""
+    found = classes(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = class_id")
+    kept = stored(found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
+    small = stored_bytes(kept) <= BROADCAST_BYTES
+
+    def only(ids: DataFrame) -> DataFrame:
+        return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == ids["_kept_id"], "left_semi")
+
+    rows = only(kept.where("_rows = 1"))
+    repeated = kept.where("_rows > 1")
+    if not repeated.isEmpty():
+        rows = rows.union(only(repeated).dropDuplicates([id_col]))
+    return rows.union(docs.where(docs[id_col].isNull()))

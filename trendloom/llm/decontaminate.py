@@ -81,13 +81,28 @@ def occurrences(docs: DataFrame, anchored: DataFrame, id_col: str = "doc_id", te
     return met.select("doc_id", "key", start.alias("start"), length.alias("len"), "items")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
-                  text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+def window_hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
+                text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, key, start, len, items) of every occurrence of an item's window."""
     windows = stored(item_windows(items, size, text_col="text"), "windows")
     vocabulary = stored(windows.select(F.explode("win").alias("word")).distinct(), "window-words")
     anchored = stored(anchored_windows(windows, word_counts(docs, vocabulary, text_col)), "anchored")
-    hits = occurrences(docs, anchored, id_col, text_col, size, broadcast_bytes)
+    return occurrences(docs, anchored, id_col, text_col, size, broadcast_bytes)
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
+                         text_col: str = "text") -> DataFrame:
+    """``docs``, all columns, without the documents in which a window occurs."""
+    hits = window_hits(docs, items, size, id_col, text_col)
+    hit = stored(hits.select(F.col("doc_id").alias("_hit_id"), F.col("key").alias("_hit_key")).distinct(), "contaminated")
+    same = docs[id_col].eqNullSafe(hit["_hit_id"]) & (text_key(docs[text_col]) == hit["_hit_key"])
+    return docs.join(F.broadcast(hit) if stored_bytes(hit) <= BROADCAST_BYTES else hit, same, "left_anti")
+
+
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
+                  text_col: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """One row per document: n_words, n_hit, n_items, items_sha256, contaminated."""
+    hits = window_hits(docs, items, size, id_col, text_col, broadcast_bytes)
     begin = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     union = F.aggregate(F.array_sort(F.col("spans")), begin, lambda acc, s: F.struct(
         F.greatest(acc["end"], s["start"] + s["len"]).alias("end"),

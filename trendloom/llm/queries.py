@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm import (
-    dart_minhash, decontaminate, elias_fano, factorization, license_scan, quality_rules, sp_transducer, token_counts,
+    context_mixing, dart_minhash, decontaminate, elias_fano, factorization, license_scan, quality_rules, sp_transducer, token_counts,
     toxicity,
 )
 from trendloom.llm.common import read
@@ -17,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op2_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score(read(spark, sf_dir, "documents"))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read(spark, sf_dir, "documents"), scratch_path(spark, "token-cache"))
 
@@ -52,8 +56,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op3_token_counts, op4_factorization, op5_dart_minhash, op6_elias_fano, op7_sp_transducer,
-    op8_license_scan, op9_decontaminate, op10_toxicity)}
+    op1_quality_rules, op2_context_mixing, op3_token_counts, op4_factorization, op5_dart_minhash, op6_elias_fano,
+    op7_sp_transducer, op8_license_scan, op9_decontaminate, op10_toxicity)}
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,

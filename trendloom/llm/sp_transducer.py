@@ -211,9 +211,15 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32 and whether decoding gives the text back."""
+def encoded_and_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
+                        text_col: str = "text") -> DataFrame:
+    """doc_id, ids, ids_crc32 and whether decoding gives the text back."""
     both = decode(encode(docs, path, id_col, text_col, keep_text=True), path)
     given = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32",
-                       (F.col("decoded") == given).alias("round_trip"))
+    return both.select("doc_id", "ids", "ids_crc32", (F.col("decoded") == given).alias("round_trip"))
+
+
+def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_ids, ids_crc32 and whether decoding gives the text back."""
+    both = encoded_and_checked(docs, path, id_col, text_col)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
