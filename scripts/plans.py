@@ -52,7 +52,7 @@ def main() -> None:
         ("Tracked phrases, inverted index",
          "Tokens through the evaluate-once generator, distinct tokens exploded, size-checked "
          "broadcast of (term, phrase), count per (status, phrase).",
-         track.match_phrases_indexed(q_status._flat_text(spark, sf), q_status._phrases(spark))),
+         track.match_phrases(q_status._flat_text(spark, sf), q_status._phrases(spark))),
         ("Neighbour cap (W1)",
          "row_number() <= 2 per source: partial WindowGroupLimit before the shuffle.",
          graph.cap_neighbours(derived.edges(spark, sf), 2, q_graph.spread_order())),

@@ -12,7 +12,7 @@ from trendloom.operators.target import slot_target_flag
 from trendloom.plans.q_io import land_statuses
 from trendloom.schemas import COLLECTED_COLUMNS
 from trendloom.sources import derived, files, sinks
-from trendloom.streaming.collect import (Progress, read_collected_sink, run_collect_stream)
+from trendloom.streaming.collect import (Progress, read_collected_sink, read_ledger, read_progress, run_collect_stream)
 
 
 def _write(path, text):
@@ -95,8 +95,16 @@ def test_asset_listing_and_rewrite(spark, tmpdir_path):
     sinks.rewrite_table(spark, t, lambda s, p: s.read.parquet(p),
                         lambda d: st.has_asset(d, listing, "image_file_0", "path"),
                         lambda d, p: d.write.parquet(p))
-    assert [r.tweet_id for r in spark.read.parquet(t).collect()] == ["1"]
-    kept_old = st.has_asset(spark.read.parquet(t).unionByName(
+    now = sinks.current_version(spark, t)
+    assert [r.tweet_id for r in spark.read.parquet(now).collect()] == ["1"]
+    # a write that was not committed leaves the current version as it is
+    os.makedirs(os.path.join(t, "version=000002"))
+    assert sinks.current_version(spark, t) == now
+    for _ in range(2):
+        sinks.rewrite_table(spark, t, lambda s, p: s.read.parquet(p), lambda d: d, lambda d, p: d.write.parquet(p))
+    assert sinks.current_version(spark, t).endswith("version=000003")
+    assert not os.path.exists(os.path.join(t, "version=000001"))
+    kept_old = st.has_asset(spark.read.parquet(sinks.current_version(spark, t)).unionByName(
         spark.createDataFrame([("3", "")], "tweet_id string, image_file_0 string")),
         listing, "image_file_0", "path", require_nonempty=False)
     assert sorted(r.tweet_id for r in kept_old.collect()) == ["1", "3"]
@@ -116,6 +124,11 @@ def _statuses_small(spark):
     return derived.nested_statuses(spark, SF_SMALL)
 
 
+def halves(statuses):
+    cut = statuses.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    return statuses.where(F.col("created_at") <= F.lit(cut)), statuses.where(F.col("created_at") > F.lit(cut))
+
+
 def test_stream_equals_batch_with_bad_records_and_progress(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     s = _statuses_small(spark)
@@ -135,12 +148,13 @@ def test_stream_equals_batch_with_bad_records_and_progress(spark, tmpdir_path):
 def test_stream_limit_exact_and_restart(spark, tmpdir_path):
     src = os.path.join(tmpdir_path, "src")
     s = _statuses_small(spark)
-    land_statuses(spark, s, src, 4, 0, 2)
+    first_half, second_half = halves(s)
+    land_statuses(spark, first_half, src, 2)
     sink, ckpt = os.path.join(tmpdir_path, "sink"), os.path.join(tmpdir_path, "ckpt")
     assets = derived.assets(spark, SF_SMALL)
     run_collect_stream(spark, src, sink, ckpt, assets=assets, limit=100, max_files_per_trigger=1)
     first = read_collected_sink(spark, sink).count()
-    land_statuses(spark, s, src, 4, 2, None)
+    land_statuses(spark, second_half, src, 2)
     run_collect_stream(spark, src, sink, ckpt, assets=assets, limit=100, max_files_per_trigger=1)
     got = read_collected_sink(spark, sink)
     want = st.collect_rows(s, assets).withColumn("_id", F.col("tweet_id").cast("long"))
@@ -151,18 +165,89 @@ def test_stream_limit_exact_and_restart(spark, tmpdir_path):
     assert first <= 100
 
 
-def test_stream_photo_limit(spark, tmpdir_path):
-    src = os.path.join(tmpdir_path, "src")
+def test_stream_photo_limit_equals_batch_for_any_batches(spark, tmpdir_path):
+    s = _statuses_small(spark).limit(400).cache()
+    assets = derived.assets(spark, SF_SMALL)
+    rows = st.collect_rows(s, assets, photos_col="_photos").withColumn("_id", F.col("tweet_id").cast("long"))
+    want = sorted(r.tweet_id for r in st.photo_limit(rows, 50, ["created_at", "_id"], F.col("_photos")).collect())
+    for n_files, per_trigger in ((5, 1), (4, 3), (1, 1)):
+        base = os.path.join(tmpdir_path, f"{n_files}-{per_trigger}")
+        src, sink = os.path.join(base, "src"), os.path.join(base, "sink")
+        land_statuses(spark, s, src, n_files)
+        run_collect_stream(spark, src, sink, os.path.join(base, "ckpt"), assets=assets, limit=50,
+                           photos_as_limit=True, max_files_per_trigger=per_trigger)
+        assert sorted(r.tweet_id for r in read_collected_sink(spark, sink).collect()) == want
+
+
+def test_photo_limit_that_is_never_met_exactly_stops(spark, tmpdir_path):
+    """Three statuses of two photos, limit 3: the second is refused, and the
+    query stops, with a continuous trigger too."""
     s = _statuses_small(spark)
-    land_statuses(spark, s, src, 3)
+    two = s.where(F.size(st.photo_urls()) == 2).where(~F.col("text").startswith("RT")).orderBy("created_at").limit(3)
+    src, sink = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "sink")
+    land_statuses(spark, two, src, 3)
+    state = run_collect_stream(spark, src, sink, os.path.join(tmpdir_path, "ckpt"), limit=3, photos_as_limit=True,
+                               max_files_per_trigger=1, available_now=False, timeout_s=300)
+    assert state["done"] and read_collected_sink(spark, sink).count() == 1
+
+
+def test_limit_stops_the_default_stream(spark, tmpdir_path):
+    src, sink, ckpt = (os.path.join(tmpdir_path, n) for n in ("src", "sink", "ckpt"))
+    land_statuses(spark, _statuses_small(spark), src, 12)
+    state = run_collect_stream(spark, src, sink, ckpt, limit=10, max_files_per_trigger=1)
+    assert state["done"] and read_collected_sink(spark, sink).count() == 10
+    assert read_ledger(spark, sink).count() < 12
+    before = read_ledger(spark, sink).count()
+    assert run_collect_stream(spark, src, sink, ckpt, limit=10, max_files_per_trigger=1)["done"]
+    assert read_ledger(spark, sink).count() == before
+
+
+def test_two_runs_append_to_one_sink(spark, tmpdir_path):
     sink = os.path.join(tmpdir_path, "sink")
-    run_collect_stream(spark, src, sink, os.path.join(tmpdir_path, "ckpt"),
-                       assets=derived.assets(spark, SF_SMALL), limit=50, photos_as_limit=True,
-                       max_files_per_trigger=1)
-    got = read_collected_sink(spark, sink)
-    photos = got.select(F.size(F.filter(F.array(*[F.col(f"image_file_{i}") for i in range(4)]),
-                                        lambda x: x.isNotNull())).alias("n")).agg(F.sum("n")).first()[0]
-    assert photos <= 50
+    first_half, second_half = halves(_statuses_small(spark))
+    counts = []
+    for i, half in enumerate((first_half, second_half)):
+        src = os.path.join(tmpdir_path, f"src{i}")
+        land_statuses(spark, half, src, 2)
+        run_collect_stream(spark, src, sink, os.path.join(tmpdir_path, f"ckpt{i}"), max_files_per_trigger=1)
+        counts.append(read_collected_sink(spark, sink).count())
+    assert counts[0] == st.drop_retweets(first_half).count()
+    assert counts[1] == counts[0] + st.drop_retweets(second_half).count()
+
+
+def test_progress_is_kept_whatever_the_session_keeps(spark, tmpdir_path):
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "2")
+    try:
+        src, sink = os.path.join(tmpdir_path, "src"), os.path.join(tmpdir_path, "sink")
+        s = _statuses_small(spark)
+        land_statuses(spark, s, src, 6)
+        run_collect_stream(spark, src, sink, os.path.join(tmpdir_path, "ckpt"), max_files_per_trigger=1)
+        got = read_progress(spark, sink).first()
+        assert (got.batches, got.statuses) == (6, s.count())
+    finally:
+        spark.conf.unset("spark.sql.streaming.numRecentProgressUpdates")
+
+
+def test_no_machine_local_scratch_on_a_cluster(spark, monkeypatch):
+    import pytest
+    from trendloom import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(RuntimeError):
+        session.checkpoint_dir(Session())
 
 
 def test_stream_restart_after_failure_has_no_duplicates(spark, tmpdir_path):
@@ -229,7 +314,7 @@ def test_loop_track_collect_clean_trend_track(spark, tmpdir_path):
         score = 0.9 if i % 3 else 0.1
         _write(os.path.join(base, r.csv_to_json_file_path_0), json.dumps({"aeroplane": [score], "dog": []}))
     clean_job(spark, collected, os.path.join(base, "data/images"), base)
-    cleaned = files.read_collected(spark, collected)
+    cleaned = files.read_collected(spark, sinks.current_version(spark, collected))
     assert cleaned.count() == len(landed)
     conv = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")

@@ -10,6 +10,7 @@ from trendloom.operators import pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.operators.target import target_partition
 from trendloom.plans import q_status
+from trendloom.session import scratch_path
 from trendloom.sources import derived
 from trendloom.sources.tables import table
 
@@ -34,12 +35,32 @@ def test_target_filter_reaches_the_scan(spark):
     assert "LeftSemi" in p
 
 
-def test_tokenizer_evaluated_once_under_phrase_lambdas(spark):
+def test_tracked_terms_meet_tokens_inside_the_scan(spark):
     s = q_status._flat_text(spark, SF_SMALL)
-    p = _plan(track.track_filter(s, q_status._phrases(spark), plan="small"))
-    assert p.count("regexp_extract_all") == 1
-    gen = p.index("Generate inline")
-    assert "regexp_extract_all" in p[gen:]
+    path = scratch_path(spark, "phrases")
+    q_status._phrases(spark).select("phrase").write.text(path)
+    p = _plan(track.match_phrases(s, track.read_tracking(spark, path)))
+    tokens = [line for line in p.splitlines() if "regexp_extract_all" in line]
+    assert sum("xxhash64" in line or "explode" in line for line in tokens) >= 1
+    assert "Cartesian" not in p and "NestedLoop" not in p
+    assert "partial_count" in p                 # hits are counted below the shuffle
+
+
+def test_photo_limit_ranges_and_writes_keys_only(spark, monkeypatch):
+    seen = []
+    real = prefix.range_rows
+
+    def spy(df, *args, **kw):
+        seen.append(df.columns)
+        return real(df, *args, **kw)
+
+    monkeypatch.setattr(prefix, "range_rows", spy)
+    s = derived.nested_statuses(spark, SF_SMALL).withColumn("_id", F.col("id_str").cast("long"))
+    st.photo_limit(s, 37, ["created_at", "_id"]).count()
+    c = table(spark, SF_SMALL, "conversations").select("conv_id", "turn", "role", "text")
+    pages.zip_lists(c.where("role = 'user'").withColumnRenamed("text", "a"), c.where("role <> 'user'")
+                    .withColumnRenamed("text", "b"), ["conv_id"], [F.col("turn")], [F.col("turn")], "a", "b").count()
+    assert seen == [["created_at", "_id", "_n", "_all"], ["conv_id", "_side", "_o0", "_h"]]
 
 
 def test_group_caps_use_partial_window_group_limit(spark):

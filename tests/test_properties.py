@@ -26,9 +26,27 @@ def test_clean_text_is_idempotent_on_tokens(spark):
 
 
 def test_tokens_shape(spark):
-    df = spark.createDataFrame([("Fly the A340 #AvGeek @Boeing_Air and #a @ # x",)], "t string")
-    toks = df.select(clean_tokens("t").alias("k")).first().k
-    assert toks == ["fly", "the", "a340", "#avgeek", "@boeing", "air", "and", "#", "a", "@", "#", "x"]
+    """Expected tokens written by hand."""
+    cases = [
+        ("Fly the A340 #AvGeek @Boeing_Air and #a @ # x",
+         ["fly", "the", "a340", "#avgeek", "@boeing", "air", "and", "#", "a", "@", "#", "x"]),
+        ("call 555 123 4567 or 1 800 555 1234 now", ["call", "555 123 4567", "or", "1 800 555 1234", "now"]),
+        ("id 5551234 and 12345", ["id", "5551234", "and", "12345"]),
+        ("boeing737 a380 ab12 f16s", ["boeing", "737", "a380", "ab12", "f16s"]),
+        ("8d 8D 8p d8 8day so8", ["8d", "8d", "8p", "d8", "8d", "ay", "so8"]),
+        ("##### @@@@@ ###", ["#", "#", "#", "@", "@", "@", "#", "#", "#"]),
+        ("I don't think they've left", ["i", "don", "t", "think", "they", "ve", "left"]),
+        ("", []),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "i int, t string")
+    got = {r.i: r.k for r in df.select("i", clean_tokens("t").alias("k")).collect()}
+    for i, (text, want) in enumerate(cases):
+        assert got[i] == want, text
+
+
+def test_contraction_pieces_are_stop_words(spark):
+    docs = spark.createDataFrame([(1, "I don't think they've left, isn't it? We'll see")], "doc_id long, text string")
+    assert sorted(r.term for r in terms.term_counts(docs).collect()) == ["left", "see", "think"]
 
 
 def test_ngrams_short_inputs(spark):
@@ -100,9 +118,7 @@ def test_track_plans_agree_with_brute_force(spark):
         F.col("id_str").cast("long").alias("tweet_id"), st.full_text().alias("text"))
     phrases = ["#src3", "@Purchase", "thon thth", "Elle de", "lost words", "ble", "#", "!!!"]
     pdf = spark.createDataFrame([(p,) for p in phrases], "phrase string")
-    small = sorted(map(tuple, track.match_phrases_small(s, pdf).collect()))
-    index = sorted(map(tuple, track.match_phrases_indexed(s, pdf).collect()))
-    assert small == index
+    small = sorted(map(tuple, track.match_phrases(s, pdf).collect()))
     toks = {r.tweet_id: set(r.k) for r in s.select("tweet_id", clean_tokens("text").alias("k")).collect()}
     pt = {r.phrase: set(r.terms) for r in track.phrase_table(pdf).collect()}
     assert "!!!" not in pt
@@ -110,13 +126,20 @@ def test_track_plans_agree_with_brute_force(spark):
     assert small == brute
 
 
-def test_track_filter_plans_agree(spark):
-    s = derived.nested_statuses(spark, SF_SMALL).select(
-        F.col("id_str").cast("long").alias("tweet_id"), st.full_text().alias("text"))
-    pdf = spark.createDataFrame([("ble",), ("#src1",), ("thon thth",)], "phrase string")
-    a = sorted(map(tuple, track.track_filter(s, pdf, plan="small").select("tweet_id", "n_phrases").collect()))
-    b = sorted(map(tuple, track.track_filter(s, pdf, plan="indexed").select("tweet_id", "n_phrases").collect()))
-    assert a == b and a
+def test_track_filter_with_repeated_ids(spark):
+    rows = [(1, "alpha beta"), (1, "alpha beta"), (2, "alpha x"), (2, "beta y"), (3, "alpha beta"), (4, None)]
+    s = spark.createDataFrame(rows, "tweet_id long, text string")
+    pdf = spark.createDataFrame([("alpha beta",), ("beta alpha",), ("x",)], "phrase string")
+    got = sorted((r.tweet_id, r.text, r.n_phrases) for r in track.track_filter(s, pdf).collect())
+    assert got == [(1, "alpha beta", 2), (1, "alpha beta", 2), (2, "alpha x", 1), (3, "alpha beta", 2)]
+
+
+def test_track_filter_with_a_long_list(spark):
+    phrases = [f"t{i} o{i % 7}" for i in range(3000)]
+    s = spark.createDataFrame([(i, f"say t{i} and o{i % 5}") for i in range(0, 3000, 10)], "tweet_id long, text string")
+    pdf = spark.createDataFrame([(p,) for p in phrases], "phrase string")
+    got = sorted(r.tweet_id for r in track.track_filter(s, pdf).collect())
+    assert got == [i for i in range(0, 3000, 10) if i % 7 == i % 5]
 
 
 def test_running_sum_with_hot_group(spark):
@@ -221,14 +244,100 @@ def test_running_max_exclusive_with_hot_group(spark):
         best[g] = max(best.get(g, v), v)
 
 
-def test_nms_hot_image_split_matches_per_image_fold(spark):
+def test_nms_of_one_hot_image(spark):
+    """One image that holds every candidate: same answer as the brute force."""
     raw = derived.detections(spark, SF_MID)
-    a = sorted(map(tuple, detect.suppress_overlaps(raw, 0.3, 0.3).collect()))
-    b = sorted(map(tuple, detect.suppress_overlaps(raw, 0.3, 0.3, hot_image_boxes=0).collect()))
-    assert a == b and a
-    # one synthetic image holding every candidate: same answer as the brute force
     one = raw.withColumn("image_id", F.lit(7).cast("long"))
     dec = [r.asDict() for r in detect.decode_detections(one, 0.3).collect()]
-    got = [r.pos for r in detect.suppress_overlaps(one, 0.3, 0.3, hot_image_boxes=10)
-           .orderBy("keep_rank").collect()]
+    got = [r.pos for r in detect.suppress_overlaps(one, 0.3, 0.3).orderBy("keep_rank").collect()]
     assert got == _brute_nms(dec, 0.3)
+
+
+def test_class_list_of_any_length(spark):
+    labels = spark.range(150_000).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("c"), "id").alias("label"))
+    raw = spark.createDataFrame([(1, 0, 10, 10, [0.5, 0.5, 0.2, 0.2, 1.0, 0.1, 0.9])],
+                                "image_id long, pos long, w int, h int, vec array<double>")
+    doc = detect.confidence_map(raw, labels).select(F.size("detected"), "detected.c1", "detected.c149999").first()
+    assert tuple(doc) == (150_000, [0.9], [])
+
+
+def test_model_is_loaded_once_per_worker(spark, tmpdir_path):
+    marks = tmpdir_path
+
+    def load():
+        import os
+        import uuid
+        open(os.path.join(marks, uuid.uuid4().hex), "w").close()
+
+        def model(pdf):
+            pdf = pdf[["id"]].copy()
+            pdf["pid"] = os.getpid()
+            return pdf
+        return model
+
+    df = spark.range(1600).repartition(16)
+    scored = detect.score_images(df.withColumn("x", F.lit(0)), load, "x", ["id"], "id long, pid long")
+    workers = {r.pid for r in scored.collect()}
+    import os
+    assert len(os.listdir(marks)) == len(workers) < 16
+
+
+def test_photo_limit_counts_each_delivery(spark):
+    media = [Row(type="photo", media_url="a"), Row(type="photo", media_url="b")]
+    rows = [("1", 1, media), ("2", 2, media), ("2", 2, media), ("3", 3, []), ("4", 4, media)]
+    df = spark.createDataFrame(rows, "id_str string, created_at int, m array<struct<type:string,media_url:string>>")
+    df = df.select("id_str", "created_at", F.struct(F.col("m").alias("media")).alias("extended_entities"))
+    got = sorted((r.id_str, r.photos_so_far) for r in st.photo_limit(df, 4).collect())
+    assert got == [("1", 2), ("2", 4)]
+    got = sorted((r.id_str, r.photos_so_far) for r in st.photo_limit(df, 7).collect())
+    assert got == [("1", 2), ("2", 4), ("2", 6), ("3", 6)]
+
+
+def test_top_n_without_a_limit_ranks_from_one(spark):
+    df = spark.range(1000).select(F.col("id").alias("n")).repartition(8)
+    got = terms.top_n(df, [F.col("n").desc()], None).collect()
+    assert sorted((r["rank"], r.n) for r in got) == [(i + 1, 999 - i) for i in range(1000)]
+
+
+def test_page_patterns_by_hand(spark):
+    from trendloom.operators import pages
+    html = {
+        "content first": ('<meta content="u&amp;v" property="og:image">', "u&v"),
+        "single quotes": ("<meta property='og:image' content='a\"b'>", 'a"b'),
+        "spaces and case": ('<META  Property = "og:image"\n Content = "x" />', "x"),
+        "other property first": ('<meta property="og:title" content="t"><meta property="og:image" content="y">', "y"),
+        "value in another value": ('<meta name="property=og:image" content="no">', None),
+        "absent": ("<p>none</p>", None),
+    }
+    df = spark.createDataFrame([(k, v[0]) for k, v in html.items()], "k string, html string")
+    got = {r.k: r.m for r in df.select("k", pages.page_meta("html", "og:image").alias("m")).collect()}
+    assert got == {k: v[1] for k, v in html.items()}
+    links = spark.createDataFrame([("""<img data-src="lazy.jpg" src="real.jpg"><img SRC='b.jpg'>""",)], "html string")
+    assert links.select(pages.page_links("html", "src").alias("l")).first().l == ["real.jpg", "b.jpg"]
+    caption = spark.createDataFrame([("<li><div><span>A &lt;b&gt; <i>c</i></span></div></li><time>",), ("<li><span>x</span>",)],
+                                    "html string")
+    assert [r.c for r in caption.select(pages.page_caption("html").alias("c")).collect()] == ["A <b> c", ""]
+
+
+def test_bfs_with_one_hot_source_and_no_cap(spark):
+    """One source holds a third of the edges; no neighbour is cut."""
+    import random
+    rng = random.Random(5)
+    pairs = {(7, d) for d in range(100, 400)} | {(1, 7), (1, 8)}
+    while len(pairs) < 900:
+        pairs.add((rng.randrange(1, 300), rng.randrange(1, 300)))
+    pairs = {(a, b) for a, b in pairs if a != b}
+    adj = collections.defaultdict(list)
+    for a, b in sorted(pairs):
+        adj[a].append(b)
+    seen, order, q = {1: 0}, [1], collections.deque([1])
+    while q:
+        u = q.popleft()
+        for v in adj[u]:
+            if v not in seen:
+                seen[v] = seen[u] + 1
+                order.append(v)
+                q.append(v)
+    e = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    got = graph.snowball(e, 1).orderBy("visit_order").collect()
+    assert [r.user_id for r in got] == order and {r.user_id: r.depth for r in got} == seen

@@ -3,12 +3,12 @@
 Fixed values: Spark ML's bundled English stop-word list
 (``StopWordsRemover.loadDefaultStopWords("english")``) with four words
 removed that the trend lists must keep: could, would, cannot, ought.
-Words with an apostrophe can never match cleaned text; they are kept so the
-list stays the public list.
+Cleaning splits a contraction at its apostrophe, so the pieces of each
+contraction are stop words too.
 """
 
 # fixed values (Spark's English list minus could / would / cannot / ought)
-ENGLISH_STOP_WORDS = tuple("""
+PUBLIC_LIST = tuple("""
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
 she her hers herself it its itself they them their theirs themselves what which who whom
 this that these those am is are was were be been being have has had having do does did
@@ -23,6 +23,9 @@ mustn't can't couldn't here's how's let's that's there's what's when's where's w
 why's
 """.split())
 
+#: the list and the pieces that cleaning leaves of its contractions
+ENGLISH_STOP_WORDS = tuple(dict.fromkeys([*PUBLIC_LIST, *(p for w in PUBLIC_LIST if "'" in w for p in w.split("'"))]))
+
 
 def sql_list(words=ENGLISH_STOP_WORDS) -> str:
     """The list as a SQL ``IN (...)`` body (quotes doubled)."""

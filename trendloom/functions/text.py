@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 # fixed values: the cleaning and token patterns.
 # clean: a URL up to the end of its line, or any run of characters other than
 #        ASCII letters, digits, '#' and '@', becomes one space.
-# token: hashtags (#+ then at least two word chars), handles (@ then word
-#        chars), words, and a bare '#' or '@'.
+# token: the public tweet tokenizer's rules as far as they can match cleaned,
+#        lower-case text, in its order: phone numbers, emoticons with the eyes
+#        '8', handles, hashtags (#+ then at least two word chars), words of
+#        three or more letters (which end before a digit), other words, and a
+#        bare '#' or '@'.
+# hang:  four or more equal signs in a row become three before tokenizing.
 CLEAN_PATTERN = r"https?://[^\n]*[\r\n]*|[^0-9a-zA-Z#@]+"
-TOKEN_PATTERN = r"#+\w\w+|@\w+|\w+|[#@]"
+TOKEN_PATTERN = (r"(?:[01] *)?(?:[0-9]{3} *)?[0-9]{3} *[0-9]{4}|8o?[dp@]|[dp@]o?8|@\w+|#+\w\w+"
+                 r"|[a-z]{3,}|\w+|[#@]")
+HANG_PATTERNS = (("#{4,}", "###"), ("@{4,}", "@@@"))
 WORD_CLEAN_PATTERN = r"[^0-9a-zA-Z#@]+"
 
 
@@ -37,7 +43,10 @@ def clean_text(col, url_mode: str = "line") -> Column:
 
 def tokenize(col) -> Column:
     """X2. Lower-case, then all token matches in order (array<string>)."""
-    return F.regexp_extract_all(F.lower(_c(col)), F.lit(TOKEN_PATTERN), 0)
+    low = F.lower(_c(col))
+    for pattern, three in HANG_PATTERNS:
+        low = F.when(F.contains(low, F.lit(three + three[0])), F.regexp_replace(low, pattern, three)).otherwise(low)
+    return F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
 
 
 def clean_tokens(col, url_mode: str = "line") -> Column:

@@ -5,28 +5,27 @@ vec = [cx, cy, bw, bh, objectness, score_0, ...] normalised to 0..1 and
 ``pos`` the output order.  All steps but the model hook are Catalyst
 expressions (higher-order functions), so they run in codegen.
 
-Group sizes: suppression works per image.  The boxes of one image are
-normally bounded by the detector's output grid (a fixed property of the
-network and its input size, about 10^4 for a 416x416 input); an image with
-more candidates than ``HOT_IMAGE_BOXES`` is first cut into x-components
-that cannot interact (``x_components``), so no single image has to be
-folded in one task.  The per-image confidence map is one document per
-image by definition and is assembled from the kept boxes.
+Group sizes: suppression works per image.  Images are first cut into
+components that cannot interact (``box_components``), so no image has to be
+folded in one task; boxes that chain across both axes stay one group.  The
+per-image confidence map is one document per image by definition and is
+assembled from the kept boxes.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.operators.prefix import ordinal, running_agg, running_sum
+from trendloom.operators.prefix import ordinal, range_rows, running_over
+from trendloom.session import ship_package
 
 DEFAULT_MIN_CONFIDENCE = 0.5
 DEFAULT_NMS_THRESHOLD = 0.3
-MAX_CLASSES = 100_000  # class list read on the driver up to this (checked)
-HOT_IMAGE_BOXES = 50_000  # above this many candidates in one image, split it first
 
 _BOX = "struct<k:double,pos:bigint,confidence:double,class_id:int,x:int,y:int,bw:int,bh:int>"
 
@@ -77,23 +76,6 @@ def _iou_f32(a: Column, b: Column) -> Column:
     return (F.lit(1.0) - (F.lit(1.0) - ratio)).cast("float")
 
 
-def kept_boxes(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
-               nms_threshold: float = DEFAULT_NMS_THRESHOLD) -> DataFrame:
-    """Greedy class-agnostic suppression per image.
-
-    Candidates (confidence > min_confidence) are gathered per image and
-    sorted by (confidence desc, pos asc); a fold keeps a box unless a kept
-    box overlaps it by more than ``nms_threshold``.  Every image of the
-    input appears, with an empty list when nothing is kept.
-    """
-    d = decode_boxes(raw)
-    cand = F.when(F.col("confidence") > min_confidence, F.struct(
-        (-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
-        F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh"))
-    grouped = d.groupBy("image_id").agg(F.sort_array(F.collect_list(cand)).alias("_cand"))
-    return grouped.select("image_id", _fold(F.col("_cand"), nms_threshold).alias("kept"))
-
-
 def _fold(sorted_boxes: Column, nms_threshold: float) -> Column:
     """Greedy pass over boxes sorted by (confidence desc, pos): keep a box
     unless a kept one overlaps it by more than the threshold."""
@@ -107,17 +89,18 @@ def _fold(sorted_boxes: Column, nms_threshold: float) -> Column:
 def _sweep(boxes: DataFrame, group: list[str], lo: str, size: str, out: str) -> DataFrame:
     """Adds ``out``: boxes of each group swept along one axis; a box starts a
     new component when its low edge is at or beyond the high edge of every
-    box before it.  Both passes are distributed running aggregates (a hot
-    group spans many range partitions)."""
+    box before it.  Both passes are distributed running aggregates over the
+    same ranges (a hot group spans many of them)."""
     order = [F.col(lo), F.col("pos")]
-    e = running_agg(boxes, F.col(lo) + F.col(size), order, group, out="_prev_end",
-                    inclusive=False, how="max")
+    ranged = range_rows(boxes, order, group)
+    e = running_over(ranged, F.col(lo) + F.col(size), order, group, out="_prev_end",
+                     inclusive=False, how="max")
     e = e.withColumn("_start", (F.col("_prev_end").isNull()
                                 | (F.col(lo) >= F.col("_prev_end"))).cast("long"))
-    return running_sum(e, F.col("_start"), order, group, out=out).drop("_prev_end", "_start")
+    return running_over(e, F.col("_start"), order, group, out=out).drop("_prev_end", "_start", "_pid")
 
 
-def x_components(boxes: DataFrame) -> DataFrame:
+def box_components(boxes: DataFrame) -> DataFrame:
     """Adds ``comp`` (x sweep) and ``comp_y`` (y sweep inside each x
     component).  Boxes in different components have disjoint x- or
     y-extents, so they never overlap and never suppress each other: greedy
@@ -128,26 +111,19 @@ def x_components(boxes: DataFrame) -> DataFrame:
 
 
 def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
-                      nms_threshold: float = DEFAULT_NMS_THRESHOLD,
-                      hot_image_boxes: int = HOT_IMAGE_BOXES) -> DataFrame:
-    """Kept boxes, one row each, with their keep order.
-
-    Images are independent.  When some image has more than
-    ``hot_image_boxes`` candidates (checked with one aggregate), images are
-    first cut into x-components (``x_components``) and each (image,
-    component) is folded separately; the keep order over the whole image
-    is then a distributed running count."""
+                      nms_threshold: float = DEFAULT_NMS_THRESHOLD) -> DataFrame:
+    """Greedy class-agnostic suppression; kept boxes, one row each, with
+    their keep order in the image.
+
+    Candidates (confidence > min_confidence) of an image are cut into
+    components that cannot overlap (``box_components``); each is folded in
+    (confidence desc, pos asc) order, and a box is kept unless a kept box
+    overlaps it by more than ``nms_threshold``.  The keep order over the whole
+    image is a distributed running count.  One path for images of any size."""
     cand = decode_boxes(raw).where(F.col("confidence") > min_confidence)
-    largest = cand.groupBy("image_id").count().agg(F.max("count")).first()[0] or 0
-    if largest <= hot_image_boxes:
-        k = kept_boxes(raw, min_confidence, nms_threshold)
-        return k.select("image_id", F.posexplode("kept").alias("keep_rank", "b")).select(
-            "image_id", F.col("keep_rank").cast("int"), "b.pos", "b.class_id", "b.confidence",
-            "b.x", "b.y", "b.bw", "b.bh")
-    comps = x_components(cand)
     box = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
                    F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh")
-    grouped = (comps.groupBy("image_id", "comp", "comp_y")
+    grouped = (box_components(cand).groupBy("image_id", "comp", "comp_y")
                .agg(F.sort_array(F.collect_list(box)).alias("_cand")))
     kept = grouped.select("image_id", F.explode(_fold(F.col("_cand"), nms_threshold)).alias("b")).select(
         "image_id", "b.pos", "b.class_id", "b.confidence", "b.x", "b.y", "b.bw", "b.bh")
@@ -156,37 +132,33 @@ def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFID
                          "class_id", "confidence", "x", "y", "bw", "bh")
 
 
-def _label_array(labels: DataFrame) -> Column:
-    n = labels.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} class labels exceed {MAX_CLASSES}")
-    rows = labels.orderBy("class_id").collect()  # bounded by MAX_CLASSES (checked)
-    return F.array(*[F.struct(F.lit(r["class_id"]).alias("id"), F.lit(r["label"]).alias("label"))
-                     for r in rows])
-
-
 def confidence_map(raw: DataFrame, labels: DataFrame,
                    min_confidence: float = DEFAULT_MIN_CONFIDENCE,
                    nms_threshold: float = DEFAULT_NMS_THRESHOLD) -> DataFrame:
     """Per image, label -> confidences of the kept boxes in kept
     order; every label of the class list is present (empty list if none).
-    Built per row from the literal class list: no join with the labels."""
-    lab = _label_array(labels)
-    k = kept_boxes(raw, min_confidence, nms_threshold)
-    entries = F.transform(lab, lambda l: F.struct(
-        l["label"].alias("key"),
-        F.transform(F.filter(F.col("kept"), lambda b: b["class_id"] == l["id"]),
-                    lambda b: b["confidence"]).alias("value")))
-    return k.select("image_id", F.map_from_entries(entries).alias("detected"))
+
+    Kept boxes are grouped by class once and joined with the class list; the
+    empty labels are filled in from the list as a scalar subquery.  The list is
+    a property of the model and may have any length."""
+    kept = suppress_overlaps(raw, min_confidence, nms_threshold)
+    per_class = (kept.groupBy("image_id", "class_id")
+                 .agg(F.sort_array(F.collect_list(F.struct("keep_rank", "confidence"))).alias("_c"))
+                 .join(labels.select("class_id", "label"), "class_id"))
+    found = per_class.groupBy("image_id").agg(F.map_from_entries(F.collect_list(F.struct(
+        "label", F.transform("_c", lambda c: c["confidence"])))).alias("_found"))
+    names = labels.agg(F.transform(F.sort_array(F.collect_list(F.struct("class_id", "label"))),
+                                   lambda l: l["label"])).scalar()
+    none = F.array().cast("array<double>")
+    images = raw.select("image_id").distinct().join(found, "image_id", "left").withColumn("_labels", names)
+    entries = F.transform("_labels", lambda l: F.struct(
+        l.alias("key"), F.coalesce(F.try_element_at("_found", l), none).alias("value")))
+    return images.select("image_id", F.map_from_entries(entries).alias("detected"))
 
 
 def caption_labels(kept: DataFrame, labels: DataFrame) -> DataFrame:
-    """P9 + J9: "<label>: <confidence to 4 places>" per kept box.  The class
-    list is a model property (size checked), so it is broadcast."""
-    n = labels.count()
-    if n > MAX_CLASSES:
-        raise ValueError(f"{n} class labels exceed {MAX_CLASSES}")
-    j = kept.join(F.broadcast(labels), "class_id")
+    """P9 + J9: "<label>: <confidence to 4 places>" per kept box."""
+    j = kept.join(labels, "class_id")
     return j.withColumn("caption", F.format_string("%s: %.4f", F.col("label"), F.col("confidence")))
 
 
@@ -198,24 +170,32 @@ def target_in_map(detected: Column, target: str, threshold: float = 0.5) -> Colu
 
 
 # ---------------------------------------------------------------- D4 hook --
-_MODELS: dict[int, object] = {}
+MODELS: dict[str, object] = {}  # of this Python worker, by the loader's digest
+
+
+def worker_model(key: str, load_model: Callable[[], Callable]):
+    """The worker's model for ``key``, loaded on first use."""
+    if key not in MODELS:
+        MODELS[key] = load_model()
+    return MODELS[key]
 
 
 def score_images(df: DataFrame, load_model: Callable[[], Callable], input_col: str,
                  keep_cols: list[str], out_schema: str) -> DataFrame:
     """Apply a user model to every row with ``mapInPandas``.
 
-    ``load_model()`` is called once per Python worker and cached; the model
+    ``load_model()`` is called once per Python worker; its model is kept in
+    this module (which the worker imports) under the digest of the pickled
+    loader, so equal loaders share it and others do not collide.  The model
     receives a pandas DataFrame batch (Arrow) with ``keep_cols`` and
     ``input_col`` and returns a pandas DataFrame matching ``out_schema``.
     """
-    key = id(load_model)
+    key = hashlib.sha256(cloudpickle.dumps(load_model)).hexdigest()
+    ship_package(df.sparkSession)
 
     def run(batches: Iterator):
-        model = _MODELS.get(key)
-        if model is None:
-            model = load_model()
-            _MODELS[key] = model
+        from trendloom.operators import detect  # the worker's module, not a pickled copy of its globals
+        model = detect.worker_model(key, load_model)
         for pdf in batches:
             yield model(pdf)
 
@@ -238,3 +218,24 @@ def linear_scorer(weights: list[float], input_col: str = "embedding",
         return model
     return load
 
+
+
+def embedding_detector(input_col: str = "embedding", key_cols: tuple[str, ...] = ("image_id", "pos"),
+                       width: int = 640, height: int = 480) -> Callable[[], Callable]:
+    """A stand-in detector for the hook: raw detector rows from a vector
+    [cx, cy, w, h, objectness, scores...] around the image's centre."""
+    def load():
+        import numpy as np
+        import pandas as pd
+
+        def model(pdf: pd.DataFrame) -> pd.DataFrame:
+            out = pdf[list(key_cols)].copy()
+            out["w"], out["h"] = width, height
+            vectors = [np.asarray(v, dtype="float64") for v in pdf[input_col]]
+            out["vec"] = [np.concatenate([0.5 + v[:2], 0.2 + np.abs(v[2:4]), v[4:5], np.abs(v[5:])]) for v in vectors]
+            return out
+        return model
+    return load
+
+
+DETECTOR_SCHEMA = "w int, h int, vec array<double>"

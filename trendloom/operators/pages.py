@@ -23,23 +23,58 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+# fixed patterns: a meta tag (quoted values may hold '>'), its attributes, and
+# the entities that are decoded (last the ampersand itself)
+META_TAG = r"""(?i)<meta(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*\s*/?>"""
+ATTRIBUTE = r"""[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
+            ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
+
+
+def unescape(text: Column) -> Column:
+    """The common entities decoded."""
+    for entity, char in ENTITIES:
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
+
+
+def _unquoted(value: Column) -> Column:
+    return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
+
+
+def _named(attributes: Column, name: str) -> Column:
+    """The value of the first attribute called ``name`` in an array of
+    ``name=value`` strings; null without one."""
+    found = F.filter(attributes, lambda a: F.lower(F.trim(F.substring_index(a, "=", 1))) == name.lower())
+    first = F.get(found, F.lit(0))
+    return _unquoted(F.regexp_replace(first, r"^[^=]*=\s*", ""))
+
+
+def _metas(html) -> Column:
+    """The meta tags of a page, each as its array of attributes."""
+    tags = F.regexp_extract_all(_c(html), F.lit(META_TAG), 0)
+    return F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(ATTRIBUTE), 0))
+
+
 def page_meta(html, prop: str, attr: str = "property") -> Column:
-    """P10: ``content`` of the first ``<meta {attr}="{prop}" content=...>``;
-    null when absent."""
-    pat = '<meta ' + re.escape(attr) + '="' + re.escape(prop) + '" content="([^"]*)"'
-    return F.nullif(F.regexp_extract(_c(html), pat, 1), F.lit(""))
+    """P10: ``content`` of the first meta tag whose ``attr`` is ``prop``, with
+    its attributes in any order and either quote, decoded; null when absent."""
+    values = F.transform(F.filter(_metas(html), lambda a: _named(a, attr) == prop), lambda a: _named(a, "content"))
+    return F.nullif(F.get(values, F.lit(0)), F.lit(""))
 
 
 def meta_attr(html, attr: str) -> Column:
     """Value of ``attr`` on the first meta element carrying it (e.g. charset)."""
-    pat = '<meta ' + re.escape(attr) + '="([^"]*)"'
-    return F.nullif(F.regexp_extract(_c(html), pat, 1), F.lit(""))
+    values = F.filter(F.transform(_metas(html), lambda a: _named(a, attr)), lambda v: v.isNotNull())
+    return F.nullif(F.get(values, F.lit(0)), F.lit(""))
 
 
 def page_links(html, attr: str = "src", pattern: str | None = None, n: int | None = None) -> Column:
-    """Values of ``attr="..."`` in page order, optionally only those
-    matching ``pattern``, first ``n`` (None = all)."""
-    links = F.regexp_extract_all(_c(html), F.lit(re.escape(attr) + '="([^"]*)"'), 1)
+    """Values of the attribute ``attr`` (either quote, decoded) in page
+    order, optionally only those matching ``pattern``, first ``n`` (None = all).
+    A longer name that ends in ``attr`` (data-src) is another attribute."""
+    found = F.regexp_extract_all(_c(html), F.lit(r"(?i)\s" + re.escape(attr) + r"""\s*=\s*("[^"]*"|'[^']*')"""), 1)
+    links = F.transform(found, _unquoted)
     if pattern is not None:
         links = F.filter(links, lambda u: u.rlike(pattern))
     if n is not None:
@@ -47,6 +82,15 @@ def page_links(html, attr: str = "src", pattern: str | None = None, n: int | Non
     return links
 
 
+def page_caption(html) -> Column:
+    """The caption of a post page: the text of the first span of a list item
+    before the page's time element, tags dropped and decoded; '' when the
+    page has no time element or no such span."""
+    before = F.regexp_extract(_c(html), r"(?is)^(.*?)<time[\s>]", 1)
+    span = F.regexp_extract(before, r"(?is)<li[^>]*>\s*(?:<div[^>]*>\s*)*<span[^>]*>(.*?)</span>", 1)
+    return unescape(F.regexp_replace(span, r"<[^>]*>", ""))
+
+
 def page_post_count(html) -> Column:
     """The post count embedded in the page JSON (first of the known
     keys), null when absent."""
@@ -108,13 +152,30 @@ def first_n(df: DataFrame, group: list[str], order: list[Column], n: int,
 def zip_lists(left: DataFrame, right: DataFrame, key: list[str], order_left: list[Column],
               order_right: list[Column], value_left: str, value_right: str) -> DataFrame:
     """Pair the i-th item of the left list with the i-th of the right
-    list per key, stopping at the shorter list.  Ordinals come from the
-    segmented running count (no per-key single-task window); the pairing is
-    an equi-join on (key, ordinal)."""
-    a = ordinal(left.select(*key, *[c for c in order_left], F.col(value_left).alias("_a")),
-                order_left, key, out="_i").select(*key, "_i", "_a")
-    b = ordinal(right.select(*key, *[c for c in order_right], F.col(value_right).alias("_b")),
-                order_right, key, out="_i").select(*key, "_i", "_b")
-    return a.join(b, [*key, "_i"]).select(*key, F.col("_i").alias("pos"),
-                                          F.col("_a").alias(value_left),
-                                          F.col("_b").alias(value_right))
+    list per key, stopping at the shorter list.
+
+    Items are numbered once, as (key, side, order, hash of the value) rows by
+    the segmented running count (no per-key single-task window, and no value
+    in it); the numbered rows of both sides are paired by an equi-join on
+    (key, ordinal), and then the values are joined back."""
+    def items(df: DataFrame, order: list[Column], value: str, side: str) -> DataFrame:
+        return df.select(*key, F.lit(side).alias("_side"), *[c.alias(f"_o{i}") for i, c in enumerate(order)],
+                         F.xxhash64(F.col(value)).alias("_h"), F.col(value).alias("_value"))
+
+    a, b = items(left, order_left, value_left, "a"), items(right, order_right, value_right, "b")
+    keys = [c for c in a.columns if c.startswith("_o")] + ["_h"]
+    narrow = a.drop("_value").unionByName(b.drop("_value"))
+    numbered = ordinal(narrow, [F.col(c) for c in keys], [*key, "_side"], out="_i")
+
+    def side(name: str) -> DataFrame:
+        return numbered.where(F.col("_side") == name).select(*key, "_i", *[F.col(c).alias(f"{c}_{name}") for c in keys])
+
+    def valued(pairs: DataFrame, rows: DataFrame, name: str, value: str) -> DataFrame:
+        # equal items are one value
+        values = rows.groupBy(*key, *keys).agg(F.first("_value").alias(value))
+        values = values.select(*key, *[F.col(c).alias(f"{c}_{name}") for c in keys], value)
+        return pairs.join(values, [*key, *[f"{c}_{name}" for c in keys]])
+
+    pairs = side("a").join(side("b"), [*key, "_i"])
+    pairs = valued(valued(pairs, a, "a", value_left), b, "b", value_right)
+    return pairs.select(*key, F.col("_i").alias("pos"), value_left, value_right)

@@ -12,10 +12,13 @@ A running sum over a global order written as one ``Window.orderBy`` with no
 3. per (partition id, group) totals - one row per piece, not per row - and
    an exclusive running sum of those totals per group, ordered by partition
    id (range order = key order).
-4. join the offset back; running = local + offset.
+4. join the offset back; running = local + offset.  Only a group that goes on
+   from an earlier partition has an offset, and a partition has at most one
+   such group (its first), so the offsets have at most one row for each partition and
+   are broadcast.
 
-Without groups the offsets table has at most ``num_partitions`` rows, so it
-is broadcast (its size is bounded by construction).
+All columns of the rows are moved and written once, so callers pass narrow rows
+(keys and numbers) and join wide columns back by key.
 """
 
 from __future__ import annotations
@@ -32,53 +35,61 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def running_agg(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
-                out: str = "running", inclusive: bool = True, how: str = "sum",
-                num_partitions: int | None = None) -> DataFrame:
-    """Adds ``out`` = sum (``how='sum'``) or max (``how='max'``) of ``value``
-    over the rows up to this one (``inclusive``) or before it, in
-    ``order_by`` per ``partition_by`` group.  ``order_by`` must be a total
-    order (add a unique tie-breaker).  An exclusive max of the first row of a
-    group is null; an exclusive sum is 0."""
-    if how not in ("sum", "max"):
-        raise ValueError(f"unknown aggregate {how!r}")
-    agg = F.sum if how == "sum" else F.max
-    spark = df.sparkSession
-    part = list(partition_by)
-    order = [_col(c) for c in order_by]
-    base = df.withColumn("_v", _col(value))
-    keys = [*[F.col(c) for c in part], *order]
+def range_rows(df: DataFrame, order_by: Sequence, partition_by: Sequence[str] = (),
+               num_partitions: int | None = None) -> DataFrame:
+    """``df`` dealt by ranges of (group, order) with the partition in ``_pid``,
+    written once."""
+    keys = [*[F.col(c) for c in partition_by], *[_col(c) for c in order_by]]
     # Without an explicit count AQE may coalesce small ranges; it merges
     # adjacent ones only, so partition ids still follow key order.
-    ranged = (base.repartitionByRange(num_partitions, *keys) if num_partitions
-              else base.repartitionByRange(*keys))
-    ranged = ranged.withColumn("_pid", F.spark_partition_id())
+    ranged = df.repartitionByRange(num_partitions, *keys) if num_partitions else df.repartitionByRange(*keys)
     # Range bounds come from sampling and are not guaranteed to be equal in
-    # two executions of the exchange, while both branches below must see
+    # two executions of the exchange, while all branches of ``running_over`` must see
     # the same partition of every row: assign it once and materialise it
     # (reliable checkpoint in the shared folder, also a lineage cut).
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    checkpoint_dir(df.sparkSession)
+    return ranged.withColumn("_pid", F.spark_partition_id()).checkpoint(eager=True)
+
+
+def running_over(ranged: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
+                 out: str = "running", inclusive: bool = True, how: str = "sum") -> DataFrame:
+    """Adds ``out`` to rows dealt by ``range_rows`` with the same keys."""
+    if how not in ("sum", "max"):
+        raise ValueError(f"unknown aggregate {how!r}")
+    agg = F.sum if how == "sum" else F.max
+    part, order = list(partition_by), [_col(c) for c in order_by]
+    rows = ranged.withColumn("_v", _col(value))
     last = Window.currentRow if inclusive else -1
     w_local = (Window.partitionBy("_pid", *part).orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, last))
-    local = ranged.withColumn("_loc", agg("_v").over(w_local))
-    totals = ranged.groupBy("_pid", *part).agg(agg("_v").alias("_tot"))
-    if part:
-        w_off = Window.partitionBy(*part).orderBy("_pid")
-    else:
-        # one row per range partition: bounded by the number of partitions.
-        w_off = Window.orderBy("_pid")
-    w_off = w_off.rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("_pid", *part, agg("_tot").over(w_off).alias("_off"))
-    if not part:
-        offsets = F.broadcast(offsets)
-    res = local.join(offsets, ["_pid", *part])
+    local = rows.withColumn("_loc", agg("_v").over(w_local))
+    totals = rows.groupBy("_pid", *part).agg(agg("_v").alias("_tot"))
+    # pieces of one group (without groups: one row per range partition)
+    w_off = (Window.partitionBy(*part) if part else Window).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(F.col("_pid").alias("_opid"), *[F.col(c).alias(f"_o_{i}") for i, c in enumerate(part)],
+                            agg("_tot").over(w_off).alias("_off")).where(F.col("_off").isNotNull())
+    same = F.col("_pid") == F.col("_opid")
+    for i, c in enumerate(part):
+        same = same & F.col(c).eqNullSafe(F.col(f"_o_{i}"))
+    # at most one row for each range partition, see above
+    res = local.join(F.broadcast(offsets), same, "left")
     if how == "sum":
         run = F.coalesce(F.col("_loc"), F.lit(0)) + F.coalesce(F.col("_off"), F.lit(0))
     else:
         run = F.greatest(F.col("_loc"), F.col("_off"))
-    return res.withColumn(out, run).drop("_v", "_loc", "_off", "_pid")
+    return res.withColumn(out, run).drop("_v", "_loc", "_off", "_opid", *[f"_o_{i}" for i in range(len(part))])
+
+
+def running_agg(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),
+                out: str = "running", inclusive: bool = True, how: str = "sum",
+                num_partitions: int | None = None) -> DataFrame:
+    """Adds ``out`` = sum (``how='sum'``) or max (``how='max'``) of ``value``
+    over the rows up to this one (``inclusive``) or before it, in
+    ``order_by`` per ``partition_by`` group.  ``order_by`` must be a total
+    order (add a unique tie-breaker).  An exclusive max of the first row of a
+    group is null; an exclusive sum is 0."""
+    ranged = range_rows(df, order_by, partition_by, num_partitions)
+    return running_over(ranged, value, order_by, partition_by, out, inclusive, how).drop("_pid")
 
 
 def running_sum(df: DataFrame, value, order_by: Sequence, partition_by: Sequence[str] = (),

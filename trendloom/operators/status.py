@@ -105,28 +105,20 @@ def asset_paths(statuses: DataFrame) -> DataFrame:
 
 
 def all_media_resolved(statuses: DataFrame, assets: DataFrame, url_col: str = "media_url",
-                       id_col: str = "id_str", probe_limit: int | None = None) -> DataFrame:
+                       id_col: str = "id_str") -> DataFrame:
     """Drop a status when any of its photos has no landed asset;
     statuses without photos are kept.
 
     Photos are exploded and anti-joined with the asset listing (shuffle on
     the URL; a hot URL is split by AQE's skew-join handling, the asset side
     is never forced to broadcast because a listing grows with the data).
-    The few statuses with a missing photo are then anti-joined away.
-
-    ``probe_limit``: when the statuses are a bounded batch (a stream's
-    micro-batch), their distinct photo URLs are counted and, up to this
-    bound, broadcast into a semi join over the listing, so the listing is
-    scanned but never shuffled for each batch.
+    The ids with a missing photo are then anti-joined away; AQE broadcasts
+    them if they are few, so that the texts are not shuffled.
     """
     urls = statuses.select(F.col(id_col).alias("_sid"),
                            F.explode(photo_urls()).alias("_url"))
     listing = assets.select(F.col(url_col).alias("_url"))
-    if probe_limit is not None:
-        wanted = urls.select("_url").distinct()
-        if wanted.count() <= probe_limit:
-            listing = listing.join(F.broadcast(wanted), "_url", "left_semi")
-    missing = urls.join(listing, "_url", "left_anti").select("_sid")
+    missing = urls.join(listing, "_url", "left_anti").select("_sid").distinct()
     return statuses.join(missing, statuses[id_col] == missing["_sid"], "left_anti")
 
 
@@ -184,22 +176,35 @@ def row_limit(statuses: DataFrame, limit: int, order: list[str] | None = None) -
 def photo_limit(statuses: DataFrame, limit: int, order: list[str] | None = None,
                 count_col: Column | None = None) -> DataFrame:
     """Statuses in arrival order while the running photo count (this
-    status included) stays within ``limit``.  Distributed two-phase prefix
-    sum; no single-task window."""
+    status included) stays within ``limit``.
+
+    The two-phase prefix sum runs on (order key, photos) only; the keys that
+    fit are joined back to the statuses, so no text is dealt by range or
+    written.  Deliveries of one status share a key and are counted one after
+    the other."""
     order = order or ["created_at", "id_str"]
     n = count_col if count_col is not None else F.size(photo_urls()).cast("long")
-    run = running_sum(statuses, n, order, out="photos_so_far")
-    return run.where(F.col("photos_so_far") <= limit)
+    keys = (statuses.select(*order, F.coalesce(n, F.lit(0)).cast("long").alias("_n"))
+            .groupBy(*order).agg(F.max("_n").alias("_n"), F.sum("_n").alias("_all")))
+    run = running_sum(keys, F.col("_all"), order, out="_after")
+    kept = (run.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order)], "_n",
+                       (F.col("_after") - F.col("_all")).alias("_before"))
+            .where(F.col("_before") + F.col("_n") <= limit))
+    same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(order)]
+    copy = F.row_number().over(Window.partitionBy(*order).orderBy("_n"))
+    rows = statuses.join(kept, same).withColumn("photos_so_far", F.col("_before") + copy * F.col("_n"))
+    return rows.where(F.col("photos_so_far") <= limit).drop("_n", "_before", *[f"_k{i}" for i in range(len(order))])
 
 
 def collect_rows(statuses: DataFrame, assets: DataFrame | None = None,
-                 drop_rts: bool = True, probe_limit: int | None = None) -> DataFrame:
+                 drop_rts: bool = True, photos_col: str | None = None) -> DataFrame:
     """The collection job's batch body: F2 -> J5 -> P1..P7 -> the flat
     32-column collected table (absent slots are null; the CSV sink writes
-    them as empty strings)."""
+    them as empty strings).  ``photos_col`` adds the number of all photos of
+    the status, which the photo limit counts."""
     s = drop_retweets(statuses) if drop_rts else statuses
     if assets is not None:
-        s = all_media_resolved(s, assets, probe_limit=probe_limit)
+        s = all_media_resolved(s, assets)
     s = s.withColumn("_urls", F.slice(photo_urls(), 1, N_SLOTS))
     ids = F.transform(F.col("_urls"), lambda u, i: asset_id(F.col("id_str"), i, u))
     s = s.withColumn("_ids", ids)
@@ -219,4 +224,5 @@ def collect_rows(statuses: DataFrame, assets: DataFrame | None = None,
         "retweet_count": F.col("retweet_count"), "favorite_count": F.col("favorite_count"),
         "lang": F.col("lang"), **paths,
     }
-    return s.select(*[exprs[c].alias(c) for c in COLLECTED_COLUMNS])
+    more = [F.size(photo_urls()).cast("long").alias(photos_col)] if photos_col else []
+    return s.select(*[exprs[c].alias(c) for c in COLLECTED_COLUMNS], *more)

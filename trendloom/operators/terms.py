@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from trendloom.functions.stopwords import ENGLISH_STOP_WORDS
 from trendloom.functions.text import clean_tokens, ngrams_range
+from trendloom.operators.prefix import ordinal
 from trendloom.session import checkpoint_dir
 
 
@@ -111,12 +112,11 @@ def top_n(df: DataFrame, order: Sequence[Column], n: int | None, rank_col: str =
 
     ``orderBy().limit(n)`` plans as TakeOrderedAndProject (per-partition
     top-n, then a merge of n rows per partition).  The rank window runs on
-    those n rows only.  ``n=None`` ranks everything with a global sort
-    (range-partitioned) and a monotonically increasing position.
+    those n rows only.  ``n=None`` ranks everything with the distributed
+    running count; ``order`` must then be total.
     """
     if n is None:
-        ranked = df.orderBy(*order)
-        return ranked.withColumn(rank_col, F.monotonically_increasing_id())
+        return ordinal(df, order, out=rank_col)
     head = df.orderBy(*order).limit(n)
     # bounded: at most n rows reach this window (after the limit).
     w = Window.orderBy(*order)
@@ -157,11 +157,13 @@ def document_frequency(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id",
                 .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
 
 
-def idf_grams(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def idf_grams(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id", text_col: str = "text",
+              counted: DataFrame | None = None) -> DataFrame:
     """Smoothed idf = ln((1 + N) / (1 + df)) + 1 over 1..max_n-grams; N
-    counts every document, also those left without tokens."""
+    counts every document, also those left without tokens.  ``counted`` has
+    the same rows as ``docs`` and is cheaper to count (a plain scan)."""
     dfreq = document_frequency(docs, max_n, id_col, text_col)
-    n_docs = docs.agg(F.count(F.lit(1)).alias("N")).scalar()
+    n_docs = (docs if counted is None else counted).agg(F.count(F.lit(1)).alias("N")).scalar()
     return dfreq.withColumn(
         "idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 

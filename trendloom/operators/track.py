@@ -5,32 +5,24 @@ among the status's tokens (any order, case-insensitive, same cleaning and
 tokenizer for both); phrases are OR-ed.  A phrase without terms matches
 nothing.
 
-Two physical plans with the same answer:
-
-* ``match_phrases_small``: the tracking list is a small file (the stream
-  API caps it at a few hundred phrases).  After a checked count it is read
-  on the driver and inlined as a literal array; each status evaluates
-  ``filter(phrases, p -> forall(p.terms, t -> array_contains(tokens, t)))``
-  inside codegen.  No join, no shuffle.
-* ``match_phrases_indexed``: an inverted index.  Distinct status tokens
-  are exploded and equi-joined with (term, phrase) rows, then counted per
-  (status, phrase); a phrase matches when all its terms were hit.  The
-  phrase side is broadcast only after its row count is checked; above the
-  bound it is a shuffle join (AQE splits hot terms).  The aggregation key
-  (status, phrase) is not skewed by hot terms.
+One plan for lists of any length, in batch and in the stream: an inverted
+index.  Distinct status tokens are exploded and equi-joined with (term, phrase)
+rows, and a phrase matches when all its distinct terms were hit.  A status is
+known by its id and a hash of its text, so a status that is delivered twice, or
+two statuses under one id, are told apart by what they say.  Nothing is forced
+to broadcast: a short list is small enough for Spark to broadcast by
+itself (the join then happens inside the scan and only tracked terms go on), a
+long one is a shuffle join whose hot terms AQE splits.  The aggregation
+keys (status, phrase, term) are not skewed by hot terms.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.functions.plan import with_computed
 from trendloom.functions.text import clean_tokens, phrase_terms
 
-SMALL_LIST_MAX = 1000          # phrases inlined as literals up to this
-BROADCAST_TERMS_MAX = 2_000_000  # (term, phrase) rows broadcast up to this
-
 
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
     """One phrase per line; surrounding blanks trimmed, blank lines
@@ -47,80 +39,40 @@ def phrase_table(phrases: DataFrame) -> DataFrame:
             .where(F.size("terms") > 0))
 
 
-def _tracked_tokens(tokens, rows) -> "F.Column":
-    """Tokens reduced to those that occur in some phrase: one hash pass over
-    the text's tokens, after which every phrase test scans a short array."""
-    vocab = sorted({t for r in rows for t in r["terms"]})
-    return F.array_intersect(tokens, F.array(*[F.lit(t) for t in vocab]))
-
-
-def _tokens(statuses: DataFrame, id_col: str, text_col, rows=None) -> DataFrame:
-    text = F.col(text_col) if isinstance(text_col, str) else text_col
-    tok = clean_tokens("_text")
-    if rows is not None:
-        tok = _tracked_tokens(tok, rows)
-    return with_computed(statuses.select(F.col(id_col).alias("_id"), text.alias("_text")),
-                         "_tok", tok).drop("_text")
-
-
-def match_phrases_small(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
-                        text_col="text") -> DataFrame:
-    """(id, phrase) pairs by the inlined-literal plan."""
-    table = phrase_table(phrases)
-    n = table.count()
-    if n > SMALL_LIST_MAX:
-        raise ValueError(f"{n} phrases exceed the inline bound {SMALL_LIST_MAX}; "
-                         "use match_phrases_indexed")
-    rows = table.collect()  # bounded by SMALL_LIST_MAX (checked above)
-    if not rows:
-        return statuses.sparkSession.createDataFrame([], f"{id_col} long, phrase string").select(
-            F.col(id_col).cast(statuses.schema[id_col].dataType), "phrase")
-    lit_phrases = F.array(*[
-        F.struct(F.lit(r["phrase"]).alias("phrase"),
-                 F.array(*[F.lit(t) for t in r["terms"]]).alias("terms"))
-        for r in rows])
-    tok = _tokens(statuses, id_col, text_col, rows)
-    hit = F.filter(lit_phrases,
-                   lambda p: F.forall(p["terms"], lambda t: F.array_contains(F.col("_tok"), t)))
-    return tok.select(F.col("_id").alias(id_col),
-                      F.explode(F.transform(hit, lambda p: p["phrase"])).alias("phrase"))
-
-
-def match_phrases_indexed(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
-                          text_col="text") -> DataFrame:
-    """(id, phrase) pairs by the inverted-index plan."""
-    table = phrase_table(phrases).select("phrase", F.size("terms").alias("_k"),
-                                         F.explode("terms").alias("term"))
-    if table.count() <= BROADCAST_TERMS_MAX:
-        table = F.broadcast(table)
-    tok = _tokens(statuses, id_col, text_col).select(
-        "_id", F.explode(F.array_distinct("_tok")).alias("term"))
-    hits = (tok.join(table, "term")
-            .groupBy("_id", "phrase", "_k").agg(F.count(F.lit(1)).alias("_hits")))
-    return hits.where(F.col("_hits") == F.col("_k")).select(F.col("_id").alias(id_col), "phrase")
+def _text(text_col) -> Column:
+    return F.col(text_col) if isinstance(text_col, str) else text_col
+
+
+def _key(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _matched(statuses: DataFrame, phrases: DataFrame, id_col: str, text_col) -> DataFrame:
+    """(_id, _key, phrase): one row for each matched phrase of each distinct status."""
+    terms = phrase_table(phrases).select("phrase", F.size("terms").alias("_k"), F.explode("terms").alias("term"))
+    text = _text(text_col)
+    tok = statuses.select(F.col(id_col).alias("_id"), _key(text).alias("_key"),
+                          F.explode(F.array_distinct(clean_tokens(text))).alias("term"))
+    # distinct first: a repeated delivery must not count its terms twice
+    hits = tok.join(terms, "term").select("_id", "_key", "phrase", "_k", "term").distinct()
+    return (hits.groupBy("_id", "_key", "phrase", "_k").agg(F.count(F.lit(1)).alias("_hits"))
+            .where(F.col("_hits") == F.col("_k")).select("_id", "_key", "phrase"))
+
+
+def match_phrases(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
+                  text_col="text") -> DataFrame:
+    """(id, phrase) pairs; a status that is delivered twice gives its pairs once."""
+    return (_matched(statuses, phrases, id_col, text_col)
+            .select(F.col("_id").alias(id_col), "phrase").distinct())
 
 
 def track_filter(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",
-                 text_col="text", plan: str = "auto") -> DataFrame:
-    """the statuses matching at least one phrase, with the number of
-    matched phrases (``n_phrases``)."""
-    if plan == "auto":
-        plan = "small" if phrase_table(phrases).count() <= SMALL_LIST_MAX else "indexed"
-    if plan == "small":
-        text = F.col(text_col) if isinstance(text_col, str) else text_col
-        table = phrase_table(phrases)
-        n = table.count()
-        if n > SMALL_LIST_MAX:
-            raise ValueError("phrase list too large for the inline plan")
-        rows = table.collect()  # bounded by SMALL_LIST_MAX (checked above)
-        if not rows:
-            return statuses.limit(0).withColumn("n_phrases", F.lit(0))
-        lit_phrases = F.array(*[F.array(*[F.lit(t) for t in r["terms"]]) for r in rows])
-        s = with_computed(statuses, "_tok", _tracked_tokens(clean_tokens(text), rows))
-        cnt = F.size(F.filter(lit_phrases, lambda p: F.forall(
-            p, lambda t: F.array_contains(F.col("_tok"), t))))
-        return (s.withColumn("n_phrases", cnt.cast("long")).where(F.col("n_phrases") > 0)
-                .drop("_tok"))
-    pairs = match_phrases_indexed(statuses, phrases, id_col, text_col)
-    counts = pairs.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_phrases"))
-    return statuses.join(counts, id_col)
+                 text_col="text") -> DataFrame:
+    """the statuses matching at least one phrase, each delivery of them,
+    with the number of matched phrases (``n_phrases``)."""
+    counts = (_matched(statuses, phrases, id_col, text_col)
+              .groupBy("_id", "_key").agg(F.count(F.lit(1)).alias("n_phrases")))
+    text = _text(text_col)
+    return (statuses.withColumn("_status_key", _key(text))
+            .join(counts, (F.col(id_col) == F.col("_id")) & (F.col("_status_key") == F.col("_key")))
+            .drop("_id", "_key", "_status_key"))

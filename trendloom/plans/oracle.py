@@ -8,33 +8,39 @@ exact SQL of FIXTURES.md.  Text patterns are the same fixed values as in
 from __future__ import annotations
 
 from trendloom.functions.stopwords import sql_list
-from trendloom.functions.text import CLEAN_PATTERN, TOKEN_PATTERN
+from trendloom.functions.text import CLEAN_PATTERN, HANG_PATTERNS, TOKEN_PATTERN
 
 VIEWS = {
     "statuses": """
-SELECT d.doc_id AS tweet_id, e.user_id AS user_id, e.ts AS created_at, d.source AS source, d.lang AS lang,
-       CASE WHEN d.doc_id % 10 = 3 THEN concat('RT ', substring(d.text, 1, 100))
-            WHEN d.doc_id % 10 = 4 THEN concat('RTX ', substring(d.text, 1, 100))
-            ELSE substring(d.text, 1, 100) END AS text,
-       CASE WHEN d.doc_id % 4 = 0 THEN NULL
-            ELSE concat(d.text, ' #', d.source, ' @', e.event_type,
-                        CASE WHEN d.doc_id % 5 = 0 THEN concat(' https://t.example/', CAST(d.doc_id AS VARCHAR(20)), ' lost words')
+SELECT x.tweet_id AS tweet_id, x.user_id AS user_id, x.created_at AS created_at, x.source AS source, x.lang AS lang,
+       CASE WHEN x.tweet_id % 10 = 3 THEN concat('RT ', x.body)
+            WHEN x.tweet_id % 10 = 4 THEN concat('RTX ', x.body)
+            ELSE x.body END AS text,
+       CASE WHEN x.tweet_id % 4 = 0 THEN NULL
+            ELSE concat(x.body, ' #', x.source, ' @', x.event_type,
+                        CASE WHEN x.tweet_id % 5 = 0 THEN concat(' https://t.example/', CAST(x.tweet_id AS VARCHAR(20)), ' lost words')
                              ELSE '' END) END AS full_text,
-       CASE WHEN d.doc_id % 7 = 0 THEN CAST(d.doc_id % 360 - 180 AS DOUBLE) END AS longitude,
-       CASE WHEN d.doc_id % 7 = 0 THEN CAST(d.doc_id % 180 - 90 AS DOUBLE) END AS latitude,
-       CASE WHEN d.doc_id % 3 = 0 THEN n.n_name END AS place_full_name,
-       CASE WHEN d.doc_id % 3 = 0 THEN 'country' END AS place_type,
-       CASE WHEN d.doc_id % 8 = 0 THEN d.doc_id - 1 END AS in_reply_to_status_id,
-       e.user_id % 13 = 0 AS protected
-FROM documents d JOIN events e ON e.event_id = d.doc_id JOIN nation n ON n.n_nationkey = d.doc_id % 25""",
+       CASE WHEN x.tweet_id % 7 = 0 THEN CAST(x.tweet_id % 360 - 180 AS DOUBLE) END AS longitude,
+       CASE WHEN x.tweet_id % 7 = 0 THEN CAST(x.tweet_id % 180 - 90 AS DOUBLE) END AS latitude,
+       CASE WHEN x.tweet_id % 3 = 0 THEN n.n_name END AS place_full_name,
+       CASE WHEN x.tweet_id % 3 = 0 THEN 'country' END AS place_type,
+       CASE WHEN x.tweet_id % 8 = 0 THEN x.tweet_id - 1 END AS in_reply_to_status_id,
+       x.user_id % 13 = 0 AS protected
+FROM (SELECT coalesce(d.doc_id, e.event_id) AS tweet_id,
+             coalesce(e.user_id, coalesce(d.doc_id, e.event_id) % 997) AS user_id,
+             coalesce(e.ts, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 SECOND * d.doc_id) AS created_at,
+             coalesce(d.source, 'events') AS source, coalesce(d.lang, 'und') AS lang,
+             coalesce(e.event_type, 'none') AS event_type,
+             coalesce(d.text, concat_ws(' ', e.event_type, e.props)) AS body
+      FROM documents d FULL JOIN events e ON e.event_id = d.doc_id) x
+JOIN nation n ON n.n_nationkey = x.tweet_id % 25""",
     "media": """
-SELECT d.doc_id AS tweet_id, p.pos AS pos,
-       CASE WHEN (d.doc_id + p.pos) % 3 = 0 THEN 'video' ELSE 'photo' END AS type,
-       concat('http://img.example/', CAST((d.doc_id * 7 + p.pos * 3) % 500 AS VARCHAR(20)), '.jpg') AS media_url,
-       (d.doc_id * 7 + p.pos * 3) % 500 AS img
-FROM documents d
-CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p
-WHERE p.pos < d.doc_id % 6""",
+SELECT tweet_id, pos, CASE WHEN (tweet_id + pos) % 3 = 0 THEN 'video' ELSE 'photo' END AS type,
+       concat('http://img.example/', CAST(img AS VARCHAR(20)), '.jpg') AS media_url, img
+FROM (SELECT x.tweet_id, p.pos, CAST(floor((x.tweet_id * 7 + p.pos * 3) / 5) AS BIGINT) AS img
+      FROM (SELECT coalesce(d.doc_id, e.event_id) AS tweet_id FROM documents d FULL JOIN events e ON e.event_id = d.doc_id) x
+      CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) p
+      WHERE p.pos < x.tweet_id % 6) m""",
     "assets": "SELECT DISTINCT media_url FROM media WHERE img % 11 <> 0",
     "confidences": """
 SELECT CAST(floor(event_id / 4) AS BIGINT) AS image_id, event_type AS label,
@@ -50,10 +56,20 @@ SELECT doc_id AS query_id,
        CASE WHEN doc_id % 5 = 0 THEN 'followers' WHEN doc_id % 5 = 1 THEN 'following' WHEN doc_id % 5 = 2 THEN 'other' ELSE 'photos' END AS crawl_type
 FROM documents""",
     "post_pages": """
-SELECT page_id, url,
-       concat(html, CASE WHEN page_id % 4 <> 0 THEN concat('<meta property="og:image" content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg">') ELSE '' END,
-              CASE WHEN page_id % 3 = 0 THEN concat('{"edge_hashtag_to_media":{"count":', CAST(page_id * 5 AS VARCHAR(20)), '}}')
-                   WHEN page_id % 3 = 1 THEN concat('{"edge_owner_to_timeline_media":{"count":', CAST(page_id + 2 AS VARCHAR(20)), '}}') ELSE '' END) AS html
+SELECT page_id, url, concat(html,
+  CASE WHEN page_id % 4 = 0 THEN ''
+       WHEN page_id % 5 = 0 THEN concat('<meta property="og:image" content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg">')
+       WHEN page_id % 5 = 1 THEN concat('<meta content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg" property="og:image"/>')
+       WHEN page_id % 5 = 2 THEN concat('<meta property=''og:image'' content=''http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg''>')
+       WHEN page_id % 5 = 3 THEN concat('<META name="a > b" property="og:image" content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg?a=1&amp;b=2" />')
+       ELSE concat('<meta property="og:title" content="x"><meta  property = "og:image"  content = "http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg">') END,
+  '<img data-src="lazy.jpg" src="real-', CAST(page_id AS VARCHAR(20)), '.jpg">',
+  CASE WHEN page_id % 3 = 0 THEN concat('{"edge_hashtag_to_media":{"count":', CAST(page_id * 5 AS VARCHAR(20)), '}}')
+       WHEN page_id % 3 = 1 THEN concat('{"edge_owner_to_timeline_media":{"count":', CAST(page_id + 2 AS VARCHAR(20)), '}}') ELSE '' END,
+  CASE WHEN page_id % 7 = 0 THEN ''
+       WHEN page_id % 7 = 1 THEN '<article><ul><li><span>no time</span></li></ul></article>'
+       ELSE concat('<article><ul><li class="c"><div><span>Post ', CAST(page_id AS VARCHAR(20)),
+                   ' <b>by</b> A &amp; B</span></div></li><li><span>reply</span></li></ul><time datetime="2024-01-01"></time></article>') END) AS html
 FROM pages""",
 }
 
@@ -84,8 +100,10 @@ STOP = sql_list()
 
 def tokens_expr(text: str) -> str:
     """DuckDB twin of ``clean_tokens``."""
-    return (f"regexp_extract_all(lower(regexp_replace({text}, {sq(CLEAN_PATTERN)}, ' ', 'g')), "
-            f"{sq(TOKEN_PATTERN)})")
+    low = f"lower(regexp_replace({text}, {sq(CLEAN_PATTERN)}, ' ', 'g'))"
+    for pattern, three in HANG_PATTERNS:
+        low = f"regexp_replace({low}, {sq(pattern)}, {sq(three)}, 'g')"
+    return f"regexp_extract_all({low}, {sq(TOKEN_PATTERN)})"
 
 
 def clean_expr(text: str) -> str:
@@ -163,10 +181,10 @@ oracle("ngrams", [], f"""SELECT doc_id, CAST(len(g) AS BIGINT) AS n_grams, array
 _DF_SQL = (f"SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({ngrams3_expr('tok')})) AS term "
            f"FROM (SELECT {tokens_expr('text')} AS tok FROM ({{src}}) s0) s) t GROUP BY term")
 oracle("idf_grams", [], f"""SELECT term, df, round(ln((1.0 + N) / (1.0 + df)) + 1.0, 6) AS idf
-FROM ({_DF_SQL.format(src='SELECT text FROM documents')}) d, (SELECT CAST(count(*) AS DOUBLE) AS N FROM documents) c""")
+FROM ({_DF_SQL.replace('{src}', 'SELECT text FROM documents')}) d, (SELECT CAST(count(*) AS DOUBLE) AS N FROM documents) c""")
 oracle("tfidf_terms", ["confidences"], f"""SELECT CAST(row_number() OVER (ORDER BY df, term) AS BIGINT) AS rank, term, df,
 round(ln((1.0 + N) / (1.0 + df)) + 1.0, 6) AS idf
-FROM ({_DF_SQL.format(src=TARGET_DOCS)}) d, (SELECT CAST(count(*) AS DOUBLE) AS N FROM ({TARGET_DOCS}) x) c
+FROM ({_DF_SQL.replace('{src}', TARGET_DOCS)}) d, (SELECT CAST(count(*) AS DOUBLE) AS N FROM ({TARGET_DOCS}) x) c
 ORDER BY rank LIMIT 400""")
 
 # --------------------------------------------------------------- status ---
@@ -239,7 +257,22 @@ TRACK_PAIRS = f"""SELECT t.tweet_id, p.phrase FROM
 WHERE len(p.terms) > 0 AND list_has_all(t.tok, p.terms)"""
 oracle("track_filter_small", ["statuses"], TRACK_PAIRS)
 oracle("track_filter_indexed", ["statuses"], TRACK_PAIRS)
-oracle("track_filter", ["statuses"], f"SELECT tweet_id, count(*) AS n_phrases FROM ({TRACK_PAIRS}) x GROUP BY tweet_id")
+_TRACKED = f"SELECT tweet_id, count(*) AS n_phrases FROM ({TRACK_PAIRS}) x GROUP BY tweet_id"
+oracle("track_filter", ["statuses"], _TRACKED)
+oracle("track_filter_duplicates", ["statuses"], f"SELECT * FROM ({_TRACKED}) a UNION ALL SELECT * FROM ({_TRACKED}) b")
+LONG_PHRASES = f"""SELECT phrase, list_distinct({tokens_expr('phrase')}) AS terms FROM (
+SELECT DISTINCT concat_ws(' ', tok[i], tok[i + 1]) AS phrase FROM
+(SELECT {tokens_expr('text')} AS tok FROM documents) d, (VALUES (2), (4)) v(i)) p WHERE phrase <> ''"""
+# phrases by their last term, so that DuckDB can use an equi-join
+LONG_MATCHES = f"""SELECT t.tweet_id, p.phrase FROM
+(SELECT tweet_id, tok, unnest(list_distinct(tok)) AS term FROM
+  (SELECT s.tweet_id, {tokens_expr('coalesce(s.full_text, s.text)')} AS tok FROM statuses s) q) t
+JOIN ({LONG_PHRASES}) p ON t.term = p.terms[-1] WHERE list_has_all(t.tok, p.terms)"""
+oracle("track_filter_long_list", ["statuses"], f"SELECT tweet_id, count(*) AS n_phrases FROM ({LONG_MATCHES}) x GROUP BY tweet_id")
+oracle("input_totals", [], """SELECT d.n + e.n AS statuses, d.chars + e.chars AS chars, d.n AS documents FROM
+(SELECT count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents) d,
+(SELECT count(*) AS n, CAST(coalesce(sum(length(concat_ws(' ', event_type, props))), 0) AS BIGINT) AS chars FROM events
+ WHERE event_id NOT IN (SELECT doc_id FROM documents)) e""")
 
 # ------------------------------------------------------------ detection ---
 DET = """SELECT CAST(floor(vec_id / 10) AS BIGINT) AS image_id, vec_id AS pos, 640 AS w, 480 AS h,
@@ -330,16 +363,19 @@ FROM (WITH capped AS ({CAPPED}), {_levels_sql()}) v LEFT JOIN ({USER_IMAGES}) i
 WHERE images_before < 40""")
 
 # ---------------------------------------------------------------- pages ---
-oracle("page_meta", ["post_pages"], """SELECT page_id,
-nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS og_image,
-nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM post_pages""")
-oracle("page_links", ["post_pages"], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
+# the values are stated by the shape of each page, not by the engine's patterns
+OG_IMAGE = """CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg',
+CASE WHEN page_id % 5 = 3 THEN '?a=1&b=2' ELSE '' END) END"""
+CAPTION = """CASE WHEN page_id % 7 < 2 THEN '' ELSE concat('Post ', CAST(page_id AS VARCHAR(20)), ' by A & B') END"""
+oracle("page_meta", [], f"""SELECT page_id, {OG_IMAGE} AS og_image,
+nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM pages""")
+oracle("page_caption", [], f"SELECT page_id, {CAPTION} AS caption FROM pages")
+oracle("page_images", [], """SELECT page_id, CAST(0 AS INTEGER) AS pos, concat('real-', CAST(page_id AS VARCHAR(20)), '.jpg') AS link FROM pages""")
+oracle("page_links", [], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
 SELECT page_id, unnest(l[1:10]) AS link, generate_subscripts(l[1:10], 1) - 1 AS pos FROM (
-SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM post_pages) a) b""")
-oracle("page_jpg_links", ["post_pages"], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
-SELECT page_id, unnest(l[1:10]) AS link, generate_subscripts(l[1:10], 1) - 1 AS pos FROM (
-SELECT page_id, list_filter(regexp_extract_all(html, 'content="([^"]*)"', 1), lambda u: regexp_matches(u, '\\.jpg$')) AS l
-FROM post_pages) a WHERE len(l) > 0) b""")
+SELECT page_id, regexp_extract_all(replace(html, '&amp;', '&'), '[^-]href="([^"]*)"', 1) AS l FROM pages) a) b""")
+oracle("page_jpg_links", [], f"""SELECT page_id, CAST(0 AS INTEGER) AS pos, {OG_IMAGE} AS link FROM pages
+WHERE page_id % 4 <> 0 AND page_id % 5 <> 3""")
 oracle("page_post_count", ["post_pages"], """SELECT page_id, c AS post_count, least(CAST(100 AS BIGINT), c) AS n_to_fetch FROM (
 SELECT page_id, TRY_CAST(nullif(regexp_extract(html, '(?:edge_hashtag_to_media|edge_owner_to_timeline_media)":[{]"count":([0-9]+)', 1), '') AS BIGINT) AS c
 FROM post_pages) p""")
@@ -366,17 +402,53 @@ ORACLE["write_tracking"] = f"SELECT term FROM ({ORACLE['trending_terms']}) t"
 oracle("rewrite_table", _SV, f"SELECT tweet_id, image_file_0 FROM ({COLLECTED_SQL}) c WHERE image_file_0 IS NOT NULL")
 oracle("user_partitions", ["statuses", "media"], f"""SELECT DISTINCT s.user_id, 'user' || CAST(s.user_id AS VARCHAR) AS screen_name,
 s.protected, i.n_images FROM statuses s JOIN ({USER_IMAGES}) i ON i.user_id = s.user_id""")
-oracle("posts_sink", ["post_pages"], """SELECT regexp_extract(url, '//([^/:]+)', 1) AS query_dir,
-'./data/' || regexp_extract(url, '//([^/:]+)', 1) || '/images/' || sha256(link) || '.jpg' AS imagefile,
-regexp_extract(html, '<title>([^<]*)</title>', 1) AS caption FROM (
-SELECT url, html, nullif(regexp_extract(html, '<meta property="og:image" content="([^"]*)"', 1), '') AS link FROM post_pages) p
-WHERE link IS NOT NULL""")
+oracle("posts_sink", [], f"""SELECT regexp_extract(url, '//([^/:]+)', 1) AS query_dir,
+'./data/' || regexp_extract(url, '//([^/:]+)', 1) || '/images/' || sha256(link) || '.jpg' AS imagefile, caption
+FROM (SELECT url, {OG_IMAGE} AS link, {CAPTION} AS caption FROM pages) p WHERE link IS NOT NULL""")
 oracle("confidence_json", [], f"""SELECT i.image_id, coalesce(bool_or(r.class_id = 7 AND r.confidence > 0.3), false) AS has_target,
 CAST(59 AS BIGINT) AS n_labels FROM (SELECT DISTINCT image_id FROM ({DET}) d) i LEFT JOIN ({KEPT_ROWS}) r ON r.image_id = i.image_id
 GROUP BY i.image_id""")
-oracle("collect_stream", _SV, COLLECTED_SQL)
+_FULL = [*_SV]
+oracle("collect_stream", _FULL, f"""SELECT c.* FROM ({COLLECTED_SQL}) c
+WHERE CAST(c.tweet_id AS BIGINT) IN (SELECT tweet_id FROM ({TRACK_PAIRS}) m)""")
+oracle("collect_stream_all", _FULL, COLLECTED_SQL)
+oracle("collect_stream_long_list", _FULL, f"""SELECT c.tweet_id, c.created_at FROM ({COLLECTED_SQL}) c
+WHERE CAST(c.tweet_id AS BIGINT) IN (SELECT tweet_id FROM ({LONG_MATCHES}) m)""")
 oracle("stop_at_limit", _SV, f"SELECT tweet_id, created_at FROM ({COLLECTED_SQL}) c ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300")
+_PHOTO_PREFIX = f"""SELECT tweet_id, created_at FROM (SELECT c.tweet_id, c.created_at,
+sum(coalesce(len(p.urls), 0)) OVER (ORDER BY c.created_at, CAST(c.tweet_id AS BIGINT) ROWS UNBOUNDED PRECEDING) AS so_far
+FROM ({COLLECTED_SQL}) c LEFT JOIN ({PHOTOS}) p ON p.tweet_id = CAST(c.tweet_id AS BIGINT)) t WHERE so_far <= 400"""
+oracle("photo_limit_stream", _SV, _PHOTO_PREFIX)
 oracle("resume", _SV, f"SELECT tweet_id, user_id, image_file_0 FROM ({COLLECTED_SQL}) c")
+oracle("two_runs_one_sink", _SV, f"SELECT tweet_id, user_id FROM ({COLLECTED_SQL}) c")
 oracle("baseline_file", [], BASELINE_SQL)
 oracle("stream_progress", ["statuses", "media"], f"""SELECT CAST(count(*) AS BIGINT) AS statuses,
 CAST(sum(coalesce(len(p.urls), 0)) AS BIGINT) AS photos FROM statuses s LEFT JOIN ({PHOTOS}) p ON p.tweet_id = s.tweet_id""")
+oracle("ingest_rate", ["statuses"], "SELECT CAST(4 AS BIGINT) AS batches, count(*) AS statuses FROM statuses")
+oracle("bad_records", ["statuses"], f"""SELECT 'rejected' AS kind, concat('{{"id_str": "', CAST(tweet_id AS VARCHAR), '", "text": ') AS value
+FROM statuses WHERE tweet_id % 50 = 7
+UNION ALL SELECT 'collected', CAST(s.tweet_id AS VARCHAR) FROM statuses s WHERE s.tweet_id % 50 <> 7 AND {NOT_RT}""")
+oracle("read_labels", [], """SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS class_id, event_type AS label
+FROM (SELECT DISTINCT event_type FROM events) e""")
+oracle("list_assets", [], "SELECT DISTINCT source FROM documents")
+oracle("read_pages", ["post_pages"], f"""SELECT page_id, url, {OG_IMAGE} AS og_image, CAST(length(html) AS BIGINT) AS n_chars FROM post_pages""")
+
+# ------------------------------------------------------------------ jobs ---
+oracle("collect_job", _SV, f"""SELECT tweet_id, created_at, text FROM ({COLLECTED_SQL}) c
+WHERE CAST(c.tweet_id AS BIGINT) IN (SELECT tweet_id FROM ({TRACK_PAIRS}) m)
+ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300""")
+oracle("collect_job_photos", _SV, _PHOTO_PREFIX)
+oracle("posts_job", [], f"""SELECT query_dir, './data/' || query_dir || '/images/' || sha256(link) || '.jpg' AS imagefile, caption FROM (
+SELECT page_id, regexp_extract(url, '//([^/:]+)', 1) AS query_dir, {OG_IMAGE} AS link, {CAPTION} AS caption,
+row_number() OVER (PARTITION BY regexp_extract(url, '//([^/:]+)', 1) ORDER BY page_id) AS i
+FROM pages WHERE page_id % 4 <> 0) p WHERE i <= 2""")
+_PAIRED = KEPT_ROWS.replace("floor(vec_id / 10)", "floor(vec_id / 2)")
+_TARGET_TEXTS = f"""SELECT c.text FROM ({COLLECTED_SQL}) c WHERE c.image_file_0 IS NOT NULL AND CAST(c.tweet_id AS BIGINT) IN
+(SELECT image_id FROM ({_PAIRED}) k WHERE class_id = 12 AND confidence > 0.3)"""
+oracle("detect_to_target", _SV, f"""SELECT CAST(row_number() OVER (ORDER BY rel DESC, term) AS BIGINT) AS rank, term, n, rel FROM (
+SELECT c.term, c.n, (CAST(c.n AS DOUBLE) / CAST(t.total AS DOUBLE)) / b.freq AS rel
+FROM ({_counts_sql(_TARGET_TEXTS)}) c,
+     (SELECT sum(n) AS total FROM ({_counts_sql(_TARGET_TEXTS)}) x) t,
+     ({BASELINE_SQL}) b
+WHERE c.term = b.term AND c.n > 1) r
+ORDER BY rank LIMIT 400""")

@@ -5,22 +5,25 @@ returns what was read."""
 
 from __future__ import annotations
 
-import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trendloom.operators import detect, status as st
+from trendloom.operators import detect, pages, track, status as st
 from trendloom.operators.graph import user_images
-from trendloom.operators.pages import page_meta
-from trendloom.plans import q_detect, q_terms
+from trendloom.operators.pages import page_caption, page_meta
+from trendloom.plans import jobs, q_detect, q_status, q_terms
 from trendloom.plans.catalog import register
 from trendloom.session import scratch_path
 from trendloom.sources import derived, files, sinks
-from trendloom.streaming.collect import read_collected_sink, run_collect_stream
+from trendloom.sources.tables import table
+from trendloom.streaming.collect import (
+    read_collected_sink, read_ledger, read_progress, run_collect_stream,
+)
 
-STREAM_FILES = 6
 STREAM_LIMIT = 300
+PHOTO_LIMIT = 400
 
 
 def _collected(spark, sf):
@@ -65,7 +68,7 @@ def q_rewrite_table(spark, sf):
         df.write.mode("overwrite").parquet(p)
 
     sinks.rewrite_table(spark, path, read, clean, write)
-    return spark.read.parquet(path).select("tweet_id", "image_file_0")
+    return read(spark, sinks.current_version(spark, path)).select("tweet_id", "image_file_0")
 
 
 @register("user_partitions")
@@ -80,8 +83,7 @@ def q_user_partitions(spark, sf):
     rec = users.join(imgs, "user_id")
     sinks.write_user_partitions(spark, rec, path)
     sinks.write_user_partitions(spark, rec, path)  # second run: every user exists, skipped
-    return spark.read.json(path).select(F.col("user_id").cast("long"), "screen_name", "protected",
-                                        F.col("n_images").cast("long"))
+    return spark.read.schema("user_id long, screen_name string, protected boolean, n_images long").json(path)
 
 
 @register("posts_sink")
@@ -93,7 +95,7 @@ def q_posts_sink(spark, sf):
         F.regexp_extract("url", r"//([^/:]+)", 1).alias("query_dir"),
         F.concat(F.lit("./data/"), F.regexp_extract("url", r"//([^/:]+)", 1), F.lit("/images/"),
                  F.sha2(link, 256), F.lit(".jpg")).alias("imagefile"),
-        F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("caption"))
+        page_caption("html").alias("caption"))
     sinks.write_posts(posts, path)
     back = (spark.read.schema("imagefile string, caption string, query_dir string")
             .option("header", True).option("multiLine", True).option("escape", '"').csv(path))
@@ -111,99 +113,252 @@ def q_confidence_json(spark, sf):
                        F.size(F.map_keys("detected")).cast("long").alias("n_labels"))
 
 
+# ------------------------------------------------------- sources by file --
+@register("read_labels")
+def q_read_labels(spark, sf):
+    """The event types, one a line in order, as a class list."""
+    path = scratch_path(spark, "labels")
+    kinds = table(spark, sf, "events").select(F.col("event_type").alias("value")).distinct()
+    # one line for each class: a list as long as the model's class list
+    kinds.agg(F.array_join(F.sort_array(F.collect_list("value")), "\n").alias("value")).write.text(path)
+    return detect.read_labels(spark, f"{path}/part-*")
+
+
+@register("list_assets")
+def q_list_assets(spark, sf):
+    """Documents landed in one folder for each source; the listing gives
+    the folders that hold files, with their bytes above 0."""
+    path = scratch_path(spark, "landed")
+    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path, lineSep="\u0001")
+    listing = files.list_assets(spark, path, path, "part-*")
+    return (listing.where(F.col("length") > 0)
+            .select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source")).distinct())
+
+
+@register("read_pages")
+def q_read_pages(spark, sf):
+    """Landed pages written as a table and read back, with their links."""
+    path = scratch_path(spark, "pages")
+    derived.post_pages(spark, sf).write.parquet(path)
+    return files.read_pages(spark, path).select(
+        "page_id", "url", pages.page_meta("html", "og:image").alias("og_image"),
+        F.length("html").cast("long").alias("n_chars"))
+
+
+@register("baseline_file")
+def q_baseline_file(spark, sf):
+    """The baseline table written as CSV (term, count, freq) with a
+    stale line for every term before its current one; reading keeps the
+    last line of each term (files in name order: a union writes its first side
+    first)."""
+    path = scratch_path(spark, "baseline-csv")
+    base = q_terms._baseline(spark, sf)
+    stale = base.select("term", F.lit("0").alias("count"),
+                        (F.col("freq") * 2).cast("string").alias("freq"))
+    fresh = base.select("term", F.lit("1").alias("count"), F.col("freq").cast("string").alias("freq"))
+    stale.unionByName(fresh).write.mode("overwrite").option("header", True).csv(path)
+    return files.read_baseline(spark, path)
+
+
+# ----------------------------------------------------------------- jobs --
+def _land_json(spark, sf) -> str:
+    path = scratch_path(spark, "statuses-json")
+    sinks.write_statuses(derived.nested_statuses(spark, sf), path)
+    return path
+
+
+def _tracking_file(spark) -> str:
+    path = scratch_path(spark, "tracking-file")
+    q_status._phrases(spark).select("phrase").write.text(path)
+    return path
+
+
+@register("collect_job")
+def q_collect_job(spark, sf):
+    """§2.16 collect: landed JSON and a tracking file to the collected table,
+    the first rows up to a limit."""
+    out = scratch_path(spark, "collect-job")
+    jobs.collect_batch_job(spark, _land_json(spark, sf), out, _tracking_file(spark), derived.assets(spark, sf),
+                           limit=STREAM_LIMIT)
+    return files.read_collected(spark, out).select("tweet_id", "created_at", "text")
+
+
+@register("collect_job_photos")
+def q_collect_job_photos(spark, sf):
+    """§2.16 collect with ``photos_as_limit``."""
+    out = scratch_path(spark, "collect-job")
+    jobs.collect_batch_job(spark, _land_json(spark, sf), out, None, derived.assets(spark, sf),
+                           limit=PHOTO_LIMIT, photos_as_limit=True)
+    return files.read_collected(spark, out).select("tweet_id", "created_at")
+
+
+@register("posts_job")
+def q_posts_job(spark, sf):
+    """§2.16 posts: the first two posts of each crawl query."""
+    out = scratch_path(spark, "posts-job")
+    landed = derived.post_pages(spark, sf).withColumn("query_dir", F.regexp_extract("url", r"//([^/:]+)", 1))
+    jobs.posts_job(landed, out, 2)
+    back = (spark.read.schema("imagefile string, caption string, query_dir string")
+            .option("header", True).option("multiLine", True).option("escape", '"').csv(out))
+    return back.select("query_dir", "imagefile", F.coalesce("caption", F.lit("")).alias("caption"))
+
+
+DETECT_TARGET = "c12"
+
+
+@register("detect_to_target")
+def q_detect_to_target(spark, sf):
+    """Collect + detect, then the trend terms of what shows the target:
+    D4 -> D1 -> D2 -> K2 -> S4 -> J3 -> trending terms.  The image in a status'
+    first slot holds two proposals (embeddings 2i and 2i + 1 for status i)."""
+    out, docs, top = (scratch_path(spark, n) for n in ("collect-detect", "confidence-docs", "tracking"))
+    statuses = derived.nested_statuses(spark, sf)
+    first = st.asset_paths(statuses).where("slot = 0").select(F.col("tweet_id").cast("long").alias("_t"), "image_file")
+    emb = table(spark, sf, "embeddings").select(F.expr("vec_id div 2").alias("_t"), F.col("vec_id").alias("pos"), "embedding")
+    images = first.join(emb, "_t").select("image_file", "pos", "embedding")
+    jobs.collect_detect_job(spark, _land_json(spark, sf), out, docs, images, detect.embedding_detector(),
+                            derived.class_labels(spark), q_detect.MIN_CONFIDENCE, q_detect.NMS_THRESHOLD,
+                            assets=derived.assets(spark, sf))
+    return jobs.trending_files_job(spark, out, docs, None, q_terms._baseline(spark, sf), top, DETECT_TARGET,
+                                   q_detect.MIN_CONFIDENCE, 400, 1).select("rank", "term", "n", "rel")
+
+
 # ------------------------------------------------------------ streaming --
-def land_statuses(spark: SparkSession, statuses: DataFrame, dest: str, n_files: int,
-                  first: int = 0, last: int | None = None) -> None:
-    """Land statuses as JSON-lines files in arrival order: file i holds the
-    i-th range of (created_at, id).  Files are copied into ``dest`` one by
-    one so their modification times follow that order."""
+def land_statuses(spark: SparkSession, statuses: DataFrame, dest: str, n_files: int | None = None) -> None:
+    """Land statuses as JSON-lines files in arrival order: one distributed
+    write, dealt by range of (created_at, id), whose file names follow that
+    order.  The files are then moved into ``dest`` and stamped one after the other,
+    which touches their directory entries only; the file stream takes files by
+    their time.  The number of files follows the session's shuffle partitions."""
     staging = scratch_path(spark, "landing")
+    n = n_files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     (statuses.withColumn("_id", F.col("id_str").cast("long"))
-     .repartitionByRange(n_files, "created_at", "_id").drop("_id")
-     .write.mode("overwrite").options(**sinks.JSON_OPTIONS).json(staging))
+     .repartitionByRange(n, "created_at", "_id").sortWithinPartitions("created_at", "_id").drop("_id")
+     .write.options(**sinks.JSON_OPTIONS).json(staging))
+    _move_in_order(spark, staging, dest)
+
+
+def _move_in_order(spark: SparkSession, staging: str, dest: str) -> None:
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    src = jvm.org.apache.hadoop.fs.Path(staging)
+    src, dst = jvm.org.apache.hadoop.fs.Path(staging), jvm.org.apache.hadoop.fs.Path(dest)
     fs = src.getFileSystem(conf)
-    parts = sorted([s.getPath().toString() for s in fs.listStatus(src)
-                    if s.getPath().getName().startswith("part-")])
-    dst_dir = jvm.org.apache.hadoop.fs.Path(dest)
-    dfs = dst_dir.getFileSystem(conf)
-    dfs.mkdirs(dst_dir)
-    for i, p in enumerate(parts[first:last], start=first):
-        sp = jvm.org.apache.hadoop.fs.Path(p)
-        tmp = jvm.org.apache.hadoop.fs.Path(dest.rstrip("/") + f"/.tmp-{i:05d}.json")
-        jvm.org.apache.hadoop.fs.FileUtil.copy(fs, sp, dfs, tmp, False, conf)
-        dfs.rename(tmp, jvm.org.apache.hadoop.fs.Path(dest.rstrip("/") + f"/statuses-{i:05d}.json"))
-        time.sleep(0.02)
+    fs.mkdirs(dst)
+    names = sorted(s.getPath().getName() for s in fs.listStatus(src) if s.getPath().getName().startswith("part-"))
+    earlier = [s.getModificationTime() for s in fs.listStatus(dst)]
+    began = max([jvm.java.lang.System.currentTimeMillis(), *[t + 1 for t in earlier]])
+    landing = uuid.uuid4().hex
+    for i, name in enumerate(names):
+        path = jvm.org.apache.hadoop.fs.Path(f"{staging.rstrip('/')}/{name}")
+        fs.setTimes(path, began + i, -1)
+        fs.rename(path, jvm.org.apache.hadoop.fs.Path(f"{dest.rstrip('/')}/statuses-{landing}-{i:05d}.json"))
 
 
 def _stream_dirs(spark):
     return scratch_path(spark, "stream-src"), scratch_path(spark, "stream-sink"), scratch_path(spark, "stream-ckpt")
 
 
+def _streamed(spark, sf, statuses=None, **options) -> str:
+    """Land the statuses, run the collection stream over them, return the sink."""
+    src, sink, ckpt = _stream_dirs(spark)
+    land_statuses(spark, derived.nested_statuses(spark, sf) if statuses is None else statuses, src)
+    run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf), **options)
+    return sink
+
+
 @register("collect_stream")
 def q_collect_stream(spark, sf):
-    src, sink, ckpt = _stream_dirs(spark)
-    land_statuses(spark, derived.nested_statuses(spark, sf), src, STREAM_FILES)
-    run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
-                       max_files_per_trigger=2)
+    """ST1 with a tracking list."""
+    sink = _streamed(spark, sf, phrases=q_status._phrases(spark), max_files_per_trigger=4)
     return read_collected_sink(spark, sink)
 
 
+@register("collect_stream_all")
+def q_collect_stream_all(spark, sf):
+    """ST1 without a tracking list: every status."""
+    return read_collected_sink(spark, _streamed(spark, sf, max_files_per_trigger=4))
+
+
+@register("collect_stream_long_list")
+def q_collect_stream_long_list(spark, sf):
+    """ST1 with two phrases for each document."""
+    path = scratch_path(spark, "long-list")
+    q_status.long_phrases(spark, sf).write.text(path)
+    sink = _streamed(spark, sf, phrases=track.read_tracking(spark, path), max_files_per_trigger=8)
+    return read_collected_sink(spark, sink).select("tweet_id", "created_at")
+
+
 @register("stop_at_limit")
 def q_stop_at_limit(spark, sf):
-    src, sink, ckpt = _stream_dirs(spark)
-    land_statuses(spark, derived.nested_statuses(spark, sf), src, STREAM_FILES)
-    run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
-                       limit=STREAM_LIMIT, max_files_per_trigger=1)
+    sink = _streamed(spark, sf, limit=STREAM_LIMIT, max_files_per_trigger=1)
+    return read_collected_sink(spark, sink).select("tweet_id", "created_at")
+
+
+@register("photo_limit_stream")
+def q_photo_limit_stream(spark, sf):
+    """The photo limit over the whole stream, whatever the batches."""
+    sink = _streamed(spark, sf, limit=PHOTO_LIMIT, photos_as_limit=True, max_files_per_trigger=1)
     return read_collected_sink(spark, sink).select("tweet_id", "created_at")
 
 
+def _halves(spark, sf):
+    s = derived.nested_statuses(spark, sf)
+    cut = s.agg(F.percentile_approx("created_at", 0.5)).first()[0]
+    return s.where(F.col("created_at") <= F.lit(cut)), s.where(F.col("created_at") > F.lit(cut))
+
+
 @register("resume")
 def q_resume(spark, sf):
-    """ST3: the stream stops after the first half of the files; the second
+    """ST3: the stream stops after the first half of the statuses; the second
     half lands; a restart on the same checkpoint continues without
     re-emitting or losing rows."""
     src, sink, ckpt = _stream_dirs(spark)
-    s = derived.nested_statuses(spark, sf)
-    half = STREAM_FILES // 2
-    land_statuses(spark, s, src, STREAM_FILES, 0, half)
-    run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
-                       max_files_per_trigger=1)
-    land_statuses(spark, s, src, STREAM_FILES, half, None)
-    run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
-                       max_files_per_trigger=1)
+    for half in _halves(spark, sf):
+        land_statuses(spark, half, src)
+        run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf), max_files_per_trigger=4)
     return read_collected_sink(spark, sink).select("tweet_id", "user_id", "image_file_0")
 
 
-@register("baseline_file")
-def q_baseline_file(spark, sf):
-    """The baseline table written as CSV (term, count, freq) with a
-    stale line for every term before its current one; reading keeps the
-    last line of each term."""
-    path = scratch_path(spark, "baseline-csv")
-    base = q_terms._baseline(spark, sf)
-    stale = base.select("term", F.lit("0").alias("count"),
-                        (F.col("freq") * 2).cast("string").alias("freq"))
-    fresh = base.select("term", F.lit("1").alias("count"), F.col("freq").cast("string").alias("freq"))
-    (stale.unionByName(fresh).coalesce(1).write.mode("overwrite")
-     .option("header", True).csv(path))
-    return files.read_baseline(spark, path)
+@register("two_runs_one_sink")
+def q_two_runs_one_sink(spark, sf):
+    """Two runs, each with its own source and checkpoint, append to one sink."""
+    sink = scratch_path(spark, "stream-sink")
+    for half in _halves(spark, sf):
+        src, _, ckpt = _stream_dirs(spark)
+        land_statuses(spark, half, src)
+        run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf), max_files_per_trigger=8)
+    return read_collected_sink(spark, sink).select("tweet_id", "user_id")
 
 
 @register("stream_progress")
 def q_stream_progress(spark, sf):
-    """ST4/A12: statuses and photos read by the collection stream, summed
-    from each micro-batch's observed metrics."""
+    """ST4/A12: statuses and photos read by the collection stream, from its
+    ledger."""
+    sink = _streamed(spark, sf, max_files_per_trigger=4, name="collect_progress")
+    return read_progress(spark, sink).select("statuses", "photos")
+
+
+@register("ingest_rate")
+def q_ingest_rate(spark, sf):
+    """ST6: twelve files at three a trigger make four batches and lose nothing."""
     src, sink, ckpt = _stream_dirs(spark)
-    land_statuses(spark, derived.nested_statuses(spark, sf), src, STREAM_FILES)
-    state = run_collect_stream(spark, src, sink, ckpt, assets=derived.assets(spark, sf),
-                               max_files_per_trigger=2, name="collect_progress")
-    rows = photos = 0
-    for p in state["progress"]:
-        m = (p.get("observedMetrics") or {}).get("collect_progress")
-        if m:
-            rows += int(m.get("rows") or 0)
-            photos += int(m.get("photos") or 0)
-    return spark.createDataFrame([(rows, photos)], "statuses long, photos long")
+    land_statuses(spark, derived.nested_statuses(spark, sf), src, 12)
+    run_collect_stream(spark, src, sink, ckpt, max_files_per_trigger=3)
+    return read_ledger(spark, sink).agg(F.count(F.lit(1)).alias("batches"), F.sum("statuses").alias("statuses"))
+
+
+@register("bad_records")
+def q_bad_records(spark, sf):
+    """ST5: every fiftieth line is cut off; the rejects keep these lines and the
+    collected table the others."""
+    src, sink, ckpt = _stream_dirs(spark)
+    rejects, staging = scratch_path(spark, "rejects"), scratch_path(spark, "broken")
+    s = derived.nested_statuses(spark, sf)
+    line = F.when(F.col("id_str").cast("long") % 50 == 7, F.concat(F.lit('{"id_str": "'), "id_str", F.lit('", "text": ')))
+    s.select(F.coalesce(line, F.to_json(F.struct(*s.columns), sinks.JSON_OPTIONS)).alias("value")).write.text(staging)
+    _move_in_order(spark, staging, src)
+    run_collect_stream(spark, src, sink, ckpt, rejects=rejects, max_files_per_trigger=8)
+    bad = spark.read.schema(f"{files.CORRUPT} string").parquet(rejects).select(
+        F.lit("rejected").alias("kind"), F.col(files.CORRUPT).alias("value"))
+    good = read_collected_sink(spark, sink).select(F.lit("collected").alias("kind"), F.col("tweet_id").alias("value"))
+    return bad.unionByName(good)

@@ -36,6 +36,19 @@ def q_page_jpg_links(spark, sf):
                     .alias("pos", "link"))
 
 
+@register("page_images")
+def q_page_images(spark, sf):
+    """``src`` of the page's images; ``data-src`` is another attribute."""
+    p = derived.post_pages(spark, sf)
+    return p.select("page_id", F.posexplode(pages.page_links("html", "src", None, LINKS_PER_PAGE))
+                    .alias("pos", "link"))
+
+
+@register("page_caption")
+def q_page_caption(spark, sf):
+    return derived.post_pages(spark, sf).select("page_id", pages.page_caption("html").alias("caption"))
+
+
 @register("page_post_count")
 def q_page_post_count(spark, sf):
     p = derived.post_pages(spark, sf)

@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from trendloom.operators import status as st
 from trendloom.operators import track
+from trendloom.functions.plan import with_computed
+from trendloom.functions.text import clean_tokens
 from trendloom.plans.catalog import register
+from trendloom.session import scratch_path
 from trendloom.sources import derived
+from trendloom.sources.tables import table
 
 # fixed parameters of the registered queries: a tracking list with one- and
 # two-word phrases, tags, handles, mixed case and a blank line.
@@ -105,12 +109,15 @@ def q_collected(spark, sf):
 
 @register("track_filter_small")
 def q_track_filter_small(spark, sf):
-    return track.match_phrases_small(_flat_text(spark, sf), _phrases(spark))
+    return track.match_phrases(_flat_text(spark, sf), _phrases(spark))
 
 
 @register("track_filter_indexed")
 def q_track_filter_indexed(spark, sf):
-    return track.match_phrases_indexed(_flat_text(spark, sf), _phrases(spark))
+    """The tracking list written as a file and read back (S2), as a table."""
+    path = scratch_path(spark, "tracking-list")
+    _phrases(spark).select("phrase").write.text(path)
+    return track.match_phrases(_flat_text(spark, sf), track.read_tracking(spark, path))
 
 
 @register("track_filter")
@@ -118,6 +125,37 @@ def q_track_filter(spark, sf):
     return track.track_filter(_flat_text(spark, sf), _phrases(spark)).select("tweet_id", "n_phrases")
 
 
+@register("track_filter_duplicates")
+def q_track_filter_duplicates(spark, sf):
+    """Each status delivered twice: each delivery of a match is kept."""
+    s = _flat_text(spark, sf)
+    return track.track_filter(s.unionByName(s), _phrases(spark)).select("tweet_id", "n_phrases")
+
+
+def long_phrases(spark, sf):
+    """Two two-word phrases for each document: its 2nd and 3rd, and its 4th
+    and 5th token."""
+    tok = with_computed(table(spark, sf, "documents").select("text"), "tok", clean_tokens("text"))
+    pair = lambda i: F.concat_ws(" ", F.get("tok", F.lit(i)), F.get("tok", F.lit(i + 1)))
+    return (tok.select(F.explode(F.array(pair(1), pair(3))).alias("phrase"))
+            .where(F.col("phrase") != "").distinct())
+
+
+@register("track_filter_long_list")
+def q_track_filter_long_list(spark, sf):
+    return track.track_filter(_flat_text(spark, sf), long_phrases(spark, sf)).select("tweet_id", "n_phrases")
+
+
+@register("input_totals")
+def q_input_totals(spark, sf):
+    """The derived statuses hold each document's whole text once and each
+    event once: characters, events and statuses read."""
+    s = derived.nested_statuses(spark, sf)
+    body = F.regexp_replace("text", "^RTX? ", "")
+    return s.agg(F.count(F.lit(1)).alias("statuses"), F.sum(F.length(body)).alias("chars"),
+                 F.sum((F.col("source") != "events").cast("long")).alias("documents"))
+
+
 @register("union_runs")
 def q_union_runs(spark, sf):
     """Two collection runs (before / from the median arrival time)

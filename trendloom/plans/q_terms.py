@@ -110,7 +110,7 @@ def q_ngrams(spark, sf):
 
 @register("idf_grams")
 def q_idf_grams(spark, sf):
-    return (terms.idf_grams(_docs(spark, sf))
+    return (terms.idf_grams(_docs(spark, sf), counted=spark.read.parquet(f"{sf}/documents.parquet"))
             .select("term", "df", F.round("idf", 6).alias("idf")))
 
 

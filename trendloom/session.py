@@ -9,7 +9,7 @@ has none, which is the local-test case.
 from __future__ import annotations
 
 import os
-import tempfile
+import re
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,6 +25,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
@@ -41,7 +42,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     Read from the session (``spark.checkpoint.dir`` or the context's
     checkpoint dir); only when neither is set (local tests) a fresh folder is
-    created and registered.
+    created and registered.  On any other master a missing setting is an error:
+    a folder of one machine is not seen by the others.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
@@ -50,6 +52,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if current:
             sc.setCheckpointDir(current)
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
         current = tempfile.mkdtemp(prefix="trendloom-ckpt-")
         sc.setCheckpointDir(current)
     return current
@@ -59,3 +64,28 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     base = checkpoint_dir(spark)
     return os.path.join(base.rstrip("/"), "scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+_SHIPPED: set[str] = set()  # applications that have the package
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of the session's executors, so
+    that functions that name its modules run wherever the package is not installed."""
+    import tempfile
+    import zipfile
+
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    # a file of the driver, which Spark's own file service hands to the executors
+    archive = os.path.join(tempfile.mkdtemp(prefix="trendloom-"), "trendloom.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    path = os.path.join(folder, n)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)

@@ -25,54 +25,63 @@ IMAGE_W, IMAGE_H = 640, 480
 
 
 def statuses_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat status rows: documents joined with the event of the same id and
-    a nation (place name)."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    e = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    """Flat status rows: every document with the event of the same id, and
+    every event without a document as a short status of its own; each with
+    a nation (place name).  Texts are whole."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("_source"),
+                                                 F.col("lang").alias("_lang"))
+    e = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("_user"), "ts", "event_type", "props")
     # nation is a fixed 25-row dimension: broadcasting it is size-bounded.
     n = F.broadcast(table(spark, sf_dir, "nation").select("n_nationkey", "n_name"))
-    doc = F.col("doc_id")
-    short = F.substring("text", 1, 100)
-    joined = (d.join(e, e.event_id == d.doc_id)
-               .join(n, n.n_nationkey == doc % 25))
+    joined = d.join(e, e.event_id == d.doc_id, "full").select(
+        F.coalesce("doc_id", "event_id").alias("tweet_id"), "_user", "ts",
+        F.coalesce("_source", F.lit("events")).alias("source"), F.coalesce("_lang", F.lit("und")).alias("lang"),
+        F.coalesce("event_type", F.lit("none")).alias("event_type"),
+        F.coalesce("text", F.concat_ws(" ", "event_type", "props")).alias("body"))
+    doc = F.col("tweet_id")
+    joined = joined.join(n, n.n_nationkey == doc % 25)
+    body = F.col("body")
+    user = F.coalesce("_user", doc % 997)
     link = F.when(doc % 5 == 0,
                   F.concat(F.lit(" " + LINK_HOST), doc.cast("string"), F.lit(" lost words"))
                   ).otherwise(F.lit(""))
     return joined.select(
-        doc.alias("tweet_id"),
-        F.col("user_id"),
-        F.col("ts").alias("created_at"),
+        "tweet_id",
+        user.alias("user_id"),
+        F.coalesce("ts", F.expr("timestampadd(SECOND, tweet_id, TIMESTAMP_NTZ'2024-01-01 00:00:00')")).alias("created_at"),
         F.col("source"),
         F.col("lang"),
-        F.when(doc % 10 == 3, F.concat(F.lit("RT "), short))
-         .when(doc % 10 == 4, F.concat(F.lit("RTX "), short))
-         .otherwise(short).alias("text"),
+        F.when(doc % 10 == 3, F.concat(F.lit("RT "), body))
+         .when(doc % 10 == 4, F.concat(F.lit("RTX "), body))
+         .otherwise(body).alias("text"),
         F.when(doc % 4 == 0, F.lit(None).cast("string"))
-         .otherwise(F.concat(F.col("text"), F.lit(" #"), F.col("source"),
+         .otherwise(F.concat(body, F.lit(" #"), F.col("source"),
                              F.lit(" @"), F.col("event_type"), link)).alias("full_text"),
         F.when(doc % 7 == 0, (doc % 360 - 180).cast("double")).alias("longitude"),
         F.when(doc % 7 == 0, (doc % 180 - 90).cast("double")).alias("latitude"),
         F.when(doc % 3 == 0, F.col("n_name")).alias("place_full_name"),
         F.when(doc % 3 == 0, F.lit("country")).alias("place_type"),
         F.when(doc % 8 == 0, doc - 1).alias("in_reply_to_status_id"),
-        ((F.col("user_id") % 13) == 0).alias("protected"),
+        ((user % 13) == 0).alias("protected"),
     )
 
 
 def media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long form of the media list: 0 to 5 entries per status."""
+    """Long form of the media list: 0 to 5 entries per status.  The number of
+    distinct URLs grows with the statuses; neighbours share some."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    doc = F.col("doc_id")
+    e = table(spark, sf_dir, "events").select("event_id")
+    doc = F.col("tweet_id")
+    ids = d.join(e, e.event_id == d.doc_id, "full").select(F.coalesce("doc_id", "event_id").alias("tweet_id"))
     slots = F.filter(F.sequence(F.lit(0), F.lit(4)), lambda p: p < doc % 6)
-    m = d.select(doc.alias("tweet_id"), F.explode(slots).alias("pos"))
-    img = (F.col("tweet_id") * 7 + F.col("pos") * 3) % 500
+    m = ids.select(doc, F.explode(slots).alias("pos"))
     return m.select(
         "tweet_id", "pos",
         F.when((F.col("tweet_id") + F.col("pos")) % 3 == 0, F.lit("video"))
          .otherwise(F.lit("photo")).alias("type"),
-        F.concat(F.lit(MEDIA_HOST), img.cast("string"), F.lit(".jpg")).alias("media_url"),
-        img.alias("img"),
-    )
+        F.expr("(tweet_id * 7 + pos * 3) div 5").alias("img"),
+    ).select("tweet_id", "pos", "type",
+             F.concat(F.lit(MEDIA_HOST), F.col("img").cast("string"), F.lit(".jpg")).alias("media_url"), "img")
 
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -173,19 +182,32 @@ def crawl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Landed post pages with an og:image meta element and an embedded post
-    count appended to the stock HTML."""
+    """Landed post pages: the stock HTML with an og:image meta element in
+    one of four shapes, a lazily loaded image, an embedded post count and a
+    caption appended."""
     p = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
-    meta = F.when(pid % 4 != 0, F.concat(
-        F.lit('<meta property="og:image" content="' + MEDIA_HOST), pid.cast("string"),
-        F.lit('.jpg">'))).otherwise(F.lit(""))
+    url = F.concat(F.lit(MEDIA_HOST), pid.cast("string"), F.lit(".jpg"))
+    meta = (F.when(pid % 4 == 0, F.lit(""))
+            .when(pid % 5 == 0, F.concat(F.lit('<meta property="og:image" content="'), url, F.lit('">')))
+            .when(pid % 5 == 1, F.concat(F.lit('<meta content="'), url, F.lit('" property="og:image"/>')))
+            .when(pid % 5 == 2, F.concat(F.lit("<meta property='og:image' content='"), url, F.lit("'>")))
+            .when(pid % 5 == 3, F.concat(F.lit('<META name="a > b" property="og:image" content="'), url,
+                                         F.lit('?a=1&amp;b=2" />')))
+            .otherwise(F.concat(F.lit('<meta property="og:title" content="x"><meta  property = "og:image"  content = "'),
+                                url, F.lit('">'))))
+    image = F.concat(F.lit('<img data-src="lazy.jpg" src="real-'), pid.cast("string"), F.lit('.jpg">'))
     count = (F.when(pid % 3 == 0, F.concat(F.lit('{"edge_hashtag_to_media":{"count":'),
                                            (pid * 5).cast("string"), F.lit("}}")))
               .when(pid % 3 == 1, F.concat(F.lit('{"edge_owner_to_timeline_media":{"count":'),
                                            (pid + 2).cast("string"), F.lit("}}")))
               .otherwise(F.lit("")))
-    return p.select("page_id", "url", F.concat(F.col("html"), meta, count).alias("html"))
+    caption = (F.when(pid % 7 == 0, F.lit(""))
+               .when(pid % 7 == 1, F.lit("<article><ul><li><span>no time</span></li></ul></article>"))
+               .otherwise(F.concat(F.lit('<article><ul><li class="c"><div><span>Post '), pid.cast("string"),
+                                   F.lit(' <b>by</b> A &amp; B</span></div></li><li><span>reply</span></li></ul>'
+                                         '<time datetime="2024-01-01"></time></article>'))))
+    return p.select("page_id", "url", F.concat(F.col("html"), meta, image, count, caption).alias("html"))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:

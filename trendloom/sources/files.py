@@ -69,10 +69,13 @@ def read_confidence_docs(spark: SparkSession, path: str, base_dir: str | None =
     return df.select(rel.alias("path"), F.from_json("value", schemas.CONFIDENCE_DOC).alias("detected"))
 
 
-def read_confidence_lines(spark: SparkSession, path: str) -> DataFrame:
-    """S4, table form: JSON lines (image_id, detected) as written by
-    ``sinks.write_confidences``."""
-    schema = T.StructType([T.StructField("image_id", T.LongType()),
+def read_confidence_lines(spark: SparkSession, path: str, key: str = "image_id",
+                          key_type: T.DataType | None = None) -> DataFrame:
+    """S4, table form: JSON lines (key, detected) as written by
+    ``sinks.write_confidences``; with ``key="path"`` they join the document
+    paths of collected rows."""
+    kind = key_type or (T.StringType() if key == "path" else T.LongType())
+    schema = T.StructType([T.StructField(key, kind),
                            T.StructField("detected", schemas.CONFIDENCE_DOC)])
     return spark.read.schema(schema).json(path)
 

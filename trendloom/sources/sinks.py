@@ -4,8 +4,6 @@ to a shared file."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,18 +30,19 @@ def write_collected(df: DataFrame, path: str, fmt: str = "csv", mode: str = "app
         w.format(fmt).save(path)
 
 
-def write_confidences(df: DataFrame, path: str, mode: str = "append") -> None:
-    """K2: one JSON object per image, (image_id, detected) with every label
-    present.  JSON lines in part files (no file per image: billions of tiny
-    files would swamp a file system)."""
-    df.select("image_id", "detected").write.mode(mode).options(**JSON_OPTIONS).json(path)
+def write_confidences(df: DataFrame, path: str, mode: str = "append", key: str = "image_id") -> None:
+    """K2: one JSON object per image, (key, detected) with every label
+    present.  ``key`` is the image's id or the document path that collected
+    rows name (``csv_to_json_file_path_i``).  JSON lines in part files (no file
+    per image: billions of tiny files would swamp a file system)."""
+    df.select(key, "detected").write.mode(mode).options(**JSON_OPTIONS).json(path)
 
 
 def write_tracking(terms: DataFrame, path: str, term_col: str = "term", rank_col: str = "rank") -> None:
-    """K3: ranked terms, one per line, in rank order.  The input is a top-n
-    result (n rows, already one partition), so one output file is bounded."""
+    """K3: ranked terms, one per line, in rank order: the sort's partitions are
+    written in order, so a short list is one file and a long one several."""
     (terms.orderBy(rank_col).select(F.col(term_col).alias("value"))
-     .coalesce(1).write.mode("overwrite").text(path))
+     .write.mode("overwrite").text(path))
 
 
 def _fs(spark: SparkSession, path: str):
@@ -52,29 +51,55 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
 
 
+VERSION = "version="
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of a table, ascending (a version is complete when
+    Spark's committer has left _SUCCESS in it)."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = sorted(int(n[len(VERSION):]) for n in names if n.startswith(VERSION))
+    return [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(_version_path(path, v) + "/_SUCCESS"))]
+
+
+def _version_path(path: str, version: int) -> str:
+    return f"{path.rstrip('/')}/{VERSION}{version:06d}"
+
+
+def current_version(spark: SparkSession, path: str) -> str:
+    """Where the rows of a table are: its newest complete version, or the
+    folder itself if it was never rewritten."""
+    versions = _versions(spark, path)
+    return _version_path(path, versions[-1]) if versions else path
+
+
 def rewrite_table(spark: SparkSession, path: str, read, transform, write) -> str:
-    """K4: replace the table at ``path`` by ``transform(read(path))``.
-
-    The result is written to a staging directory next to the table (never
-    over the path being read), its row count is verified against a re-read,
-    then the old directory is renamed aside and the staging one renamed into
-    place.  Returns the path of the previous version."""
-    staging = f"{path.rstrip('/')}.staging-{uuid.uuid4().hex}"
-    backup = f"{path.rstrip('/')}.previous-{uuid.uuid4().hex}"
-    obs = Observation("rewrite")  # rows produced, counted during the staged write
-    cleaned = transform(read(spark, path)).observe(obs, F.count(F.lit(1)).alias("n"))
-    write(cleaned, staging)
-    n_expected = int(obs.get["n"])
-    n_written = read(spark, staging).count()
+    """K4: replace the table at ``path`` by ``transform(read(current))``.
+
+    The result is written as the next version in a folder of its own (never
+    over the files being read) and becomes current with the commit of that one
+    write; a crash before leaves the old version, a crash after leaves the new.
+    Then older versions are removed, all but the one that was read.  Returns the
+    path of that previous version; ``current_version`` finds the new one."""
+    versions = _versions(spark, path)
+    before = current_version(spark, path)
+    after = _version_path(path, versions[-1] + 1 if versions else 1)
+    fs, _, jvm = _fs(spark, path)
+    target = jvm.org.apache.hadoop.fs.Path(after)
+    if fs.exists(target):  # left by a write that was not committed
+        fs.delete(target, True)
+    obs = Observation("rewrite")  # rows produced, counted during the write
+    write(transform(read(spark, before)).observe(obs, F.count(F.lit(1)).alias("n")), after)
+    n_expected, n_written = int(obs.get["n"]), read(spark, after).count()
     if n_written != n_expected:
-        raise RuntimeError(f"staged table has {n_written} rows, expected {n_expected}")
-    fs, p, jvm = _fs(spark, path)
-    if not fs.rename(p, jvm.org.apache.hadoop.fs.Path(backup)):
-        raise RuntimeError(f"could not move {path} aside")
-    if not fs.rename(jvm.org.apache.hadoop.fs.Path(staging), p):
-        fs.rename(jvm.org.apache.hadoop.fs.Path(backup), p)
-        raise RuntimeError(f"could not move staged table into {path}")
-    return backup
+        fs.delete(target, True)
+        raise RuntimeError(f"version {after} has {n_written} rows, expected {n_expected}")
+    for v in versions[:-1]:
+        fs.delete(jvm.org.apache.hadoop.fs.Path(_version_path(path, v)), True)
+    return before
 
 
 def existing_partitions(spark: SparkSession, path: str, column: str, reader) -> DataFrame | None:
@@ -100,7 +125,7 @@ def write_user_partitions(spark: SparkSession, users: DataFrame, path: str,
     new = users if stored is None else users.join(stored, key, "left_anti")
     obs = Observation("users_written")  # counted while written, one pass
     (new.observe(obs, F.count(F.lit(1)).alias("n"))
-     .write.mode("append").partitionBy(key).options(**JSON_OPTIONS).json(path))
+     .repartition(key).write.mode("append").partitionBy(key).options(**JSON_OPTIONS).json(path))
     return int(obs.get["n"])
 
 

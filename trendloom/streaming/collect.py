@@ -3,39 +3,45 @@
     statuses (JSON file stream, maxFilesPerTrigger)        ST6
       -> PERMISSIVE parse, bad lines to a rejects table   ST5
       -> foreachBatch:                                     ST1
-           F2 drop retweets, F1 tracked phrases (inline literal plan),
+           F2 drop retweets, F1 tracked phrases,
            J5 all photos landed (join with the asset listing),
            P1..P7 flatten to the collected table,
            exact limit (rows or photos) in arrival order   ST2
-      -> idempotent write: output of batch b goes to batch_id=b with
-         overwrite, so a replayed batch replaces itself   ST3
-      -> ledger row per batch (rows, photos), read to know what is left
-
-Resume (ST3) is the checkpoint location: a restarted query continues after
-the last committed batch.  ``availableNow`` drains what has arrived and
-stops (ST7); with a processing-time trigger the driver stops the query
-once the ledger reaches the limit.  Progress (ST4/A12) is reported by a
-StreamingQueryListener from each batch's observed metrics.
+      -> idempotent write: output of batch b of a run goes to
+         run_id=r/batch_id=b with overwrite, so a replayed batch replaces
+         itself, and another run into the same sink is appended   ST3, U2
+      -> ledger row per batch: statuses and photos read, rows and photos kept,
+         and whether a status was refused
+
+A run is a checkpoint location: its id is stored beside the checkpoint, so a
+restarted query goes on as the same run after the last committed batch (ST3).
+The limit is one prefix over the whole run: what earlier batches kept is read
+from the ledger once when the query starts and then added up, and once the
+photo limit has refused a status nothing later is let in.  ``availableNow``
+drains what has arrived and stops; with any trigger the driver stops the query
+when the limit is reached, and a batch that begins meanwhile returns without
+reading its files (ST7).  Progress (ST4/A12) is the ledger, a table.
 """
 
 from __future__ import annotations
 
-import json
-import os
 import threading
 import time
+import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from trendloom.operators import status as st
 from trendloom.operators import track
+from trendloom.schemas import COLLECTED
 from trendloom.sources.files import CORRUPT, stream_statuses
 
 PROGRESS_EVERY = 25  # report interval (rows or photos), as the reference
-BATCH_URLS_MAX = 5_000_000  # distinct photo URLs of a micro-batch broadcast up to this
+LEDGER = "statuses long, statuses_photos long, rows long, photos long, refused boolean"
 
 
 @dataclass
@@ -78,28 +84,78 @@ class ProgressListener(StreamingQueryListener):
         pass
 
 
-def _ledger_total(spark: SparkSession, ledger: str, before_batch: int) -> tuple[int, int]:
-    if not os.path.exists(ledger.removeprefix("file:")) and not _exists(spark, ledger):
-        return 0, 0
-    r = (spark.read.parquet(ledger).where(F.col("batch_id") < before_batch)
-         .agg(F.sum("rows"), F.sum("photos")).first())
-    return int(r[0] or 0), int(r[1] or 0)
+def _hadoop_path(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    fs, p = _hadoop_path(spark, path)
+    return fs.exists(p)
+
+
+def run_id_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id of the run whose checkpoint this is; made on its first start."""
+    path = f"{checkpoint.rstrip('/')}.run"
+    if not _exists(spark, f"{path}/_SUCCESS"):
+        spark.createDataFrame([(uuid.uuid4().hex,)], "run_id string").coalesce(1).write.mode("overwrite").text(path)
+    return spark.read.text(path).first()[0]
+
+
+def read_ledger(spark: SparkSession, sink: str) -> DataFrame:
+    """One row for each batch of each run: run_id, batch_id and the counts."""
+    return (spark.read.schema(f"{LEDGER}, run_id string, batch_id long")
+            .option("basePath", f"{sink.rstrip('/')}/ledger").parquet(f"{sink.rstrip('/')}/ledger"))
+
+
+def read_progress(spark: SparkSession, sink: str) -> DataFrame:
+    """Batches, statuses and photos read, rows and photos kept, over all
+    runs into the sink."""
+    return read_ledger(spark, sink).agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("statuses").alias("statuses"),
+        F.sum("statuses_photos").alias("photos"), F.sum("rows").alias("rows_kept"),
+        F.sum("photos").alias("photos_kept"))
+
+
+@dataclass
+class _Kept:
+    """What a run has kept so far."""
+    rows: int = 0
+    photos: int = 0
+    refused: bool = False
+
+    def reached(self, limit: int | None, photos_as_limit: bool) -> bool:
+        if limit is None:
+            return False
+        return self.refused if photos_as_limit else self.rows >= limit
+
+
+def _kept_before(spark: SparkSession, sink: str, run_id: str, batch_id: int | None) -> _Kept:
+    if not _exists(spark, f"{sink.rstrip('/')}/ledger/run_id={run_id}"):
+        return _Kept()
+    ledger = read_ledger(spark, sink).where(F.col("run_id") == run_id)
+    if batch_id is not None:
+        ledger = ledger.where(F.col("batch_id") < batch_id)
+    r = ledger.agg(F.sum("rows"), F.sum("photos"), F.bool_or("refused")).first()
+    return _Kept(int(r[0] or 0), int(r[1] or 0), bool(r[2]))
 
 
 def collect_batch(batch: DataFrame, assets: DataFrame | None, phrases: DataFrame | None) -> DataFrame:
-    """The batch body shared by the stream and the batch job."""
+    """The body shared by the stream and the batch job; ``_photos`` is the
+    number of all photos of a status."""
     s = st.drop_retweets(batch)
     if phrases is not None:
-        s = track.track_filter(s, phrases, "id_str", st.full_text(), plan="small").drop("n_phrases")
-    return st.collect_rows(s, assets, drop_rts=False, probe_limit=BATCH_URLS_MAX).withColumn(
-        "_photos", F.size(F.filter(F.array(*[F.col(f"image_file_{i}") for i in range(4)]),
-                                   lambda x: x.isNotNull())).cast("long"))
+        s = track.track_filter(s, phrases, "id_str", st.full_text()).drop("n_phrases")
+    return st.collect_rows(s, assets, drop_rts=False, photos_col="_photos")
+
+
+def limited(rows: DataFrame, left: int, photos_as_limit: bool) -> DataFrame:
+    """The first rows in (created_at, id) order: ``left`` rows, or as long as
+    their photos stay within ``left``."""
+    rows = rows.withColumn("_id", F.col("tweet_id").cast("long"))
+    if photos_as_limit:
+        return st.photo_limit(rows, left, ["created_at", "_id"], F.col("_photos")).drop("photos_so_far", "_id")
+    return st.row_limit(rows, left, ["created_at", "_id"]).drop("_id")
 
 
 def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
@@ -109,96 +165,89 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
                          rejects: str | None = None, progress: Progress | None = None,
                          name: str = "collect", after_batch=None):
     """Start the query; returns (query, state).  ``sink`` receives
-    ``data/batch_id=*`` (collected rows) and ``ledger/batch_id=*``."""
+    ``data/run_id=*/batch_id=*`` (collected rows) and the ledger likewise.
+    The query is None if the run has reached its limit before."""
+    run_id = run_id_of(spark, checkpoint)
+    part = lambda folder, batch_id: f"{folder.rstrip('/')}/run_id={run_id}/batch_id={batch_id}"
+    state = {"done": _kept_before(spark, sink, run_id, None).reached(limit, photos_as_limit), "run_id": run_id,
+             "listener": None}
+    if state["done"]:
+        return None, state
     stream = stream_statuses(spark, source, max_files_per_trigger)
     stream = stream.observe(name, F.count(F.lit(1)).alias("rows"),
                             F.sum(F.size(st.photo_urls())).alias("photos"))
-    data_dir = f"{sink.rstrip('/')}/data"
-    ledger = f"{sink.rstrip('/')}/ledger"
-    state = {"done": False}
     lock = threading.Lock()
+    kept: list[_Kept] = []  # of the batches before the next one
 
     def per_batch(batch: DataFrame, batch_id: int):
         with lock:
+            if not kept:  # the first batch of this start; later ones add up
+                kept.append(_kept_before(spark, sink, run_id, batch_id))
+            so_far = kept[0]
+            if so_far.reached(limit, photos_as_limit):
+                state["done"] = True
+                return
             # the batch is read by several branches (rejects, media check,
-            # rows): materialise it once, so its files are read once and the
-            # observed metrics count each status once.  Its size is bounded
-            # by maxFilesPerTrigger.
+            # rows): materialise it once, so its files are read once.  Its
+            # size is bounded by maxFilesPerTrigger.
             batch = batch.persist()
+            seen = batch.agg(F.count(F.lit(1)), F.sum(F.size(st.photo_urls()))).first()
             if rejects is not None:
                 bad = batch.where(F.col(CORRUPT).isNotNull()).select("id_str", CORRUPT)
-                bad.write.mode("overwrite").parquet(f"{rejects.rstrip('/')}/batch_id={batch_id}")
-            good = batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
-            rows = collect_batch(good, assets, phrases)
+                bad.write.mode("overwrite").parquet(part(rejects, batch_id))
+            rows = collect_batch(batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), assets, phrases)
+            offered = None
             if limit is not None:
-                done_rows, done_photos = _ledger_total(spark, ledger, batch_id)
-                used = done_photos if photos_as_limit else done_rows
-                left = max(limit - used, 0)
-                if left == 0:
-                    rows = rows.limit(0)
-                else:
-                    rows = rows.withColumn("_id", F.col("tweet_id").cast("long"))
-                    if photos_as_limit:
-                        rows = st.photo_limit(rows, left, ["created_at", "_id"],
-                                              F.col("_photos")).drop("photos_so_far")
-                    else:
-                        rows = st.row_limit(rows, left, ["created_at", "_id"])
-                    rows = rows.drop("_id")
-            rows = rows.persist()
-            n = rows.count()
-            ph = rows.agg(F.sum("_photos")).first()[0] or 0
-            rows.drop("_photos").write.mode("overwrite").parquet(f"{data_dir}/batch_id={batch_id}")
-            spark.createDataFrame([(n, int(ph))], "rows long, photos long").write.mode(
-                "overwrite").parquet(f"{ledger}/batch_id={batch_id}")
-            rows.unpersist()
+                rows = offered = rows.persist()
+                rows = limited(rows, limit - (so_far.photos if photos_as_limit else so_far.rows), photos_as_limit)
+            obs = Observation(f"kept_{batch_id}")  # counted while written
+            (rows.observe(obs, F.count(F.lit(1)).alias("n"), F.sum("_photos").alias("p"))
+             .drop("_photos").write.mode("overwrite").parquet(part(f"{sink.rstrip('/')}/data", batch_id)))
+            n, photos = int(obs.get["n"] or 0), int(obs.get["p"] or 0)
+            refused = offered is not None and offered.count() > n
+            spark.createDataFrame([(seen[0], int(seen[1] or 0), n, photos, refused)], LEDGER).coalesce(1).write.mode(
+                "overwrite").parquet(part(f"{sink.rstrip('/')}/ledger", batch_id))
+            if offered is not None:
+                offered.unpersist()
             batch.unpersist()
             if after_batch is not None:  # e.g. fault injection in tests
                 after_batch(batch_id)
-            if limit is not None:
-                total_rows, total_photos = _ledger_total(spark, ledger, batch_id + 1)
-                if (total_photos if photos_as_limit else total_rows) >= limit:
-                    state["done"] = True
+            kept[0] = _Kept(so_far.rows + n, so_far.photos + photos, so_far.refused or refused)
+            state["done"] = kept[0].reached(limit, photos_as_limit)
 
-    listener = None
     if progress is not None:
-        listener = ProgressListener(name, progress)
-        spark.streams.addListener(listener)
+        state["listener"] = ProgressListener(name, progress)
+        spark.streams.addListener(state["listener"])
     w = stream.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 second")
-    q = w.start()
-    state["listener"] = listener
-    return q, state
-
-
-def _progress_dict(p) -> dict:
-    """A progress update as plain JSON data (observed metrics as dicts)."""
-    j = getattr(p, "json", None)
-    if isinstance(j, str):
-        return json.loads(j)
-    return json.loads(json.dumps(p, default=lambda o: o.asDict() if hasattr(o, "asDict") else str(o)))
+    return w.start(), state
 
 
 def run_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                       timeout_s: float = 600, **kw) -> dict:
-    """Run until drained (availableNow) or the limit is reached (ST7:
-    stop between batches).  Returns the state dict."""
+                       timeout_s: float | None = None, **kw) -> dict:
+    """Run until drained (availableNow) or the limit is reached (ST7: stop
+    between batches).  ``timeout_s`` stops a query that takes longer; there is
+    none by default.  Returns the state dict."""
     q, state = start_collect_stream(spark, source, sink, checkpoint, **kw)
-    t0 = time.time()
-    while q.isActive:
-        if state.get("done") and not kw.get("available_now", True):
+    began = time.time()
+    while q is not None and q.isActive:
+        if state["done"]:
             q.stop()
             break
-        if time.time() - t0 > timeout_s:
+        if timeout_s is not None and time.time() - began > timeout_s:
             q.stop()
             raise TimeoutError("collection stream did not finish")
-        q.awaitTermination(0.5)
-    q.processAllAvailable() if q.isActive else None
-    state["progress"] = [_progress_dict(p) for p in q.recentProgress]
-    if state.get("listener") is not None:
+        q.awaitTermination(0.2)
+    if q is not None and q.exception() is not None and not state["done"]:
+        raise q.exception()
+    if state["listener"] is not None:
         spark.streams.removeListener(state["listener"])
     return state
 
 
 def read_collected_sink(spark: SparkSession, sink: str) -> DataFrame:
-    """The collected rows written by the stream (all committed batches)."""
-    return spark.read.parquet(f"{sink.rstrip('/')}/data").drop("batch_id")
+    """The collected rows written by the stream (all committed batches of all
+    runs)."""
+    data = f"{sink.rstrip('/')}/data"
+    schema = StructType([*COLLECTED.fields, StructField("run_id", StringType()), StructField("batch_id", LongType())])
+    return spark.read.schema(schema).option("basePath", data).parquet(data).drop("run_id", "batch_id")
