@@ -12,13 +12,18 @@ probability of their weighted Jaccard similarity, and a signature takes
 time linear in the text plus the darts.
 
 Signatures are cut into bands.  Documents with the same shingles are one
-entry.  In each bucket (equal band) all entries are compared with the smallest
-id; the pairs that reach the similarity, by their whole shingle sets, are links, and
-linked entries form components.  Pairs of a bucket that lie in different
-components are then compared too, so no link between bucket mates is
-lost, while a bucket of copies costs one pair for each member and not their
-square.  With 32 bands of 5, a pair at similarity 0.8 shares no bucket with a probability of
-3e-6.  Components are the classes.
+entry.  Each bucket (equal band) has a leader, by a hash of the bucket and the id, so an
+entry meets other leaders in its other buckets; the pairs with a leader that reach
+the similarity, by their whole shingle sets, are links, and linked entries form
+components.  Pairs of a bucket that lie in different components are then
+compared too, each once, so no link between bucket mates is lost, while a bucket
+of copies costs one pair for each member and not their square.  Pairs are
+compared in full only if the shingles that are not theirs alone could make a link, and
+if their signatures (four bits of each coordinate) agree in as many
+coordinates as a linked pair does but for one in 300,000 (4.5 standard
+deviations).  With 32 bands of 5, a pair at similarity 0.8 shares no bucket with
+the like probability of 3e-6.  Before that last step each bucket gets a second leader, its
+most central entry, which joins most of what belongs together.  Components are the classes.
 
 Hot groups: copies are collapsed by aggregation below the shuffle, hot buckets
 meet their one leader in joins that AQE may split, and no group is gathered in
@@ -39,7 +44,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stored, stored_bytes
@@ -131,33 +136,57 @@ def _bands(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return total.astype(np.int64)
 
 
+def _sketch(sig: np.ndarray) -> np.ndarray:
+    """Four bits of each coordinate, 16 coordinates to a number."""
+    low = np.zeros(-(-len(sig) // 16) * 16, np.uint64)
+    low[:len(sig)] = _mix(sig) & np.uint64(15)
+    return (low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
+
+
+def _may_link(x: Column, y: Column, coordinates: int, similarity: float) -> Column:
+    """Whether two sketches differ in as few coordinates as a linked pair's do."""
+    differ = F.lit(0)
+    for i in range(-(-coordinates // 16)):
+        d = F.get(x, F.lit(i)).bitwiseXOR(F.get(y, F.lit(i)))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
+        differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
+    agree = similarity + (1 - similarity) / 16
+    most = coordinates * (1 - agree) + 4.5 * (coordinates * agree * (1 - agree)) ** 0.5
+    return differ <= most
+
+
 def _weighed(counts: np.ndarray, weight: str) -> np.ndarray:
     return counts.astype(np.float64) if weight == "count" else np.ones(len(counts))
 
 
 def signatures(docs: DataFrame, weight: str = "presence", bands: int = BANDS, rows: int = ROWS,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (equal for equal weighted sets), n (shingles) and bands."""
+    """doc_id, digest (equal for equal weighted sets), n (shingles), bands and sketch."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         for batch in batches:
-            digests, sizes, keys = [], [], []
+            digests, sizes, keys, sketches = [], [], [], []
             for text in batch.column(1):
                 text = text.as_py()
                 elements, counts = shingles(text)
                 weights = _weighed(counts, weight)
                 if len(elements):
                     content = b"w" + elements.tobytes() + weights.tobytes()
-                    keys.append(_bands(signature(elements, weights, bands * rows), bands, rows))
+                    sig = signature(elements, weights, bands * rows)
+                    keys.append(_bands(sig, bands, rows))
+                    sketches.append(_sketch(sig))
                 else:
                     content = b"t" + (text or "").encode()
                     keys.append(None)
+                    sketches.append(None)
                 digests.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(elements))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
-                                              pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "n", "bands"])
+                                              pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                                             ["doc_id", "digest", "n", "bands", "sketch"])
     rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows_.mapInArrow(run, "doc_id long, digest binary, n int, bands array<long>")
+    return rows_.mapInArrow(run, "doc_id long, digest binary, n int, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, weight: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,7 +217,7 @@ def similar(pairs: DataFrame, sets: DataFrame, weight: str, similarity: float) -
     else:
         shared = F.size(F.array_intersect("sa", "sb"))
         joint = F.size("sa") + F.size("sb")
-    return both.where(shared >= similarity * (joint - shared)).select("a", "b").distinct()
+    return both.where(shared >= similarity * (joint - shared) - 1e-6).select("a", "b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -217,31 +246,68 @@ def components(edges: DataFrame) -> DataFrame:
         e.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()).groupBy("id").agg(F.min("root").alias("root"))
 
 
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``members`` (key, id, ...) with their roots, of the buckets that hold more than one component."""
+    placed = members.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id"))
+    keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
+    return placed.join(keys, "key")
+
+
 def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMILARITY, bands: int = BANDS,
             rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every document."""
     sigs = stored(signatures(docs, weight, bands, rows, id_col, text_col), "signatures")
     # one entry for each digest; its bands are equal in all copies
     entries = sigs.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"))
+        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"),
+        F.first("sketch").alias("sketch"))
     entries = stored(entries, "entries")
-    buckets = entries.select("id", "n", F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).where("lead <> last")
-    members = stored(buckets.join(shared.select("key", "lead"), "key"), "members")
-    first = stored(members.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    buckets = entries.select("id", "sketch", F.explode("bands").alias("key"))
+    order = F.struct(F.xxhash64("id", "key").alias("h"), "id", "sketch")
+    leaders = buckets.groupBy("key").agg(F.min(order).alias("lead"), F.min("id").alias("x"), F.max("id").alias("y"))
+    leaders = leaders.where("x <> y").select("key", "lead")
+    members = stored(buckets.join(leaders, "key"), "members")
+    close = _may_link(F.col("sketch"), F.col("lead.sketch"), bands * rows, similarity)
+    first = members.where((F.col("id") != F.col("lead.id")) & close).select(
+        F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
+    first = stored(first, "pairs")
     ids = stored(members.select("id").distinct(), "candidates")
     sets = stored(shingle_sets(docs, ids, weight, id_col, text_col), "sets")
     links = stored(similar(first, sets, weight, similarity), "links")
     roots = stored(components(links), "roots")
     # mates of a bucket that are not yet in one component
-    placed = members.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    open_keys = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("key")
-    placed = stored(placed.join(open_keys, "key"), "open-buckets")
-    x, y = placed.alias("x"), placed.alias("y")
-    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") if weight != "count" else F.lit(True)
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root"))
-                    & (F.col("x.id") < F.col("y.id")) & sizes)
-    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    placed = stored(_open(members.select("key", "id"), roots), "open-buckets")
+    ids = placed.select("id").distinct()
+    # shingles that no other mate has bound what a pair can share
+    alone = (sets.join(ids, "id", "left_semi").select("id", F.explode("s").alias("e"))
+             .groupBy("e").agg(F.count("*").alias("k"), F.min("id").alias("id")).where("k = 1")
+             .groupBy("id").agg(F.count("*").alias("own")))
+    mates = placed.join(entries.select("id", "n", "bands", "sketch"), "id").join(alone, "id", "left")
+    mates = stored(mates.withColumn("own", F.coalesce("own", F.lit(0))), "mates")
+
+    def may_link(x: str, y: str) -> Column:
+        """Different components, and neither counts nor sketches speak against a link."""
+        col = lambda side, name: F.col(f"{side}.{name}")
+        shared = F.least(col(x, "n") - col(x, "own"), col(y, "n") - col(y, "own"))  # at most
+        sizes = shared * (1 + similarity) >= similarity * (col(x, "n") + col(y, "n")) - 1e-6
+        return ((col(x, "root") != col(y, "root")) & (F.lit(True) if weight == "count" else sizes)
+                & _may_link(col(x, "sketch"), col(y, "sketch"), bands * rows, similarity))
+
+    # a second leader for each: the mate with the fewest shingles of its own
+    core = mates.groupBy("key").agg(F.min(F.struct(
+        "own", F.xxhash64("id", "key").alias("h"), "id", "n", "root", "sketch")).alias("y"))
+    second = mates.alias("x").join(core, "key").where(may_link("x", "y")).select(
+        F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "second-pairs")
+    links = stored(links.union(similar(second, sets, weight, similarity)), "links")
+    roots = stored(components(links), "roots")
+    # what is still open: every pair, in the first bucket that it shares
+    mates = stored(_open(mates.drop("root"), roots), "open-mates")
+    x, y = mates.alias("x"), mates.alias("y")
+    once = F.col("x.key") == F.array_min(F.array_intersect("x.bands", "y.bands"))
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") > F.col("y.id")) & may_link("x", "y") & once)
+    across = across.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+    across = across.join(first.union(second), ["a", "b"], "left_anti")
     more = similar(stored(across, "cross-pairs"), sets, weight, similarity)
     roots = stored(components(links.union(more)), "roots")
     named = entries.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
