@@ -22,12 +22,13 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trendloom.llm.tokenizer_files import memo_of, public_path
+from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -105,9 +106,10 @@ def _packer(path: str, end_id: int | None, width: int, block_ids: int, block_doc
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, schema.types, strict=True)], schema=schema)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
-                ids = np.frombuffer(memo.encode(text.as_py()) + tail, "<u4")
-                docs.append(doc.as_py())
+            found = chain.from_iterable(map(memo.encode_all, in_slices(batch.column(1))))
+            for doc, encoded in zip(batch.column(0).to_pylist(), found, strict=True):
+                ids = np.frombuffer(encoded + tail, "<u4")
+                docs.append(doc)
                 sizes.append(len(ids))
                 chunks.append(ids.astype(kind).tobytes())
                 held += len(ids)

@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.tokenizer_files import memo_of, public_path, version_digest
+from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path, version_digest
 
 OVER = 512
 CACHE_SCHEMA = "key binary, n_tokens long, tokenizer string"
@@ -44,12 +44,12 @@ def _counter(path: str):
         if path.endswith(".model"):
             import sentencepiece
             model = sentencepiece.SentencePieceProcessor(model_file=path)
-            count = lambda text: len(model.encode(text))
+            count = lambda texts: [len(ids) for ids in model.encode(texts)]
         else:
             memo = memo_of(path)
-            count = lambda text: len(memo.encode(text)) // 4
+            count = lambda texts: [len(ids) // 4 for ids in memo.encode_all(texts)]
         for batch in batches:
-            counts = [count(text.as_py()) for text in batch.column(1)]
+            counts = [n for texts in in_slices(batch.column(1)) for n in count(texts)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["key", "n_tokens"])
     return run
 
