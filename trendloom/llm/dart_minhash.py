@@ -48,6 +48,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stored, stored_bytes
+from trendloom.llm.tokenizer_files import release_memos
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHINGLE = 5
@@ -165,6 +166,7 @@ def signatures(docs: DataFrame, weight: str = "presence", bands: int = BANDS, ro
     """doc_id, digest (equal for equal weighted sets), n (shingles), bands and sketch."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        release_memos()
         for batch in batches:
             digests, sizes, keys, sketches = [], [], [], []
             for text in batch.column(1):
@@ -193,6 +195,7 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, weight: str, id_col: str = "do
     """id and the set (``s`` shingles, ``c`` weights where they differ from 1) of the documents in ``ids``."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        release_memos()
         for batch in batches:
             found = [shingles(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
@@ -262,14 +265,15 @@ def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMIL
         F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"),
         F.first("sketch").alias("sketch"))
     entries = stored(entries, "entries")
-    buckets = entries.select("id", "sketch", F.explode("bands").alias("key"))
-    order = F.struct(F.xxhash64("id", "key").alias("h"), "id", "sketch")
+    buckets = entries.select("id", F.explode("bands").alias("key"))
+    order = F.struct(F.xxhash64("id", "key").alias("h"), "id")
     leaders = buckets.groupBy("key").agg(F.min(order).alias("lead"), F.min("id").alias("x"), F.max("id").alias("y"))
-    leaders = leaders.where("x <> y").select("key", "lead")
+    leaders = leaders.where("x <> y").select("key", F.col("lead.id").alias("lead"))
     members = stored(buckets.join(leaders, "key"), "members")
-    close = _may_link(F.col("sketch"), F.col("lead.sketch"), bands * rows, similarity)
-    first = members.where((F.col("id") != F.col("lead.id")) & close).select(
-        F.greatest("id", "lead.id").alias("a"), F.least("id", "lead.id").alias("b")).distinct()
+    first = members.where("id <> lead").select(F.greatest("id", "lead").alias("a"), F.least("id", "lead").alias("b")).distinct()
+    sketch = lambda name: entries.select(F.col("id").alias(name), F.col("sketch").alias(f"{name}_sketch"))
+    first = first.join(sketch("a"), "a").join(sketch("b"), "b").where(
+        _may_link(F.col("a_sketch"), F.col("b_sketch"), bands * rows, similarity)).select("a", "b")
     first = stored(first, "pairs")
     ids = stored(members.select("id").distinct(), "candidates")
     sets = stored(shingle_sets(docs, ids, weight, id_col, text_col), "sets")

@@ -29,10 +29,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trendloom.llm.tokenizer_files import release_memos
 from trendloom.llm.training import held_out, labelled_sample
 
 BITS = 20
-MAX_ROWS = 12000
+MAX_ROWS = 6000
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.02
 THRESHOLD = 0.5
@@ -116,6 +117,7 @@ def score(docs: DataFrame, model: Model, text: Column) -> Column:
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        release_memos()
         dense, bias = sent.value.dense(), sent.value.bias
         for texts in batches:
             yield pd.Series([score_text(t, dense, bias) for t in texts], dtype="float64")
