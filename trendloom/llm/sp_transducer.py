@@ -32,17 +32,17 @@ import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.tokenizer_files import public_path
+from trendloom.llm.tokenizer_files import Generations, public_path
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-MEMO_STRETCHES = 300_000
-MEMO_PAIRS = 1_000_000
+MEMO_STRETCHES = 200_000
+MEMO_PAIRS = 300_000
+UNREACHED, UNKNOWN = -2, -1
 
 
 def _fields(data: bytes) -> dict[int, list]:
@@ -94,10 +94,10 @@ class Transducer:
                 self.automaton.add_word(p, (i, len(p)))
         self.automaton.make_automaton()
         # characters without a piece that often stand inside lines of text end a stretch
-        apart = "".join(c for c in map(chr, range(32)) if c not in self.chars)
-        self.stretch = re.compile(f"[{re.escape(apart)}]|{SPACE}*[^{SPACE}{re.escape(apart)}]+|{SPACE}+")
+        apart = "".join(re.escape(c) for c in map(chr, range(32)) if c not in self.chars)
+        self.stretch = re.compile(f" *[^ {apart}]+| +|[{apart}]")  # with spaces, which the normaliser replaces
         self.pairs: dict[int, bool] = {}
-        self.paths: dict[str, array] = {}
+        self.paths = Generations(MEMO_STRETCHES, lambda some: list(map(self.path, some)))
 
     def merged(self, text: str) -> list[str]:
         """The pieces that merging leaves: again and again the neighbours whose
@@ -121,39 +121,44 @@ class Transducer:
             found = self.pairs[key] = self.merged(x + y) == [x, y]
         return found
 
-    def path(self, stretch: str) -> array:
-        """Ids along the path of finite weight through one stretch."""
-        n, finite = len(stretch), self.finite
-        last: list = [None] * (n + 1)  # the arc that ends here: (id, length), or an unknown character
-        for place, char in enumerate(stretch):
-            if char not in self.chars:
-                last[place + 1] = (-1, 1)
-        for end, arc in self.automaton.iter(stretch):
-            start = end + 1 - arc[1]
-            if last[end + 1] is None and (start == 0 or (
-                    (before := last[start]) is not None and (before[0] < 0 or finite(before[0], arc[0])))):
-                last[end + 1] = arc
+    def path(self, stretch: str) -> bytes:
+        """Ids (as C integers) along the path of finite weight through one stretch."""
+        stretch = stretch.replace(" ", SPACE)
+        n, known, finite = len(stretch), self.pairs.get, self.finite
+        piece, length = [UNREACHED] * (n + 1), [1] * (n + 1)  # the arc that ends at each place
+        if not self.chars.issuperset(stretch):
+            for place, char in enumerate(stretch):
+                if char not in self.chars:
+                    piece[place + 1] = UNKNOWN
+        for end, (arc, size) in self.automaton.iter(stretch):
+            end += 1
+            if piece[end] != UNREACHED:
+                continue
+            if start := end - size:
+                before = piece[start]
+                if before == UNREACHED:
+                    continue
+                if before != UNKNOWN:
+                    weight = known(before << 24 | arc)
+                    if not (finite(before, arc) if weight is None else weight):
+                        continue
+            piece[end], length[end] = arc, size
         ids, at = array("i"), n
         while at:
-            piece, length = last[at]
-            if piece < 0:
+            if piece[at] == UNKNOWN:
                 ids.extend(self.byte_ids[b] for b in reversed(stretch[at - 1].encode()))
             else:
-                ids.append(piece)
-            at -= length
+                ids.append(piece[at])
+            at -= length[at]
         ids.reverse()
-        return ids
+        return ids.tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> list[array]:
+        stretches = [self.stretch.findall(" " + t.replace(SPACE, " ")) if t else () for t in texts]
+        return [array("i", ids) for ids in self.paths.joined(stretches)]
 
     def encode(self, text: str | None) -> array:
-        if not text:
-            return array("i")
-        stretches = self.stretch.findall(SPACE + text.replace(" ", SPACE))
-        paths = self.paths
-        if len(paths) > MEMO_STRETCHES:
-            paths.clear()
-        for s in set(stretches).difference(paths):
-            paths[s] = self.path(s)
-        return array("i", chain.from_iterable(map(paths.__getitem__, stretches)))
+        return self.encode_all([text])[0]
 
     def decode(self, ids) -> str:
         """The text of a sequence of ids; ids without text (control) have none."""
@@ -166,9 +171,8 @@ def transducer(path: str) -> Transducer:
     return Transducer(path)
 
 
-def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-           keep_text: bool = False) -> DataFrame:
-    """doc_id and ids (and text) of every document."""
+def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and ids of every document."""
     path = path or public_path(MODEL)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -178,15 +182,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
         import pyarrow as pa
         fst = transducer(path)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):  # long documents: small pieces of output
-                part = batch.slice(lo, 512)
-                ids = [fst.encode(t.as_py()) for t in part.column(1)]
+            for lo in range(0, batch.num_rows, 256):  # long documents: small pieces of output
+                part = batch.slice(lo, 256)
+                ids = fst.encode_all(part.column(1).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.frombuffer(b"".join(i.tobytes() for i in ids), np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-                columns = [part.column(0), column] + [part.column(1)] * keep_text
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][:len(columns)])
-    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", text string" * keep_text)
+                yield pa.RecordBatch.from_arrays([part.column(0), column], ["doc_id", "ids"])
+    return rows.mapInArrow(run, f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
@@ -212,14 +215,36 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def encoded_and_checked(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
-                        text_col: str = "text") -> DataFrame:
-    """doc_id, ids, ids_crc32 and whether decoding gives the text back."""
-    both = decode(encode(docs, path, id_col, text_col, keep_text=True), path)
-    given = F.replace(F.coalesce("text", F.lit("")), F.lit(SPACE), F.lit(" "))
-    return both.select("doc_id", "ids", "ids_crc32", (F.col("decoded") == given).alias("round_trip"))
+                        text_col: str = "text", keep_ids: bool = True) -> DataFrame:
+    """doc_id, n_ids, ids (unless ``keep_ids`` is off), ids_crc32 and whether
+    decoding gives the text back.  Encoding and decoding are one pass, so
+    a core needs one Python worker and the ids do not travel between."""
+    path = path or public_path(MODEL)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "n_ids", *["ids"] * keep_ids, "ids_crc32", "round_trip"]
+    schema = f"doc_id {kind}, n_ids long, {'ids array<int>, ' * keep_ids}ids_crc32 long, round_trip boolean"
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        fst = transducer(path)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = part.column(1).to_pylist()
+                ids = fst.encode_all(texts)
+                raw = [i.tobytes() for i in ids]
+                back = [fst.decode(i) == (t or "").replace(SPACE, " ") for i, t in zip(ids, texts, strict=True)]
+                columns = [part.column(0), pa.array(list(map(len, ids)), pa.int64())]
+                if keep_ids:
+                    ends = np.cumsum([0, *map(len, ids)])
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4"))))
+                columns += [pa.array(list(map(zlib.crc32, raw)), pa.int64()), pa.array(back, pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names)
+    return rows.mapInArrow(run, schema)
 
 
 def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_ids, ids_crc32 and whether decoding gives the text back."""
-    both = encoded_and_checked(docs, path, id_col, text_col)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids_crc32", "round_trip")
+    return encoded_and_checked(docs, path, id_col, text_col, keep_ids=False)
