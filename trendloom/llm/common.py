@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trendloom.session import scratch_path, ship_package
+
 #: The two word classes of the contracts, as Java regex classes.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 NON_WORD_CLASS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -14,6 +16,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A stock table; the Python workers get this package with the first one."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -56,7 +60,6 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the session's shared checkpoint folder
     and read again: a lineage cut that survives lost executors, and a table
     whose size Spark knows when it plans joins."""
-    from trendloom.session import scratch_path
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
