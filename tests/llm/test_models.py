@@ -42,6 +42,7 @@ def _scored(df):
 
 def test_base_score_on_edge_cases(spark, monkeypatch):
     monkeypatch.setattr(context_mixing, "FREQUENT", 20)  # most words take the shuffle join
+    monkeypatch.setattr(context_mixing, "COMMON", 30)
     got = context_mixing.score(edge_docs(spark))
     assert _scored(got) == _base(edge_rows())
     assert all(r["score"] <= 0 and math.isfinite(r["score"]) for r in got.collect())

@@ -114,3 +114,7 @@ def test_transducer_on_edge_cases(spark):
         (i, sp.encode(t or "")) for i, t in edge_rows())), key=repr)
     assert by_row(got, "doc_id", "n_ids", "ids_crc32") == want
     assert sp_transducer.round_trip(empty_docs(spark)).count() == 0
+    both = sp_transducer.decode(sp_transducer.encode(docs))
+    assert sorted(map(repr, by_row(both, "doc_id", "decoded"))) == sorted(
+        repr((i, (t or "").replace("▁", " "))) for i, t in edge_rows())
+    assert by_row(both, "doc_id", "ids_crc32") == sorted(((i, c) for i, _, c in want), key=repr)
