@@ -48,7 +48,7 @@ STATUS = T.StructType([
 
 N_SLOTS = 4
 
-# The flat collected table, column order as the collector's header.
+# The flat collected table, columns named and ordered as the collected files have them.
 COLLECTED_COLUMNS = (
     ["user_id", "tweet_id", "text"]
     + [f"image_file_{i}" for i in range(N_SLOTS)]
