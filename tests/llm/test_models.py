@@ -55,6 +55,20 @@ def test_lm_score_beats_the_base_on_held_out_text(spark):
     assert got["sum(score)"] > 1.05 * got["sum(base_score)"]  # near the base, which gives unseen words too much
 
 
+def test_lm_weights_learn_within_a_short_document(spark):
+    """A word that comes again costs less, also in a text of fewer than 512 words."""
+    texts = [(i, prose(i, 60)) for i in range(200)] + [(1000, "zqx zqx zqx " * 11), (1001, "zqx zqx zqx " * 33)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in context_mixing.score(docs).where("doc_id >= 1000").collect()}
+    assert got[1001] > 3 * got[1000] + 0.1 * abs(got[1000])
+
+
+def test_lm_score_is_above_the_base_on_held_out_text(spark):
+    got = context_mixing.score(read(spark, SF_LABELS, "documents")).where("held_out").agg(
+        {"score": "sum", "base_score": "sum"}).first().asDict()
+    assert got["sum(score)"] > got["sum(base_score)"]
+
+
 def test_word_probabilities_sum_to_one():
     """Over all symbols of one byte after any prefix, the decisions' probabilities sum to 1."""
     codes = context_mixing.code_table(np.arange(256) ** 2)
