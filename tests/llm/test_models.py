@@ -69,6 +69,45 @@ def test_lm_score_is_above_the_base_on_held_out_text(spark):
     assert got["sum(score)"] > got["sum(base_score)"]
 
 
+def test_lm_score_knows_all_words_whatever_is_broadcast(spark, monkeypatch):
+    """Rare words have the same exact prefix counts by the shuffle as by the broadcast."""
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text").union(
+        edge_docs(spark).select("doc_id", "text").where("doc_id is null or doc_id <> 5"))
+    want = {(r["doc_id"], r["n_bytes"]): r["score"] for r in context_mixing.score(docs).collect()}
+    monkeypatch.setattr(context_mixing, "COMMON", 50)
+    monkeypatch.setattr(context_mixing, "CHUNK", 64)  # most prefixes lie in several chunks
+    got = {(r["doc_id"], r["n_bytes"]): r["score"] for r in context_mixing.score(docs).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) <= 1e-4 * abs(want[k]) for k in want)
+
+
+def test_prefix_counts_against_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "CHUNK", 7)
+    rng = np.random.default_rng(3)
+    words = sorted({"".join(rng.choice(list("abé"), rng.integers(1, 7))) for _ in range(150)} | {""})
+    rows = [(k, w, int(rng.integers(0, 5))) for k in (0, 3) for w in words]
+    codes = context_mixing.code_table(np.arange(256) ** 2)
+    totals = np.bincount([k for k, _, _ in rows], [n for _, _, n in rows], context_mixing.CLASSES).astype(np.int64)
+    got = context_mixing.prefix_paths(spark.createDataFrame(rows, "class int, word string, n long"), codes).collect()
+    assert sorted((r["class"], r["word"], r["n"]) for r in got) == sorted(rows)
+    symbols = context_mixing._symbols
+    for r in got:
+        word, path = symbols([r["word"]])[0], np.array(r["path"], np.int64)
+        c = context_mixing.coded([word], np.array([r["class"]]), codes)
+        zeros, ones = context_mixing.prefix_counts(path, np.array([len(path)]), np.array([r["class"]]), c, totals)
+        at = 0
+        for i, b in enumerate(word):
+            for j in range(int(codes[0][b])):
+                want = [0, 0]
+                for k, w, n in rows:
+                    v = symbols([w])[0]
+                    if k == r["class"] and v[:i] == word[:i] and len(v) > i and codes[0][v[i]] > j and (
+                            codes[2][v[i]][:j + 1] == codes[2][b][:j + 1]).all():
+                        want[codes[1][v[i]][j]] += n
+                assert (zeros[at], ones[at]) == tuple(want)
+                at += 1
+
+
 def test_word_probabilities_sum_to_one():
     """Over all symbols of one byte after any prefix, the decisions' probabilities sum to 1."""
     codes = context_mixing.code_table(np.arange(256) ** 2)
