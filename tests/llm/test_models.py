@@ -229,6 +229,18 @@ def test_near_duplicates_on_families_and_edge_cases(spark):
     assert dart_minhash.classes(empty_docs(spark)).count() == 0
 
 
+def test_one_id_on_two_texts_is_two_entries(spark):
+    first, second = prose(31, 100), prose(32, 100)
+    rows = [(3, first + " more"), (7, first), (7, second), (8, second + " more"), (9, prose(33, 60)), (9, prose(34, 60))]
+    rows += [(11, None), (11, ""), (12, prose(35, 60)), (12, prose(35, 60))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert by_row(dart_minhash.classes(docs), "doc_id", "class_id") == sorted(
+        [(3, 3), (7, 3), (7, 7), (8, 7), (9, 9), (9, 9), (11, 11), (11, 11), (12, 12), (12, 12)], key=repr)
+    kept = by_row(dart_minhash.one_of_each(docs), "doc_id", "text")
+    assert [k for k in kept if k[0] != 11] == sorted([rows[0], rows[2], rows[4], rows[5], rows[8]], key=repr)
+    assert sum(k[0] == 11 for k in kept) == 1
+
+
 def test_weighted_near_duplicates(spark):
     line = prose(21, 12)
     rows = [(1, "\n".join([line] * 10 + [prose(22, 40)])), (2, "\n".join([line] * 11 + [prose(22, 40)])),

@@ -31,7 +31,8 @@ one row.
 
 Defined results: texts without words (null, empty, signs only) are alike only if
 the texts are equal; the class id is the smallest id of the class; rows that
-repeat an id each get the class of their own text; a row with a null id gets the
+repeat an id each get the class of their own text, as entries are told apart by digest (two
+classes whose smallest id is the same have the same class id); a row with a null id gets the
 class of its text, which is null if no row with an id has it; an empty table gives an
 empty result; other columns are not read.
 """
@@ -47,7 +48,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import stored, stored_bytes
+from trendloom.llm.common import stored, stored_bytes, text_key
 from trendloom.llm.tokenizer_files import release_memos
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -163,7 +164,7 @@ def _weighed(counts: np.ndarray, weight: str) -> np.ndarray:
 
 def signatures(docs: DataFrame, weight: str = "presence", bands: int = BANDS, rows: int = ROWS,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest (equal for equal weighted sets), n (shingles), bands and sketch."""
+    """doc_id, key (of the text), digest (equal for equal weighted sets), n (shingles), bands and sketch."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         release_memos()
@@ -184,15 +185,15 @@ def signatures(docs: DataFrame, weight: str = "presence", bands: int = BANDS, ro
                     sketches.append(None)
                 digests.append(hashlib.blake2b(content, digest_size=16).digest())
                 sizes.append(len(elements))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
                                               pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
-                                             ["doc_id", "digest", "n", "bands", "sketch"])
-    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"))
-    return rows_.mapInArrow(run, "doc_id long, digest binary, n int, bands array<long>, sketch array<long>")
+                                             ["doc_id", "key", "digest", "n", "bands", "sketch"])
+    rows_ = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("t"), text_key(F.col(text_col)).alias("key"))
+    return rows_.mapInArrow(run, "doc_id long, key long, digest binary, n int, bands array<long>, sketch array<long>")
 
 
 def shingle_sets(docs: DataFrame, ids: DataFrame, weight: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and the set (``s`` shingles, ``c`` weights where they differ from 1) of the documents in ``ids``."""
+    """id and the set (``s`` shingles, ``c`` weights where they differ from 1) of the documents in ``ids`` (id, doc_id, key)."""
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         release_memos()
@@ -201,9 +202,9 @@ def shingle_sets(docs: DataFrame, ids: DataFrame, weight: str, id_col: str = "do
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([s.astype(np.int64) for s, _ in found], pa.list_(pa.int64())),
                  pa.array([c if weight == "count" else None for _, c in found], pa.list_(pa.int64()))], ["id", "s", "c"])
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(F.col(text_col)).alias("key"), F.col(text_col).alias("t"))
     small = stored_bytes(ids) <= BROADCAST_BYTES
-    return rows.join(F.broadcast(ids) if small else ids, "id", "left_semi").mapInArrow(run, "id long, s array<long>, c array<long>")
+    return rows.join(F.broadcast(ids) if small else ids, ["doc_id", "key"]).select("id", "t").mapInArrow(run, "id long, s array<long>, c array<long>")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, weight: str, similarity: float) -> DataFrame:
@@ -259,12 +260,20 @@ def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMILARITY, bands: int = BANDS,
             rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and class_id of every document."""
+    return _classed(docs, weight, similarity, bands, rows, id_col, text_col).select("doc_id", "class_id")
+
+
+def _classed(docs: DataFrame, weight: str = "presence", similarity: float = SIMILARITY, bands: int = BANDS,
+             rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, key, class_id and first_key of every document: class_id and first_key
+    are the doc_id and key of the first document of its class."""
     sigs = stored(signatures(docs, weight, bands, rows, id_col, text_col), "signatures")
     # one entry for each digest; its bands are equal in all copies
     entries = sigs.where(F.col("doc_id").isNotNull()).groupBy("digest").agg(
-        F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("n").alias("n"),
+        F.min(F.struct("doc_id", "key")).alias("first"), F.first("bands").alias("bands"), F.first("n").alias("n"),
         F.first("sketch").alias("sketch"))
-    entries = stored(entries, "entries")
+    # named by a number of their own, as different texts may share an id
+    entries = stored(entries.withColumn("id", F.monotonically_increasing_id()), "entries")
     buckets = entries.select("id", F.explode("bands").alias("key"))
     order = F.struct(F.xxhash64("id", "key").alias("h"), "id")
     leaders = buckets.groupBy("key").agg(F.min(order).alias("lead"), F.min("id").alias("x"), F.max("id").alias("y"))
@@ -275,7 +284,8 @@ def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMIL
     first = first.join(sketch("a"), "a").join(sketch("b"), "b").where(
         _may_link(F.col("a_sketch"), F.col("b_sketch"), bands * rows, similarity)).select("a", "b")
     first = stored(first, "pairs")
-    ids = stored(members.select("id").distinct(), "candidates")
+    ids = entries.select("id", "first.doc_id", "first.key").join(members.select("id").distinct(), "id", "left_semi")
+    ids = stored(ids, "candidates")
     sets = stored(shingle_sets(docs, ids, weight, id_col, text_col), "sets")
     links = stored(similar(first, sets, weight, similarity), "links")
     roots = stored(components(links), "roots")
@@ -314,22 +324,28 @@ def classes(docs: DataFrame, weight: str = "presence", similarity: float = SIMIL
     across = across.join(first.union(second), ["a", "b"], "left_anti")
     more = similar(stored(across, "cross-pairs"), sets, weight, similarity)
     roots = stored(components(links.union(more)), "roots")
-    named = entries.join(roots, "id", "left").select("digest", F.coalesce("root", "id").alias("class_id"))
-    return sigs.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", "class_id")
+    lows = entries.select("id", "first").join(roots, "id").groupBy("root").agg(F.min("first").alias("low"))
+    lows = roots.join(lows, "root").select("id", "low")
+    named = entries.join(lows, "id", "left").select("digest", F.coalesce("low", "first").alias("low"))
+    return sigs.select("doc_id", "key", "digest").join(named, "digest", "left").select(
+        "doc_id", "key", F.col("low.doc_id").alias("class_id"), F.col("low.key").alias("first_key"))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs``, all columns, with one document of each class: that whose id names
-    it, once.  Rows with a null id stay, as no class can be named by them."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = class_id")
-    kept = stored(found.groupBy(F.col("doc_id").alias("_kept_id")).agg(F.count("*").alias("_rows")), "kept")
+    it, once, and one text of it if ids repeat.  Rows with a null id stay, as no class can be named by them."""
+    found = _classed(docs, id_col=id_col, text_col=text_col, **options).where("doc_id = class_id and key = first_key")
+    kept = stored(found.groupBy(F.col("doc_id").alias("_kept_id"), F.col("key").alias("_kept_key")).agg(
+        F.count("*").alias("_rows")), "kept")
     small = stored_bytes(kept) <= BROADCAST_BYTES
 
     def only(ids: DataFrame) -> DataFrame:
-        return docs.join(F.broadcast(ids) if small else ids, docs[id_col] == ids["_kept_id"], "left_semi")
+        same = (docs[id_col] == ids["_kept_id"]) & (text_key(docs[text_col]) == ids["_kept_key"])
+        return docs.join(F.broadcast(ids) if small else ids, same, "left_semi")
 
     rows = only(kept.where("_rows = 1"))
     repeated = kept.where("_rows > 1")
     if not repeated.isEmpty():
-        rows = rows.union(only(repeated).dropDuplicates([id_col]))
+        again = only(repeated).withColumn("_kept_key", text_key(F.col(text_col)))
+        rows = rows.union(again.dropDuplicates([id_col, "_kept_key"]).drop("_kept_key"))
     return rows.union(docs.where(docs[id_col].isNull()))
