@@ -241,6 +241,13 @@ def test_one_id_on_two_texts_is_two_entries(spark):
     assert sum(k[0] == 11 for k in kept) == 1
 
 
+def test_sketch_bound_misses_no_more_than_stated():
+    p, tail = 0.2 * 15 / 16, lambda m: sum(math.comb(160, i) * p ** i * (1 - p) ** (160 - i) for i in range(m + 1, 161))
+    most = dart_minhash._most_differ(160, 0.8)
+    assert tail(most) <= dart_minhash.SKETCH_MISS < tail(most - 1)
+    assert tail(52) > dart_minhash.SKETCH_MISS  # the bound of 4.5 standard deviations
+
+
 def test_weighted_near_duplicates(spark):
     line = prose(21, 12)
     rows = [(1, "\n".join([line] * 10 + [prose(22, 40)])), (2, "\n".join([line] * 11 + [prose(22, 40)])),

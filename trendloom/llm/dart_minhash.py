@@ -20,9 +20,10 @@ compared too, each once, so no link between bucket mates is lost, while a bucket
 of copies costs one pair for each member and not their square.  Pairs are
 compared in full only if the shingles that are not theirs alone could make a link, and
 if their signatures (four bits of each coordinate) agree in as many
-coordinates as a linked pair does but for one in 300,000 (4.5 standard
-deviations).  With 32 bands of 5, a pair at similarity 0.8 shares no bucket with
-the like probability of 3e-6.  Before that last step each bucket gets a second leader, its
+coordinates as a linked pair does but for one in 300,000 (the exact binomial
+quantile).  With 32 bands of 5, a pair at similarity 0.8 shares no bucket with
+the probability of 3.0e-6, so 54 of 160 may differ (tail 2.1e-6) and 5.1e-6 in all
+are missed.  Before that last step each bucket gets a second leader, its
 most central entry, which joins most of what belongs together.  Components are the classes.
 
 Hot groups: copies are collapsed by aggregation below the shuffle, hot buckets
@@ -43,6 +44,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from math import comb
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -55,6 +57,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 5
+SKETCH_MISS = 1 / 300_000
 BROADCAST_BYTES = 8 << 20
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93,
                                0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
@@ -145,6 +148,19 @@ def _sketch(sig: np.ndarray) -> np.ndarray:
     return (low.reshape(-1, 16) << (np.arange(16, dtype=np.uint64) * np.uint64(4))).sum(1, dtype=np.uint64).view(np.int64)
 
 
+def _most_differ(coordinates: int, similarity: float, miss: float = SKETCH_MISS) -> int:
+    """The fewest coordinates which the sketches of a pair at the similarity exceed
+    with a probability of at most ``miss``: the exact binomial quantile."""
+    p = (1 - similarity) * 15 / 16
+    tail, most = 0.0, coordinates
+    while most > 0:
+        tail += comb(coordinates, most) * p ** most * (1 - p) ** (coordinates - most)
+        if tail > miss:
+            break
+        most -= 1
+    return most
+
+
 def _may_link(x: Column, y: Column, coordinates: int, similarity: float) -> Column:
     """Whether two sketches differ in as few coordinates as a linked pair's do."""
     differ = F.lit(0)
@@ -153,9 +169,7 @@ def _may_link(x: Column, y: Column, coordinates: int, similarity: float) -> Colu
         d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         differ = differ + F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
-    agree = similarity + (1 - similarity) / 16
-    most = coordinates * (1 - agree) + 4.5 * (coordinates * agree * (1 - agree)) ** 0.5
-    return differ <= most
+    return differ <= _most_differ(coordinates, similarity)
 
 
 def _weighed(counts: np.ndarray, weight: str) -> np.ndarray:
