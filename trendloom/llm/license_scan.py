@@ -6,8 +6,8 @@ carries a template's label if it holds at least ``threshold`` of the template's
 distinct tokens.  Template tokens are ordered by their counts over all
 documents, rarest first.  A block that meets the threshold must hold one of the
 template's first ``size - need + 1`` tokens (prefix filter), ``need`` words at
-least (length filter), and from the first shared token on enough tokens must be
-left (positional filter).  Only blocks that pass are compared in full.
+least (length filter).  Only blocks that pass are compared in full.  There is no
+positional filter: behind every prefix token ``need`` tokens are left.
 
 Beside that the base phrases are found wherever their words stand
 consecutively, over line ends too.
