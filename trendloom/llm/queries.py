@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from trendloom.llm import (
-    context_mixing, dart_minhash, decontaminate, elias_fano, factorization, license_scan, quality_rules, sp_transducer, token_counts,
-    toxicity,
+    collocations, context_mixing, conversation_repair, dart_minhash, decontaminate, elias_fano, factorization, license_scan, packing,
+    quality_rules, sp_transducer, token_counts, toxicity,
 )
 from trendloom.llm.common import read
 from trendloom.session import scratch_path
@@ -55,12 +55,27 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.audits(conversation_repair.damaged(read(spark, sf_dir, "conversations")))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.piece_rows(packing.pack(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_context_mixing, op3_token_counts, op4_factorization, op5_dart_minhash, op6_elias_fano,
-    op7_sp_transducer, op8_license_scan, op9_decontaminate, op10_toxicity)}
+    op7_sp_transducer, op8_license_scan, op9_decontaminate, op10_toxicity, op11_collocations,
+    op12_conversation_repair, op13_packing)}
 
 ORACLE = {
     "op1_quality_rules": quality_rules.ORACLE_SQL,
     "op8_license_scan": license_scan.oracle_sql(),
     "op9_decontaminate": decontaminate.ORACLE_SQL,
+    "op11_collocations": collocations.ORACLE_SQL,
+    "op12_conversation_repair": conversation_repair.ORACLE_SQL,
 }
