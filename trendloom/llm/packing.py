@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stored
-from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path
+from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path, release_memos
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID, PAD_ID, WINDOW = 2, 0, 4096
-RUN_IDS, RUN_DOCS = 1 << 20, 8192
+RUN_IDS, RUN_DOCS = 1 << 17, 8192
 #: One row for each part of the input is broadcast up to here, and joined by shuffle beyond.
 BROADCAST_PARTS = 1 << 18
 RUN_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, sizes array<int>, ids binary"
@@ -105,8 +105,9 @@ def _pieces(doc_ids: list, sizes: list, base: int, window: int):
 def _cutter(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
+        release_memos()  # of the workers that encoded before
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (r for lo in range(batch.num_rows) for r in batch.slice(lo, 1).to_pylist()):
                 doc, start, length, tokens, sequence, offset, place = _pieces(row["doc_ids"], row["sizes"], row["base"], window)
                 cuts = np.flatnonzero(np.diff(sequence, prepend=-1))
                 ends = np.append(cuts[1:], len(sequence))
