@@ -22,9 +22,7 @@ ids.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -32,13 +30,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trendloom.llm.common import stored
-from trendloom.llm.tokenizer_files import NOT_PLAIN, Generations, PieceMemo, in_slices, public_path
+from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path, release_memos
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID, PAD_ID, WINDOW = 2, 0, 4096
 RUN_IDS, RUN_DOCS = 1 << 17, 8192
-#: Stretches of text that a worker remembers at once.
-MEMO = 400_000
 #: One row for each part of the input is broadcast up to here, and joined by shuffle beyond.
 BROADCAST_PARTS = 1 << 18
 RUN_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, sizes array<int>, width int, ids binary"
@@ -46,51 +42,16 @@ PIECE = "array<struct<doc_id: bigint, start: bigint, length: bigint, doc_tokens:
 SEQUENCE_SCHEMA = f"sequence_id long, n_ids int, pieces {PIECE}, ids binary"
 
 
-class StretchMemo(PieceMemo):
-    """Remembers stretches between white space, which no piece of a word
-    tokenizer crosses, so most texts are split by white space alone."""
-
-    def __init__(self, path: str):
-        super().__init__(path, MEMO // 2)
-        self.stretches = Generations(MEMO, lambda new: self.memo.joined([self.split.findall(t) for t in new]))
-
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        if self.ends is None:
-            return super()._pieces(pieces)
-        ids = self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids
-        flat = array("I", ids).tobytes()
-        cuts = [4 * i for i, end in enumerate(map(self.ends.__contains__, ids), 1) if end]
-        if len(cuts) != len(pieces):
-            return self._library(pieces)
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts)]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        if not self.lower:  # pieces of a byte tokenizer hold their white space
-            return super().encode_all(texts)
-        whole = [NOT_PLAIN.search(t) is not None or any(s[:2] in t for s in self.special) for t in texts]
-        found = self.stretches.joined([() if by_library else t.lower().split() for t, by_library in zip(texts, whole, strict=True)])
-        at = [i for i, by_library in enumerate(whole) if by_library]
-        for i, ids in zip(at, self._library([texts[i] for i in at]) if at else [], strict=True):
-            found[i] = ids
-        return found
-
-
-@lru_cache(maxsize=1)
-def stretch_memo(path: str) -> StretchMemo:
-    """One memo in a Python worker."""
-    return StretchMemo(path)
-
-
 def _encoder(path: str, end_id: int, run_ids: int, run_docs: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
-        memo, part, end = stretch_memo(path), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
+        memo, part, end = memo_of(path), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
         docs, chunks, sizes, held, seq = [], [], [], 0, 0
 
         def row():
             ids = np.frombuffer(b"".join(chunks), "<u4")
-            width = 16 if not len(ids) or ids.max() < 1 << 16 else 32
+            width = 16 if ids.max() < 1 << 16 else 32
             return pa.RecordBatch.from_arrays(
                 [pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()),
                  pa.array([docs], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int32())),
@@ -147,7 +108,7 @@ def _pieces(doc_ids: list, sizes: list, base: int, window: int):
 def _cutter(window: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        stretch_memo.cache_clear()  # what the worker remembers from encoding
+        release_memos()  # of the workers that encoded before
         for batch in batches:
             for row in (r for lo in range(batch.num_rows) for r in batch.slice(lo, 1).to_pylist()):
                 doc, start, length, tokens, sequence, offset, place = _pieces(row["doc_ids"], row["sizes"], row["base"], window)
