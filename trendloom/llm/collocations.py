@@ -38,7 +38,7 @@ TOKENS = re.compile(rb"[^ \t.,;:!?\n-\r]+|[.,;:!?\n-\r]+")
 ENDS = frozenset(b".,;:!?\n\x0b\x0c\r")
 MIN_COUNT, MAX_WORDS, TOP, COVER_PERCENT = 10, 3, 2000, 50
 #: Bytes of text whose phrases are counted together before they leave a task.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 5 << 20
 FILTER_BITS = 1 << 28
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
