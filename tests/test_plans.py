@@ -39,11 +39,33 @@ def test_tracked_terms_meet_tokens_inside_the_scan(spark):
     s = q_status._flat_text(spark, SF_SMALL)
     path = scratch_path(spark, "phrases")
     q_status._phrases(spark).select("phrase").write.text(path)
-    p = _plan(track.match_phrases(s, track.read_tracking(spark, path)))
+    p = _plan(track.held_terms(s, track.read_tracking(spark, path)))
     tokens = [line for line in p.splitlines() if "regexp_extract_all" in line]
     assert sum("xxhash64" in line or "explode" in line for line in tokens) >= 1
     assert "Cartesian" not in p and "NestedLoop" not in p
-    assert "partial_count" in p                 # hits are counted below the shuffle
+    assert p.count("keys=[_id") == 2            # made distinct below the shuffle, and behind it
+
+
+def test_a_word_that_all_phrases_share_stays_linear(spark):
+    n, word = 400, lambda i: "own" + "".join(chr(97 + i // 26 ** j % 26) for j in range(3))
+    statuses = spark.createDataFrame([(i, f"the common words of {word(i % 40)} and the rest") for i in range(n)], "tweet_id long, text string")
+    phrases = spark.createDataFrame([(f"the {word(i)}",) for i in range(n)] + [("the common",)], "phrase string")
+    held = track.held_terms(statuses, phrases)
+    assert held.count() <= 4 * n
+    met = track.anchored(held, track.phrase_anchors(phrases))
+    assert met.count() == 2 * n                 # one own phrase, and "common"
+    assert track.match_phrases(statuses, phrases).count() == 2 * n
+    none = spark.createDataFrame([(f"the absent{word(i)}",) for i in range(n)], "phrase string")
+    assert track.anchored(track.held_terms(statuses, none), track.phrase_anchors(none)).count() == 0
+
+
+def test_texts_are_cleaned_once(spark):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    for df in (terms.doc_terms(docs), terms.term_counts(docs), track.held_terms(
+            docs, spark.createDataFrame([("a b",)], "phrase string"), "doc_id")):
+        p = df._jdf.queryExecution().optimizedPlan().toString()
+        scans = [line for line in p.splitlines() if "regexp_extract_all" in line and "text#" in line]
+        assert sum(line.count("https?") for line in scans) == 1, p
 
 
 def test_photo_limit_ranges_and_writes_keys_only(spark, monkeypatch):

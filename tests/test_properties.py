@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_MID, SF_SMALL
 from trendloom.functions.text import clean_text, clean_tokens, ngrams_range
-from trendloom.operators import detect, graph, prefix, terms, track
+from trendloom.operators import detect, graph, pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.plans import q_graph
 from trendloom.sources import derived
@@ -341,3 +341,34 @@ def test_bfs_with_one_hot_source_and_no_cap(spark):
     e = spark.createDataFrame(sorted(pairs), "src long, dst long")
     got = graph.snowball(e, 1).orderBy("visit_order").collect()
     assert [r.user_id for r in got] == order and {r.user_id: r.depth for r in got} == seen
+
+
+def test_page_tokens_comments_scripts_entities(spark):
+    cases = [
+        ('<!-- <meta property="og:image" content="old.jpg"> --><meta property="og:image" content="a.jpg">', "a.jpg", []),
+        ('<script><meta property="og:image" content="s.jpg"></script><img src=plain.jpg>', None, ["plain.jpg"]),
+        ('<META Property=og:image Content=b.jpg?x=1&amp;y=2><a href="x>y" src=\'q "r"\'>', "b.jpg?x=1&y=2", ['q "r"']),
+        ("<meta property='og:image' content='caf&eacute;&#233;&#xe9;&#150;&lt;&NotEqualTilde;&#0;&nosuch;&copy&copy=1'>",
+         "cafééé–<≂̸�&nosuch;©&copy=1", []),
+        ('<!-->x<img src="1.jpg"><!-- open <img src="2.jpg">', None, ["1.jpg"]),
+        ('<!DOCTYPE html><textarea><img src="no.jpg"></TEXTAREA ><img/src="3.jpg"/><img src="4.jpg', None, ["3.jpg"]),
+        ('<script src="js.js">if (a < b) "<img src=no>"</script><img data-src="no" src>', None, ["js.js"]),
+        ('<title>a <img src="no.jpg"> </title><p title="a > b" src=" s ">', None, [" s "]),
+        (None, None, None), ("", None, []),
+    ]
+    rows = spark.createDataFrame([(i, h) for i, (h, _, _) in enumerate(cases)], "page_id long, html string").select(
+        "page_id", pages.page_meta("html", "og:image").alias("m"), pages.page_links("html", "src").alias("l"))
+    got = {r["page_id"]: (r["m"], r["l"]) for r in rows.collect()}
+    for i, (_, meta, links) in enumerate(cases):
+        assert got[i] == (meta, links), i
+
+
+def test_entities_equal_the_standard_library(spark):
+    import html
+    from html.entities import html5
+    from trendloom.functions.html import unescape
+    texts = [f"x &{k} y" for k in html5 if k.endswith(";")] + [f"&#{n}; &#x{n:x};" for n in (9, 65, 126, 128, 0x92, 233, 8364, 0xD800, 0x1F600, 0x10FFFF)]
+    texts += ["a & b && &; &# &#x &#; no", "&amp;lt;"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(4)
+    for r in rows.select("t", unescape(rows["t"]).alias("u")).collect():
+        assert r["u"] == html.unescape(r["t"]), r["t"]

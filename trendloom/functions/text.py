@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 CLEAN_PATTERN = r"https?://[^\n]*[\r\n]*|[^0-9a-zA-Z#@]+"
 TOKEN_PATTERN = (r"(?:[01] *)?(?:[0-9]{3} *)?[0-9]{3} *[0-9]{4}|8o?[dp@]|[dp@]o?8|@\w+|#+\w\w+"
                  r"|[a-z]{3,}|\w+|[#@]")
-HANG_PATTERNS = (("#{4,}", "###"), ("@{4,}", "@@@"))
+HANG_PATTERN, HANG_THREE = "(###)#+|(@@@)@+", "$1$2"
 WORD_CLEAN_PATTERN = r"[^0-9a-zA-Z#@]+"
 
 
@@ -42,11 +42,9 @@ def clean_text(col, url_mode: str = "line") -> Column:
 
 
 def tokenize(col) -> Column:
-    """X2. Lower-case, then all token matches in order (array<string>)."""
-    low = F.lower(_c(col))
-    for pattern, three in HANG_PATTERNS:
-        low = F.when(F.contains(low, F.lit(three + three[0])), F.regexp_replace(low, pattern, three)).otherwise(low)
-    return F.regexp_extract_all(low, F.lit(TOKEN_PATTERN), 0)
+    """X2. Lower-case, then all token matches in order (array<string>).  Each step
+    names the one before once, so the text is cleaned once however it is used."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(_c(col)), HANG_PATTERN, HANG_THREE), F.lit(TOKEN_PATTERN), 0)
 
 
 def clean_tokens(col, url_mode: str = "line") -> Column:

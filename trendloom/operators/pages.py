@@ -1,7 +1,7 @@
 """Landed-page and post-crawl operators (P10-P15, T5, F11, G3 list cut).
 
-Pages are rows (page_id, url, html); extraction is regular-expression
-Column expressions evaluated inside codegen, one pass per page.
+Pages are rows (page_id, url, html); extraction is Column expressions over the
+page's tokens (``functions/html.py``), one pass per page.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trendloom.functions.html import attribute, attributes, is_element, tags, unescape
 from trendloom.operators.prefix import ordinal
 
 DEFAULT_HOST = "https://photos.example/"
@@ -23,58 +24,33 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
-# fixed patterns: a meta tag (quoted values may hold '>'), its attributes, and
-# the entities that are decoded (last the ampersand itself)
-META_TAG = r"""(?i)<meta(?:\s+[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*\s*/?>"""
-ATTRIBUTE = r"""[^\s=>"'/<]+\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-            ("&#x27;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
-
-
-def unescape(text: Column) -> Column:
-    """The common entities decoded."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
-
-
-def _unquoted(value: Column) -> Column:
-    return unescape(F.regexp_replace(value, r"""^["']|["']$""", ""))
-
-
-def _named(attributes: Column, name: str) -> Column:
-    """The value of the first attribute called ``name`` in an array of
-    ``name=value`` strings; null without one."""
-    found = F.filter(attributes, lambda a: F.lower(F.trim(F.substring_index(a, "=", 1))) == name.lower())
-    first = F.get(found, F.lit(0))
-    return _unquoted(F.regexp_replace(first, r"^[^=]*=\s*", ""))
-
-
 def _metas(html) -> Column:
     """The meta tags of a page, each as its array of attributes."""
-    tags = F.regexp_extract_all(_c(html), F.lit(META_TAG), 0)
-    return F.transform(tags, lambda t: F.regexp_extract_all(t, F.lit(ATTRIBUTE), 0))
+    found = F.filter(tags(_c(html)), lambda t: is_element(t, "meta"))
+    return F.transform(found, attributes)
 
 
 def page_meta(html, prop: str, attr: str = "property") -> Column:
     """P10: ``content`` of the first meta tag whose ``attr`` is ``prop``, with
     its attributes in any order and either quote, decoded; null when absent."""
-    values = F.transform(F.filter(_metas(html), lambda a: _named(a, attr) == prop), lambda a: _named(a, "content"))
+    values = F.transform(F.filter(_metas(html), lambda a: attribute(a, attr) == prop), lambda a: attribute(a, "content"))
     return F.nullif(F.get(values, F.lit(0)), F.lit(""))
 
 
 def meta_attr(html, attr: str) -> Column:
     """Value of ``attr`` on the first meta element carrying it (e.g. charset)."""
-    values = F.filter(F.transform(_metas(html), lambda a: _named(a, attr)), lambda v: v.isNotNull())
+    values = F.filter(F.transform(_metas(html), lambda a: attribute(a, attr)), lambda v: v.isNotNull())
     return F.nullif(F.get(values, F.lit(0)), F.lit(""))
 
 
 def page_links(html, attr: str = "src", pattern: str | None = None, n: int | None = None) -> Column:
-    """Values of the attribute ``attr`` (either quote, decoded) in page
-    order, optionally only those matching ``pattern``, first ``n`` (None = all).
-    A longer name that ends in ``attr`` (data-src) is another attribute."""
-    found = F.regexp_extract_all(_c(html), F.lit(r"(?i)\s" + re.escape(attr) + r"""\s*=\s*("[^"]*"|'[^']*')"""), 1)
-    links = F.transform(found, _unquoted)
+    """Values of the attribute ``attr`` (quoted or not, decoded) of the
+    page's tags in order, optionally only those matching ``pattern``, first ``n``
+    (None = all).  Comments, scripts and other raw text hold no tags; a longer
+    name that ends in ``attr`` (data-src) is another attribute."""
+    named = F.filter(tags(_c(html)), lambda t: t.rlike(r"(?i)[\s/]" + re.escape(attr) + r"\s*="))
+    links = F.transform(named, lambda t: attribute(attributes(t), attr))
+    links = F.filter(links, lambda u: u.isNotNull())
     if pattern is not None:
         links = F.filter(links, lambda u: u.rlike(pattern))
     if n is not None:

@@ -5,15 +5,18 @@ among the status's tokens (any order, case-insensitive, same cleaning and
 tokenizer for both); phrases are OR-ed.  A phrase without terms matches
 nothing.
 
-One plan for lists of any length, in batch and in the stream: an inverted
-index.  Distinct status tokens are exploded and equi-joined with (term, phrase)
-rows, and a phrase matches when all its distinct terms were hit.  A status is
-known by its id and a hash of its text, so a status that is delivered twice, or
-two statuses under one id, are told apart by what they say.  Nothing is forced
-to broadcast: a short list is small enough for Spark to broadcast by
-itself (the join then happens inside the scan and only tracked terms go on), a
-long one is a shuffle join whose hot terms AQE splits.  The aggregation
-keys (status, phrase, term) are not skewed by hot terms.
+One plan for lists of any length, in batch and in the stream: an anchored index.
+Each phrase is indexed by one of its terms, the one that the fewest phrases have
+(then the longest), so a word that many phrases share is the anchor of none that
+has a rarer one.  A status meets a phrase only if it holds the phrase's anchor, and the
+pairs that meet are then verified in full: the phrase's other terms are looked up
+among the tracked terms of the status.  Those are written once, as (status, term)
+rows; they are linear in the texts however the phrases overlap.  A status is known
+by its id and a hash of its text, so a status that is delivered twice, or two
+statuses under one id, are told apart by what they say.  Nothing is forced to
+broadcast: a short list is small enough for Spark to broadcast by itself (the join
+then happens inside the scan and only tracked terms go on), a long one is a shuffle
+join whose hot terms AQE splits.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trendloom.functions.text import clean_tokens, phrase_terms
+from trendloom.session import checkpoint_dir
 
 
 def read_tracking(spark: SparkSession, path: str) -> DataFrame:
@@ -47,16 +51,42 @@ def _key(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _matched(statuses: DataFrame, phrases: DataFrame, id_col: str, text_col) -> DataFrame:
-    """(_id, _key, phrase): one row for each matched phrase of each distinct status."""
-    terms = phrase_table(phrases).select("phrase", F.size("terms").alias("_k"), F.explode("terms").alias("term"))
+def phrase_anchors(phrases: DataFrame) -> DataFrame:
+    """(phrase, anchor, rest): the phrase's term that the fewest phrases have (then
+    the longest, then the first by name), and its other terms."""
+    terms = phrase_table(phrases).select("phrase", F.explode("terms").alias("term"))
+    spread = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = F.min(F.struct("n", -F.length("term"), "term"))
+    found = terms.join(spread, "term").groupBy("phrase").agg(rarest["term"].alias("anchor"), F.collect_list("term").alias("terms"))
+    return found.select("phrase", "anchor", F.array_remove("terms", F.col("anchor")).alias("rest"))
+
+
+def held_terms(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id", text_col="text") -> DataFrame:
+    """(_id, _key, term): the terms of any phrase that each distinct status holds."""
     text = _text(text_col)
     tok = statuses.select(F.col(id_col).alias("_id"), _key(text).alias("_key"),
                           F.explode(F.array_distinct(clean_tokens(text))).alias("term"))
-    # distinct first: a repeated delivery must not count its terms twice
-    hits = tok.join(terms, "term").select("_id", "_key", "phrase", "_k", "term").distinct()
-    return (hits.groupBy("_id", "_key", "phrase", "_k").agg(F.count(F.lit(1)).alias("_hits"))
-            .where(F.col("_hits") == F.col("_k")).select("_id", "_key", "phrase"))
+    tracked = phrase_table(phrases).select(F.explode("terms").alias("term")).distinct()
+    # distinct: a repeated delivery must not count its terms twice
+    return tok.join(tracked, "term", "left_semi").select("_id", "_key", "term").distinct()
+
+
+def anchored(held: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(_id, _key, phrase, rest): each status with the phrases whose anchor it holds."""
+    return held.join(anchors, F.col("term") == F.col("anchor")).select("_id", "_key", "phrase", "rest")
+
+
+def _matched(statuses: DataFrame, phrases: DataFrame, id_col: str, text_col) -> DataFrame:
+    """(_id, _key, phrase): one row for each matched phrase of each distinct status."""
+    checkpoint_dir(statuses.sparkSession)
+    held = held_terms(statuses, phrases, id_col, text_col).checkpoint()
+    met = anchored(held, phrase_anchors(phrases))
+    more = met.where(F.size("rest") > 0)
+    need = more.select("_id", "_key", "phrase", F.size("rest").alias("_k"), F.explode("rest").alias("term")).alias("n")
+    same = (F.col("n._id").eqNullSafe(F.col("h._id")) & (F.col("n._key") == F.col("h._key")) & (F.col("n.term") == F.col("h.term")))
+    hits = need.join(held.alias("h"), same, "left_semi").groupBy("_id", "_key", "phrase", "_k").agg(F.count(F.lit(1)).alias("_hits"))
+    return met.where(F.size("rest") == 0).select("_id", "_key", "phrase").union(
+        hits.where(F.col("_hits") == F.col("_k")).select("_id", "_key", "phrase"))
 
 
 def match_phrases(statuses: DataFrame, phrases: DataFrame, id_col: str = "tweet_id",

@@ -8,7 +8,7 @@ exact SQL of FIXTURES.md.  Text patterns are the same fixed values as in
 from __future__ import annotations
 
 from trendloom.functions.stopwords import sql_list
-from trendloom.functions.text import CLEAN_PATTERN, HANG_PATTERNS, TOKEN_PATTERN
+from trendloom.functions.text import CLEAN_PATTERN, HANG_PATTERN, TOKEN_PATTERN
 
 VIEWS = {
     "statuses": """
@@ -57,19 +57,20 @@ SELECT doc_id AS query_id,
 FROM documents""",
     "post_pages": """
 SELECT page_id, url, concat(html,
+  '<!-- <meta property="og:image" content="old.jpg"><img src="old.png"> --><script>var m = ''<meta property="og:image" content="script.jpg"><img src="script.png">'';</script><b title=''<meta property="og:image" content="title.jpg">''></b>',
   CASE WHEN page_id % 4 = 0 THEN ''
        WHEN page_id % 5 = 0 THEN concat('<meta property="og:image" content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg">')
        WHEN page_id % 5 = 1 THEN concat('<meta content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg" property="og:image"/>')
        WHEN page_id % 5 = 2 THEN concat('<meta property=''og:image'' content=''http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg''>')
        WHEN page_id % 5 = 3 THEN concat('<META name="a > b" property="og:image" content="http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg?a=1&amp;b=2" />')
        ELSE concat('<meta property="og:title" content="x"><meta  property = "og:image"  content = "http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg">') END,
-  '<img data-src="lazy.jpg" src="real-', CAST(page_id AS VARCHAR(20)), '.jpg">',
+  '<img data-src="lazy.jpg" src="real-', CAST(page_id AS VARCHAR(20)), '.jpg"><img src=plain-', CAST(page_id AS VARCHAR(20)), '.jpg>',
   CASE WHEN page_id % 3 = 0 THEN concat('{"edge_hashtag_to_media":{"count":', CAST(page_id * 5 AS VARCHAR(20)), '}}')
        WHEN page_id % 3 = 1 THEN concat('{"edge_owner_to_timeline_media":{"count":', CAST(page_id + 2 AS VARCHAR(20)), '}}') ELSE '' END,
   CASE WHEN page_id % 7 = 0 THEN ''
        WHEN page_id % 7 = 1 THEN '<article><ul><li><span>no time</span></li></ul></article>'
        ELSE concat('<article><ul><li class="c"><div><span>Post ', CAST(page_id AS VARCHAR(20)),
-                   ' <b>by</b> A &amp; B</span></div></li><li><span>reply</span></li></ul><time datetime="2024-01-01"></time></article>') END) AS html
+                   ' <b>by</b> A &amp; B, caf&eacute;&#233;&#xE9; &copy;&#150;&nosuch;</span></div></li><li><span>reply</span></li></ul><time datetime="2024-01-01"></time></article>') END) AS html
 FROM pages""",
 }
 
@@ -101,8 +102,7 @@ STOP = sql_list()
 def tokens_expr(text: str) -> str:
     """DuckDB twin of ``clean_tokens``."""
     low = f"lower(regexp_replace({text}, {sq(CLEAN_PATTERN)}, ' ', 'g'))"
-    for pattern, three in HANG_PATTERNS:
-        low = f"regexp_replace({low}, {sq(pattern)}, {sq(three)}, 'g')"
+    low = f"regexp_replace({low}, {sq(HANG_PATTERN)}, '\\1\\2', 'g')"
     return f"regexp_extract_all({low}, {sq(TOKEN_PATTERN)})"
 
 
@@ -366,11 +366,12 @@ WHERE images_before < 40""")
 # the values are stated by the shape of each page, not by the engine's patterns
 OG_IMAGE = """CASE WHEN page_id % 4 = 0 THEN NULL ELSE concat('http://img.example/', CAST(page_id AS VARCHAR(20)), '.jpg',
 CASE WHEN page_id % 5 = 3 THEN '?a=1&b=2' ELSE '' END) END"""
-CAPTION = """CASE WHEN page_id % 7 < 2 THEN '' ELSE concat('Post ', CAST(page_id AS VARCHAR(20)), ' by A & B') END"""
+CAPTION = """CASE WHEN page_id % 7 < 2 THEN '' ELSE concat('Post ', CAST(page_id AS VARCHAR(20)), ' by A & B, cafééé ©–&nosuch;') END"""
 oracle("page_meta", [], f"""SELECT page_id, {OG_IMAGE} AS og_image,
 nullif(regexp_extract(html, '<meta charset="([^"]*)"', 1), '') AS charset FROM pages""")
 oracle("page_caption", [], f"SELECT page_id, {CAPTION} AS caption FROM pages")
-oracle("page_images", [], """SELECT page_id, CAST(0 AS INTEGER) AS pos, concat('real-', CAST(page_id AS VARCHAR(20)), '.jpg') AS link FROM pages""")
+oracle("page_images", [], """SELECT page_id, CAST(0 AS INTEGER) AS pos, concat('real-', CAST(page_id AS VARCHAR(20)), '.jpg') AS link FROM pages
+UNION ALL SELECT page_id, CAST(1 AS INTEGER) AS pos, concat('plain-', CAST(page_id AS VARCHAR(20)), '.jpg') AS link FROM pages""")
 oracle("page_links", [], """SELECT page_id, CAST(pos AS INTEGER) AS pos, link FROM (
 SELECT page_id, unnest(l[1:10]) AS link, generate_subscripts(l[1:10], 1) - 1 AS pos FROM (
 SELECT page_id, regexp_extract_all(replace(html, '&amp;', '&'), '[^-]href="([^"]*)"', 1) AS l FROM pages) a) b""")

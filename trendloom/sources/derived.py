@@ -183,8 +183,8 @@ def crawl_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed post pages: the stock HTML with an og:image meta element in
-    one of four shapes, a lazily loaded image, an embedded post count and a
-    caption appended."""
+    one of five shapes, tags that are none, a lazily loaded and an unquoted image,
+    an embedded post count and a caption appended."""
     p = table(spark, sf_dir, "pages")
     pid = F.col("page_id")
     url = F.concat(F.lit(MEDIA_HOST), pid.cast("string"), F.lit(".jpg"))
@@ -196,7 +196,12 @@ def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
                                          F.lit('?a=1&amp;b=2" />')))
             .otherwise(F.concat(F.lit('<meta property="og:title" content="x"><meta  property = "og:image"  content = "'),
                                 url, F.lit('">'))))
-    image = F.concat(F.lit('<img data-src="lazy.jpg" src="real-'), pid.cast("string"), F.lit('.jpg">'))
+    # tags that are none: in a comment, a script, and the value of an attribute
+    decoys = F.lit('<!-- <meta property="og:image" content="old.jpg"><img src="old.png"> -->'
+                   '<script>var m = \'<meta property="og:image" content="script.jpg"><img src="script.png">\';</script>'
+                   '<b title=\'<meta property="og:image" content="title.jpg">\'></b>')
+    image = F.concat(F.lit('<img data-src="lazy.jpg" src="real-'), pid.cast("string"), F.lit('.jpg"><img src=plain-'),
+                     pid.cast("string"), F.lit(".jpg>"))
     count = (F.when(pid % 3 == 0, F.concat(F.lit('{"edge_hashtag_to_media":{"count":'),
                                            (pid * 5).cast("string"), F.lit("}}")))
               .when(pid % 3 == 1, F.concat(F.lit('{"edge_owner_to_timeline_media":{"count":'),
@@ -205,9 +210,9 @@ def post_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     caption = (F.when(pid % 7 == 0, F.lit(""))
                .when(pid % 7 == 1, F.lit("<article><ul><li><span>no time</span></li></ul></article>"))
                .otherwise(F.concat(F.lit('<article><ul><li class="c"><div><span>Post '), pid.cast("string"),
-                                   F.lit(' <b>by</b> A &amp; B</span></div></li><li><span>reply</span></li></ul>'
+                                   F.lit(' <b>by</b> A &amp; B, caf&eacute;&#233;&#xE9; &copy;&#150;&nosuch;</span></div></li><li><span>reply</span></li></ul>'
                                          '<time datetime="2024-01-01"></time></article>'))))
-    return p.select("page_id", "url", F.concat(F.col("html"), meta, image, count, caption).alias("html"))
+    return p.select("page_id", "url", F.concat(F.col("html"), decoys, meta, image, count, caption).alias("html"))
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
