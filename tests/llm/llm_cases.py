@@ -8,7 +8,8 @@ SPACED = re.compile(r"[^\x20\x09-\x0D]+")
 PLAIN = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 #: Columns that clash with names the operators use inside or return.
 CLASHES = ("t", "w", "n", "key", "word", "words", "score", "kept", "n_words", "class_id", "ids", "start", "digest",
-           "held_out", "j", "p", "base", "labels", "items", "spans", "doc")
+           "held_out", "j", "p", "base", "labels", "items", "spans", "doc", "_id", "_x", "_y", "_kept_id", "_kept_key", "_rows",
+           "sample_id", "sample_label", "sample_features", "text_key", "root", "lead", "low", "h", "c", "w1", "pieces", "part", "seq")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHES)
 
 

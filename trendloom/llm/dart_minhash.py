@@ -50,7 +50,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import stored, stored_bytes, text_key
+from trendloom.llm.common import free_name, stored, stored_bytes, text_key
 from trendloom.llm.tokenizer_files import release_memos
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -360,6 +360,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = only(kept.where("_rows = 1"))
     repeated = kept.where("_rows > 1")
     if not repeated.isEmpty():
-        again = only(repeated).withColumn("_kept_key", text_key(F.col(text_col)))
-        rows = rows.union(again.dropDuplicates([id_col, "_kept_key"]).drop("_kept_key"))
+        key = free_name(docs, "text_key")
+        again = only(repeated).withColumn(key, text_key(F.col(text_col)))
+        rows = rows.union(again.dropDuplicates([id_col, key]).drop(key))
     return rows.union(docs.where(docs[id_col].isNull()))

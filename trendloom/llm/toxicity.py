@@ -33,7 +33,7 @@ from trendloom.llm.tokenizer_files import release_memos
 from trendloom.llm.training import held_out, labelled_sample
 
 BITS = 20
-MAX_ROWS = 6000
+MAX_ROWS = 12_000
 EPOCHS = 10
 ALPHA, BETA, L1, L2 = 2.0, 1.0, 6.0, 0.02
 THRESHOLD = 0.5
@@ -81,11 +81,15 @@ def fit(rows: list[tuple[int, bytes, float]], epochs: int = EPOCHS, seed: int =
         short = np.abs(z[at]) <= l1
         return np.where(short, 0.0, (np.sign(z[at]) * l1 - z[at]) / ((BETA + np.sqrt(n[at])) / ALPHA + L2))
 
-    texts = [np.append(np.unique(np.frombuffer(x, np.uint32)), size).astype(np.int64) for _, x, _ in rows]
+    def distinct(x: bytes) -> np.ndarray:  # as they are (a view) if they are distinct and in order
+        at = np.frombuffer(x, np.uint32)
+        return at if np.all(at[:-1] < at[1:]) else np.unique(at)
+
+    texts = [distinct(x) for _, x, _ in rows]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
-            at = texts[i]
+            at = np.append(texts[i], np.uint32(size))
             w = weights(at)
             g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - rows[i][2]
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trendloom.llm.common import crc_mod
+from trendloom.llm.common import crc_mod, free_name
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:
@@ -21,8 +21,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, ma
     the rows of ``docs`` into a column of bytes inside the tasks; only these
     come to the driver."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col), folds))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label) >= 0.5).cast("double").alias("_y"))
-    drawn = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.join(F.broadcast(drawn), F.col(id_col) == F.col("_id")).select("_id", features.alias("_x"), "_y")
-    rows = rows.groupBy("_id").agg(F.min("_x").alias("_x"), F.first("_y").alias("_y"))
-    return sorted((r["_id"], bytes(r["_x"]), r["_y"]) for r in rows.collect())
+    i, y, x = (free_name(docs, c) for c in ("sample_id", "sample_label", "sample_features"))
+    known = known.groupBy(F.col(id_col).alias(i)).agg((F.avg(label) >= 0.5).cast("double").alias(y))
+    drawn = known.orderBy(F.xxhash64(i), i).limit(max_rows)
+    rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn[i]).select(i, features.alias(x), y)
+    rows = rows.groupBy(i).agg(F.min(x).alias(x), F.first(y).alias(y))
+    found = rows.toArrow()
+    return sorted(zip(found[i].to_pylist(), found[x].to_pylist(), found[y].to_pylist(), strict=True))
