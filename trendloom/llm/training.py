@@ -26,5 +26,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features, ma
     drawn = known.orderBy(F.xxhash64(i), i).limit(max_rows)
     rows = docs.join(F.broadcast(drawn), docs[id_col] == drawn[i]).select(i, features.alias(x), y)
     rows = rows.groupBy(i).agg(F.min(x).alias(x), F.first(y).alias(y))
-    found = rows.toArrow()
-    return sorted(zip(found[i].to_pylist(), found[x].to_pylist(), found[y].to_pylist(), strict=True))
+    return sorted((r[i], bytes(r[x]), r[y]) for r in rows.collect())
