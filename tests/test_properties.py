@@ -1,6 +1,7 @@
 """Property and brute-force checks of the operators (small inputs)."""
 
 import collections
+import random
 
 from pyspark.sql import Row
 from pyspark.sql import functions as F
@@ -253,6 +254,48 @@ def test_nms_of_one_hot_image(spark):
     assert got == _brute_nms(dec, 0.3)
 
 
+def _raw_boxes(rows):
+    """(image_id, pos, cx, cy, bw, bh in pixels, score) as detector output over 4096 pixels."""
+    return [(i, p, 4096, 4096, [cx / 4096, cy / 4096, bw / 4096, bh / 4096, 1.0, s]) for i, p, cx, cy, bw, bh, s in rows]
+
+
+RAW_BOX = "image_id long, pos long, w int, h int, vec array<double>"
+
+
+def test_crowded_images_in_rounds_equal_the_fold(spark, monkeypatch):
+    """Boxes of all sizes, copies, ties, boxes without area and a null image, over thresholds."""
+    rnd = random.Random(5)
+    rows = []
+    for pos in range(240):
+        size = rnd.choice([1, 3, 17, 64, 65, 400])
+        rows.append((rnd.choice([None, 1, 2]), pos, rnd.randrange(20, 300), rnd.randrange(20, 300),
+                     size, rnd.choice([size, size, 2 * size, 0]), rnd.choice([0.5, 0.6, rnd.random()])))
+    rows += [(1, 1000 + i, 100, 100, 64, 64, 0.7) for i in range(20)] + [(3, 2000, 9, 9, 4, 4, 0.9)]
+    raw = spark.createDataFrame(_raw_boxes(rows), RAW_BOX).checkpoint()
+    for t in (0.0, 0.3):
+        want = sorted(map(str, detect.suppress_overlaps(raw, 0.3, t).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(detect, "FOLD_BOXES", 40)
+            assert sorted(map(str, detect.suppress_overlaps(raw, 0.3, t).collect())) == want, t
+
+
+def test_a_hundred_thousand_chained_boxes(spark):
+    """One image of boxes that chain over both axes: kept boxes do not overlap, every
+    other overlaps a better kept one, and no list of pairs is made."""
+    n, step = 100_000, 9
+    raw = (spark.range(n).select(
+        F.lit(1).cast("long").alias("image_id"), F.col("id").alias("pos"), F.lit(4096).alias("w"), F.lit(4096).alias("h"),
+        F.array(F.expr(f"(20 + id % 400 * {step}) / 4096D"), F.expr(f"(20 + id div 400 * {step}) / 4096D"),
+                F.lit(16 / 4096), F.lit(16 / 4096), F.lit(1.0), F.expr("0.4D + pmod(xxhash64(id), 1000000) / 2000000D")).alias("vec")))
+    place = {(r.x, r.y): (-r.confidence, r.pos, r) for r in detect.decode_boxes(raw).collect()}
+    kept = {r.pos for r in detect.suppress_overlaps(raw, 0.3, 0.1).collect()}
+    near = [(dx, dy) for dx in (-step, 0, step) for dy in (-step, 0, step) if (dx, dy) != (0, 0)]
+    for (x, y), (k, pos, _) in place.items():
+        better = [place[x + dx, y + dy] for dx, dy in near if (x + dx, y + dy) in place
+                  and (16 - abs(dx)) * (16 - abs(dy)) / (512 - (16 - abs(dx)) * (16 - abs(dy))) > 0.1]
+        assert (pos in kept) == (not any(b[:2] < (k, pos) and b[1] in kept for b in better))
+
+
 def test_class_list_of_any_length(spark):
     labels = spark.range(150_000).select(F.col("id").cast("int").alias("class_id"), F.concat(F.lit("c"), "id").alias("label"))
     raw = spark.createDataFrame([(1, 0, 10, 10, [0.5, 0.5, 0.2, 0.2, 1.0, 0.1, 0.9])],

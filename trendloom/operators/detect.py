@@ -5,27 +5,29 @@ vec = [cx, cy, bw, bh, objectness, score_0, ...] normalised to 0..1 and
 ``pos`` the output order.  All steps but the model hook are Catalyst
 expressions (higher-order functions), so they run in codegen.
 
-Group sizes: suppression works per image.  Images are first cut into
-components that cannot interact (``box_components``), so no image has to be
-folded in one task; boxes that chain across both axes stay one group.  The
-per-image confidence map is one document per image by definition and is
-assembled from the kept boxes.
+Group sizes: an image of up to ``FOLD_BOXES`` candidates is folded as one group;
+a crowded one is decided in rounds over a grid of cells (``_decide_crowded``), so no image has to
+be folded in one task.  The per-image confidence map is one document per image by
+definition and is assembled from the kept boxes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from trendloom.operators.prefix import ordinal, range_rows, running_over
-from trendloom.session import ship_package
+from trendloom.operators.prefix import ordinal
+from trendloom.session import checkpoint_dir, ship_package
 
 DEFAULT_MIN_CONFIDENCE = 0.5
 DEFAULT_NMS_THRESHOLD = 0.3
+FOLD_BOXES = 1000  # candidates that are folded as one group
+MAX_LEVEL = 32  # box sizes are 32-bit
 
 _BOX = "struct<k:double,pos:bigint,confidence:double,class_id:int,x:int,y:int,bw:int,bh:int>"
 
@@ -86,28 +88,83 @@ def _fold(sorted_boxes: Column, nms_threshold: float) -> Column:
                         .otherwise(F.concat(acc, F.array(c))))
 
 
-def _sweep(boxes: DataFrame, group: list[str], lo: str, size: str, out: str) -> DataFrame:
-    """Adds ``out``: boxes of each group swept along one axis; a box starts a
-    new component when its low edge is at or beyond the high edge of every
-    box before it.  Both passes are distributed running aggregates over the
-    same ranges (a hot group spans many of them)."""
-    order = [F.col(lo), F.col("pos")]
-    ranged = range_rows(boxes, order, group)
-    e = running_over(ranged, F.col(lo) + F.col(size), order, group, out="_prev_end",
-                     inclusive=False, how="max")
-    e = e.withColumn("_start", (F.col("_prev_end").isNull()
-                                | (F.col(lo) >= F.col("_prev_end"))).cast("long"))
-    return running_over(e, F.col("_start"), order, group, out=out).drop("_prev_end", "_start", "_pid")
+def _folded(boxes: DataFrame, nms_threshold: float) -> DataFrame:
+    """Each image folded as one group; kept boxes with ``_r``, their place among
+    those of the image from 0."""
+    box = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
+                   F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh")
+    grouped = boxes.groupBy("image_id").agg(F.sort_array(F.collect_list(box)).alias("_cand"))
+    return (grouped.select("image_id", F.posexplode(_fold(F.col("_cand"), nms_threshold)).alias("_r", "b"))
+            .select("image_id", "_r", *[f"b.{c}" for c in _KEPT]))
+
+
+_KEPT = ("pos", "class_id", "confidence", "x", "y", "bw", "bh")
+
+
+def _with_cells(boxes: DataFrame, nms_threshold: float) -> DataFrame:
+    """Adds ``cells``: the grid cells (image, level, cx, cy) of a box; null if it has no area.
+
+    At level L cells are squares of 2^L pixels.  A box whose longer side is at most
+    2^L, and more than half of that, covers at most four cells there.  Two boxes can
+    only overlap by more than t if each side of one is more than t times that of the
+    other, so a box is listed at its own level and at those up to log2(1/t) above: two
+    boxes that overlap by more than t share a cell at the level of the larger one."""
+    up = MAX_LEVEL if nms_threshold <= 0 else min(MAX_LEVEL, math.ceil(-math.log2(min(nms_threshold, 1.0) * (1 - 1e-6))))
+    side = F.greatest("bw", "bh").cast("long")
+    own = F.when(side <= 1, F.lit(0)).otherwise(F.length(F.bin(side - 1)))
 
+    def span(lo: str, size: str, level: Column) -> Column:
+        cell = lambda v: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
+        return F.sequence(cell(F.col(lo)), cell(F.col(lo).cast("long") + F.col(size) - 1))
 
-def box_components(boxes: DataFrame) -> DataFrame:
-    """Adds ``comp`` (x sweep) and ``comp_y`` (y sweep inside each x
-    component).  Boxes in different components have disjoint x- or
-    y-extents, so they never overlap and never suppress each other: greedy
-    suppression per (image, comp, comp_y) keeps exactly what it keeps per
-    image."""
-    xs = _sweep(boxes, ["image_id"], "x", "bw", "comp")
-    return _sweep(xs, ["image_id", "comp"], "y", "bh", "comp_y")
+    at = lambda level: F.flatten(F.transform(span("x", "bw", level), lambda cx: F.transform(
+        span("y", "bh", level), lambda cy: F.struct("image_id", level.alias("level"), cx.alias("cx"), cy.alias("cy")))))
+    levels = F.sequence(own, F.least(own + F.lit(up), F.lit(MAX_LEVEL)))
+    return (boxes.withColumn("own", own)
+            .withColumn("cells", F.when((F.col("bw") > 0) & (F.col("bh") > 0), F.flatten(F.transform(levels, at)))))
+
+
+def _decide_crowded(boxes: DataFrame, nms_threshold: float) -> DataFrame:
+    """Kept boxes of images of any size, decided in rounds.
+
+    Two boxes that overlap by more than the threshold share a cell of the level of at
+    least one of them, its owner.  So a box is kept if no better undecided box shares a cell
+    that either of the two owns.  A kept box then removes what it overlaps by more than the
+    threshold, among those that share such a cell.  A cell gets one kept owner a round, also where all
+    boxes lie on one place; pairs of undecided boxes are never listed.
+    Once few are left they are folded by image.  The number of rounds is that of the longest
+    chain of ever worse boxes from cell to cell, a few where confidence does not follow the place.
+    Only the number of undecided boxes reaches the driver."""
+    t = F.lit(nms_threshold).cast("float")
+    rank = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"), "confidence",
+                    "class_id", "x", "y", "bw", "bh", "uid")
+    todo = (_with_cells(boxes.withColumn("uid", F.monotonically_increasing_id()).checkpoint(), nms_threshold)
+            .select("image_id", "own", "cells", "uid", rank.alias("box")))
+    # without area: overlaps nothing
+    kept = todo.where("cells IS NULL").select("image_id", "box")
+    todo = todo.where("cells IS NOT NULL")
+    while True:
+        seen = Observation("undecided")
+        todo = todo.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
+        if int(seen.get["n"]) <= FOLD_BOXES:
+            break
+        rows = (todo.select("image_id", "uid", "box", "own", F.explode("cells").alias("cell"))
+                .withColumn("own", F.col("own") == F.col("cell.level")))
+        best = rows.groupBy("cell").agg(F.min("box").alias("_any"), F.min(F.when(F.col("own"), F.col("box"))).alias("_own"))
+        better = F.when(F.col("own"), F.col("_any") < F.col("box")).otherwise(
+            F.coalesce(F.col("_own") < F.col("box"), F.lit(False)))
+        beaten = rows.join(best, "cell").groupBy("uid").agg(F.bool_or(better).alias("_beaten"))
+        new = todo.join(beaten.where(~F.col("_beaten")), "uid", "left_semi").checkpoint()
+        kept = kept.unionByName(new.select("image_id", "box"))
+        winners = (new.select(F.col("box").alias("_w"), "own", F.explode("cells").alias("cell"))
+                   .select("_w", "cell", (F.col("own") == F.col("cell.level")).alias("_owner")))
+        hit = _iou_f32(F.col("_w"), F.col("box")) > t
+        lost = (rows.join(winners.where("_owner"), "cell").where(hit).select("uid")
+                .unionByName(rows.where("own").join(winners.where("NOT _owner"), "cell").where(hit).select("uid"))
+                .unionByName(new.select("uid")).distinct())
+        todo = todo.join(lost, "uid", "left_anti")
+    rest = _folded(todo.select("image_id", *[F.col(f"box.{c}").alias(c) for c in _KEPT]), nms_threshold)
+    return kept.select("image_id", *[f"box.{c}" for c in _KEPT]).unionByName(rest.drop("_r"))
 
 
 def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFIDENCE,
@@ -115,21 +172,27 @@ def suppress_overlaps(raw: DataFrame, min_confidence: float = DEFAULT_MIN_CONFID
     """Greedy class-agnostic suppression; kept boxes, one row each, with
     their keep order in the image.
 
-    Candidates (confidence > min_confidence) of an image are cut into
-    components that cannot overlap (``box_components``); each is folded in
-    (confidence desc, pos asc) order, and a box is kept unless a kept box
-    overlaps it by more than ``nms_threshold``.  The keep order over the whole
-    image is a distributed running count.  One path for images of any size."""
+    Candidates (confidence > min_confidence) are taken in (confidence desc, pos asc)
+    order, and one is kept unless a kept box overlaps it by more than
+    ``nms_threshold``.  Images of up to ``FOLD_BOXES`` candidates are folded, one
+    shuffle for all; the boxes of others are decided in rounds over many tasks
+    (``_decide_crowded``) and ordered by a distributed running count.  Both give the
+    same rows.  Below a threshold of 0 each image keeps its best box only."""
     cand = decode_boxes(raw).where(F.col("confidence") > min_confidence)
-    box = F.struct((-F.col("confidence")).alias("k"), F.col("pos").cast("long").alias("pos"),
-                   F.col("confidence"), F.col("class_id"), "x", "y", "bw", "bh")
-    grouped = (box_components(cand).groupBy("image_id", "comp", "comp_y")
-               .agg(F.sort_array(F.collect_list(box)).alias("_cand")))
-    kept = grouped.select("image_id", F.explode(_fold(F.col("_cand"), nms_threshold)).alias("b")).select(
-        "image_id", "b.pos", "b.class_id", "b.confidence", "b.x", "b.y", "b.bw", "b.bh")
-    ranked = ordinal(kept, [F.col("confidence").desc(), F.col("pos")], ["image_id"], out="_r")
-    return ranked.select("image_id", (F.col("_r") - 1).cast("int").alias("keep_rank"), "pos",
-                         "class_id", "confidence", "x", "y", "bw", "bh")
+    checkpoint_dir(raw.sparkSession)
+    out = lambda df: df.select("image_id", F.col("_r").cast("int").alias("keep_rank"), *_KEPT)
+    if nms_threshold < 0:
+        w = Window.partitionBy("image_id").orderBy(F.col("confidence").desc(), "pos")
+        return out(cand.withColumn("_r", F.row_number().over(w) - 1).where("_r = 0"))
+    crowded = (cand.groupBy("image_id").agg(F.count(F.lit(1)).alias("_n"))
+               .where(F.col("_n") > FOLD_BOXES).select("image_id").checkpoint())
+    if crowded.isEmpty():
+        return out(_folded(cand, nms_threshold))
+    same = cand["image_id"].eqNullSafe(crowded["image_id"])
+    few = _folded(cand.join(crowded, same, "left_anti"), nms_threshold)
+    many = _decide_crowded(cand.join(crowded, same, "left_semi"), nms_threshold)
+    ranked = ordinal(many, [F.col("confidence").desc(), F.col("pos")], ["image_id"], out="_o")
+    return out(few).unionByName(out(ranked.withColumn("_r", F.col("_o") - 1)))
 
 
 def confidence_map(raw: DataFrame, labels: DataFrame,

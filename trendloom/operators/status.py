@@ -127,16 +127,14 @@ def has_asset(rows: DataFrame, assets: DataFrame, column: str = "image_file_0",
     """Keep rows whose ``column`` names a landed asset.
 
     ``require_nonempty=False`` reproduces the older cleaner, which tested
-    the directory itself for an empty path and so kept such rows.
+    the directory itself for an empty path and so kept such rows.  Rows with an
+    empty path never enter the join, where they would all meet on one key.
     """
     c = F.col(column)
     empty = c.isNull() | (c == "")
-    listing = assets.select(F.col(asset_col).alias("_p")).distinct().withColumn("_found", F.lit(True))
-    joined = rows.join(listing, c == F.col("_p"), "left")
-    keep = F.col("_found").isNotNull()
-    if not require_nonempty:
-        keep = keep | empty
-    return joined.where(keep).drop("_p", "_found")
+    listing = assets.select(F.col(asset_col).alias("_p"))
+    found = rows.where(~empty).join(listing, c == F.col("_p"), "left_semi")
+    return found if require_nonempty else found.unionByName(rows.where(empty))
 
 
 def cap_photos_per_user(statuses: DataFrame, limit: int, user_col="user.id_str",
