@@ -35,6 +35,8 @@ from trendloom.llm.tokenizer_files import in_slices, memo_of, public_path, relea
 TOKENIZER = "word_bpe_49k.json"
 END_ID, PAD_ID, WINDOW = 2, 0, 4096
 RUN_IDS, RUN_DOCS = 1 << 17, 8192
+#: Pieces that a worker remembers, twice; less than elsewhere, as the runs are written beside them.
+MEMO_PIECES = 200_000
 #: One row for each part of the input is broadcast up to here, and joined by shuffle beyond.
 BROADCAST_PARTS = 1 << 18
 RUN_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, sizes array<int>, width int, ids binary"
@@ -46,7 +48,7 @@ def _encoder(path: str, end_id: int, run_ids: int, run_docs: int):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
-        memo, part, end = memo_of(path), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
+        memo, part, end = memo_of(path, MEMO_PIECES), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
         docs, chunks, sizes, held, seq = [], [], [], 0, 0
 
         def row():

@@ -164,6 +164,6 @@ def in_slices(texts, rows: int = 256):
 
 
 @lru_cache(maxsize=2)
-def memo_of(path: str) -> PieceMemo:
+def memo_of(path: str, pieces: int = MEMO_PIECES) -> PieceMemo:
     """One memo for each file in a Python worker."""
-    return PieceMemo(path)
+    return PieceMemo(path, pieces)
