@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from trendloom.functions.text import clean_tokens
-from trendloom.operators import pages, prefix, terms, track
+from trendloom.operators import graph, pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.operators.target import target_partition
 from trendloom.plans import q_status
@@ -113,3 +113,28 @@ def test_phrase_terms_use_same_tokenizer(spark):
     df = spark.createDataFrame([("Fighter-Jet #Storm",)], "phrase string")
     got = df.select(F.array_distinct(clean_tokens("phrase"))).first()[0]
     assert got == ["fighter", "jet", "#storm"]
+
+
+def test_visited_users_are_never_shuffled(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    store = graph.VisitedStore(spark)
+    try:
+        edges = spark.createDataFrame([(i, (i * 7 + j) % 500, j) for i in range(500) for j in range(3)],
+                                      "src long, dst long, nbr_rank long")
+        capped, name = graph.bucketed_edges(edges)
+        for depth, users in enumerate([[1], [7, 8, 9]]):  # two levels: several files in a bucket
+            store.append(spark.createDataFrame([(u, depth, i) for i, u in enumerate(users)],
+                                               "user_id long, depth int, visit_order long"))
+        found = store.unvisited(graph.candidates(store.level(1), capped))
+        p = _plan(found)
+        assert "LeftAnti" in p and p.count("Exchange hashpartitioning(dst") == 1 and "Exchange hashpartitioning(user_id" not in p
+        scans = [line for line in p.splitlines() if store.name in line and "FileScan" in line]
+        assert any("Bucketed: true" in line for line in scans)
+        assert any(re.search(r"PartitionFilters: \[[^]]*depth[^]]* = 1", line) for line in scans)
+        nxt = {(u * 7 + j) % 500 for u in (7, 8, 9) for j in range(3)}
+        assert {r.dst for r in found.collect()} == nxt - {1, 7, 8, 9}
+        spark.sql(f"DROP TABLE {name}")
+    finally:
+        store.drop()
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
