@@ -12,6 +12,7 @@ from trendloom.operators.target import slot_target_flag
 from trendloom.plans.q_io import land_statuses
 from trendloom.schemas import COLLECTED_COLUMNS
 from trendloom.sources import derived, files, sinks
+from trendloom.streaming.listing import AssetListing, follow_files
 from trendloom.streaming.collect import (Progress, read_collected_sink, read_ledger, read_progress, run_collect_stream)
 
 
@@ -329,3 +330,71 @@ def test_loop_track_collect_clean_trend_track(spark, tmpdir_path):
     again = collect_batch_job(spark, src, os.path.join(base, "round2.csv"), out,
                               derived.assets(spark, SF_SMALL))
     assert again > 0
+
+
+def test_listing_follows_files_and_is_not_shuffled(spark, tmpdir_path):
+    """New files are appended once, over restarts and repeated batches; a
+    micro-batch's URLs are dealt to the listing's buckets."""
+    folder, ckpt = os.path.join(tmpdir_path, "images"), os.path.join(tmpdir_path, "ckpt")
+    listing = AssetListing(spark, os.path.join(tmpdir_path, "listing"))
+    for names in (["a.jpg", "sub/b.jpg", "note.txt"], ["c.jpg"], []):
+        for name in names:
+            os.makedirs(os.path.dirname(os.path.join(folder, name)), exist_ok=True)
+            _write(os.path.join(folder, name), "x" * len(name))
+        follow_files(listing, folder, ckpt)
+    want = [("a.jpg", 5), ("c.jpg", 5), ("sub/b.jpg", 9)]
+    rows = lambda: sorted((r.asset, r.length) for r in listing.table().collect())
+    assert rows() == want
+    again = spark.createDataFrame([("a.jpg", 7), ("d.jpg", None), ("d.jpg", 3), (None, 1)], "asset string, length long")
+    for _ in range(2):  # a batch that is replayed
+        listing.add(again)
+    assert rows() == [*want[:2], ("d.jpg", 3), want[2]]
+    found = AssetListing(spark, os.path.join(tmpdir_path, "listing"))  # by a later run
+    assert found.table().count() == 4
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = st.all_media_resolved(_statuses_small(spark), found.media())
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scan = plan[:plan.index(found.name)]
+    assert "Exchange hashpartitioning(_url" in plan and plan.count("Exchange hashpartitioning(_url") == 1
+    assert "Exchange" not in scan[scan.rindex("Sort ["):]  # from the listing's scan up to the join
+    for table in (listing, found):
+        table.drop()
+
+
+def test_stream_sees_assets_that_land_between_its_starts(spark, tmpdir_path):
+    src, sink, ckpt = (os.path.join(tmpdir_path, n) for n in ("src", "sink", "ckpt"))
+    first_half, second_half = halves(_statuses_small(spark))
+    landed = derived.assets(spark, SF_SMALL)
+    listing = AssetListing(spark)
+    land_statuses(spark, first_half, src, 2)
+    run_collect_stream(spark, src, sink, ckpt, assets=listing, max_files_per_trigger=1)
+    none = read_collected_sink(spark, sink)
+    assert none.where(F.col("image_file_0").isNotNull()).count() == 0
+    n_before = none.count()
+    listing.add(landed, "media_url", F.lit(None))
+    land_statuses(spark, second_half, src, 2)
+    run_collect_stream(spark, src, sink, ckpt, assets=listing, max_files_per_trigger=1)
+    assert read_collected_sink(spark, sink).count() == n_before + st.collect_rows(second_half, landed).count()
+    listing.drop()
+
+
+def test_redelivered_statuses_are_left_out(spark, tmpdir_path):
+    """Within a batch, between batches and after a restart; broken lines are known by
+    their text, and records without an id are kept as they are told apart by what they say."""
+    src, sink, ckpt, rejects = (os.path.join(tmpdir_path, n) for n in ("src", "sink", "ckpt", "rejects"))
+    os.makedirs(src)
+    line = lambda i, t: '{"id_str": %s, "text": "%s", "created_at": "2024-01-01T00:00:00.000000"}\n' % (i, t)
+    _write(os.path.join(src, "a.json"), line('"1"', "one") * 2 + line("null", "no id") + '{"id_str": broken\n')
+    run = lambda: run_collect_stream(spark, src, sink, ckpt, rejects=rejects, redelivery="1 day")
+    run()
+    _write(os.path.join(src, "b.json"), line('"1"', "one again") + line('"2"', "two") + line("null", "no id either")
+           + '{"id_str": broken\n' + '{"id_str": other\n')
+    run()
+    run()  # nothing new
+    got = sorted((r.tweet_id or "", r.text) for r in read_collected_sink(spark, sink).collect())
+    assert got == [("", "no id"), ("", "no id either"), ("1", "one"), ("2", "two")]
+    assert spark.read.parquet(rejects).count() == 2

@@ -12,6 +12,7 @@ from trendloom.operators import detect, graph, pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.plans import q_graph
 from trendloom.sources import derived
+from trendloom.sources.tables import table
 
 
 def test_clean_text_is_idempotent_on_tokens(spark):
@@ -415,3 +416,17 @@ def test_entities_equal_the_standard_library(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, t string").repartition(4)
     for r in rows.select("t", unescape(rows["t"]).alias("u")).collect():
         assert r["u"] == html.unescape(r["t"]), r["t"]
+
+
+def test_rarest_grams_are_exact_for_any_sample(spark):
+    docs = table(spark, SF_SMALL, "documents").select("doc_id", "text")
+    want = [(r.term, r.df) for r in terms.document_frequency(docs).orderBy("df", "term").limit(60).collect()]
+    for share in (0.02, 0.3, 1.0):  # small samples have fewer grams than asked for, whole ones give close bounds
+        got = terms.rarest_grams(docs, 60, share=share).orderBy("df", "term").collect()
+        assert [(r.term, r.df) for r in got] == want
+    # every gram twice: the bound moves out until it is gone
+    twice = docs.where("doc_id < 40").union(docs.where("doc_id < 40"))
+    want = [(r.term, r.df) for r in terms.document_frequency(twice).orderBy("df", "term").limit(5).collect()]
+    assert [(r.term, r.df) for r in terms.rarest_grams(twice, 5, share=1.0).orderBy("df", "term").collect()] == want
+    none = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
+    assert terms.rarest_grams(none, 5).count() == 0

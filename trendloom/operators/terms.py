@@ -140,8 +140,9 @@ def trending_terms(docs: DataFrame, baseline: DataFrame, n: int | None = 400,
 
 
 def document_frequency(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id",
-                       text_col: str = "text", tokenizer=None) -> DataFrame:
-    """A6 input: documents containing each 1..max_n-gram (gram, df).
+                       text_col: str = "text", tokenizer=None, up_to: str | None = None) -> DataFrame:
+    """A6 input: documents containing each 1..max_n-gram (gram, df); with ``up_to``
+    only the grams that are not beyond it in order.
 
     No stop words (the reference's IDF job keeps them).  ``array_distinct``
     per document makes each document emit each gram once, so no
@@ -153,8 +154,16 @@ def document_frequency(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id",
     tok = tokenizer(F.col(text_col)) if tokenizer is not None else clean_tokens(text_col)
     toks = docs.select(tok.alias("_tok"))
     grams = F.array_distinct(ngrams_range("_tok", 1, max_n))
-    return (toks.select(F.explode(grams).alias("term"))
-                .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    found = toks.select(F.explode(grams).alias("term"))
+    if up_to is not None:
+        found = found.where(F.col("term") <= F.lit(up_to))
+    return found.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _with_idf(dfreq: DataFrame, docs: DataFrame) -> DataFrame:
+    n_docs = docs.agg(F.count(F.lit(1)).alias("N")).scalar()
+    return dfreq.withColumn(
+        "idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
 
 
 def idf_grams(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id", text_col: str = "text",
@@ -163,16 +172,44 @@ def idf_grams(docs: DataFrame, max_n: int = 3, id_col: str = "doc_id", text_col:
     counts every document, also those left without tokens.  ``counted`` has
     the same rows as ``docs`` and is cheaper to count (a plain scan)."""
     dfreq = document_frequency(docs, max_n, id_col, text_col)
-    n_docs = (docs if counted is None else counted).agg(F.count(F.lit(1)).alias("N")).scalar()
-    return dfreq.withColumn(
-        "idf", F.log((F.lit(1.0) + n_docs) / (F.lit(1.0) + F.col("df"))) + F.lit(1.0))
+    return _with_idf(dfreq, docs if counted is None else counted)
+
+
+def _first_grams(docs: DataFrame, text_col: str, max_n: int, share: float, k: int) -> str | None:
+    """The ``k``-th gram, in order, among those of a ``share`` of the documents; None if there are fewer."""
+    some = docs.sample(share, seed=1).select(clean_tokens(text_col).alias("_tok"))
+    grams = some.select(F.explode(ngrams_range("_tok", 1, max_n)).alias("term"))
+    head = grams.orderBy("term").limit(k).agg(F.count(F.lit(1)).alias("n"), F.max("term").alias("last")).first()
+    return head["last"] if head["n"] == k else None
+
+
+def rarest_grams(docs: DataFrame, n: int, max_n: int = 3, text_col: str = "text", share: float = 0.01) -> DataFrame:
+    """The ``n`` first grams by (df asc, term asc), as (term, df, idf), with little shuffled.
+
+    A threshold algorithm: no gram has a smaller df than 1, so once ``n`` grams
+    up to a bound have df 1, no gram beyond the bound can come before them.  The bound is
+    guessed from a sample of the documents; grams beyond it are dropped before the
+    shuffle, those up to it are counted in all documents.  If fewer than ``n`` of them have df 1 the bound is
+    moved out 16-fold, and at last away, so the result is exact whatever the sample."""
+    k = 2 * n
+    while (bound := _first_grams(docs, text_col, max_n, share, k)) is not None:
+        dfreq = document_frequency(docs, max_n, text_col=text_col, up_to=bound)
+        head = dfreq.where(F.col("df") == 1).orderBy("term").limit(n).checkpoint()
+        if head.count() == n:
+            return _with_idf(head, docs)
+        k *= 16
+    return _with_idf(document_frequency(docs, max_n, text_col=text_col).orderBy("df", "term").limit(n), docs)
 
 
 def tfidf_terms(docs: DataFrame, n: int | None = 400, max_n: int = 3, id_col: str = "doc_id",
                 text_col: str = "text") -> DataFrame:
     """The n highest-idf (rarest) grams.  idf falls strictly with
     df, so the order is (df asc, term asc): exact integers, no float ties."""
-    idf = idf_grams(docs, max_n, id_col, text_col)
+    if n is not None:
+        checkpoint_dir(docs.sparkSession)
+        idf = rarest_grams(docs, n, max_n, text_col)
+    else:
+        idf = idf_grams(docs, max_n, id_col, text_col)
     return top_n(idf, [F.col("df").asc(), F.col("term").asc()], n)
 
 

@@ -421,6 +421,7 @@ sum(coalesce(len(p.urls), 0)) OVER (ORDER BY c.created_at, CAST(c.tweet_id AS BI
 FROM ({COLLECTED_SQL}) c LEFT JOIN ({PHOTOS}) p ON p.tweet_id = CAST(c.tweet_id AS BIGINT)) t WHERE so_far <= 400"""
 oracle("photo_limit_stream", _SV, _PHOTO_PREFIX)
 oracle("resume", _SV, f"SELECT tweet_id, user_id, image_file_0 FROM ({COLLECTED_SQL}) c")
+oracle("redelivery", _SV, f"SELECT tweet_id, user_id, image_file_0 FROM ({COLLECTED_SQL}) c")
 oracle("two_runs_one_sink", _SV, f"SELECT tweet_id, user_id FROM ({COLLECTED_SQL}) c")
 oracle("baseline_file", [], BASELINE_SQL)
 oracle("stream_progress", ["statuses", "media"], f"""SELECT CAST(count(*) AS BIGINT) AS statuses,
@@ -431,7 +432,10 @@ FROM statuses WHERE tweet_id % 50 = 7
 UNION ALL SELECT 'collected', CAST(s.tweet_id AS VARCHAR) FROM statuses s WHERE s.tweet_id % 50 <> 7 AND {NOT_RT}""")
 oracle("read_labels", [], """SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS class_id, event_type AS label
 FROM (SELECT DISTINCT event_type FROM events) e""")
-oracle("list_assets", [], "SELECT DISTINCT source FROM documents")
+LANDED_FILES = """SELECT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') || '/shelf=' || CAST(doc_id % 64 AS VARCHAR) AS folder,
+CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS length FROM documents GROUP BY ALL"""
+oracle("list_assets", [], LANDED_FILES)
+oracle("listing_stream", [], LANDED_FILES)
 oracle("read_pages", ["post_pages"], f"""SELECT page_id, url, {OG_IMAGE} AS og_image, CAST(length(html) AS BIGINT) AS n_chars FROM post_pages""")
 
 # ------------------------------------------------------------------ jobs ---

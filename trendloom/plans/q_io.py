@@ -21,6 +21,7 @@ from trendloom.sources.tables import table
 from trendloom.streaming.collect import (
     read_collected_sink, read_ledger, read_progress, run_collect_stream,
 )
+from trendloom.streaming.listing import AssetListing, follow_files, landed_once
 
 STREAM_LIMIT = 300
 PHOTO_LIMIT = 400
@@ -124,15 +125,37 @@ def q_read_labels(spark, sf):
     return detect.read_labels(spark, f"{path}/part-*")
 
 
+SHELVES = 64  # folders that the files of one source are dealt to
+
+
+def _land_files(documents, path: str) -> None:
+    """One file for each (source, shelf) folder, with the texts of its documents."""
+    (documents.select("source", F.pmod("doc_id", F.lit(SHELVES)).alias("shelf"), "text")
+     .repartition("source", "shelf").write.mode("append").partitionBy("source", "shelf").text(path, lineSep="\u0001"))
+
+
 @register("list_assets")
 def q_list_assets(spark, sf):
-    """Documents landed in one folder for each source; the listing gives
-    the folders that hold files, with their bytes above 0."""
+    """Documents landed in one file for each source and shelf; the listing gives
+    every file's folder and bytes."""
     path = scratch_path(spark, "landed")
-    table(spark, sf, "documents").select("source", "text").write.partitionBy("source").text(path, lineSep="\u0001")
+    _land_files(table(spark, sf, "documents"), path)
     listing = files.list_assets(spark, path, path, "part-*")
-    return (listing.where(F.col("length") > 0)
-            .select(F.regexp_extract("path", r"source=([^/]+)/", 1).alias("source")).distinct())
+    return listing.select(F.regexp_extract("path", "^(.*)/", 1).alias("folder"), "length")
+
+
+@register("listing_stream")
+def q_listing_stream(spark, sf):
+    """S7/ST1: the files land in two waves; the listing follows them over a restart and
+    holds every file once."""
+    path, ckpt = scratch_path(spark, "landed"), scratch_path(spark, "listing-ckpt")
+    docs = table(spark, sf, "documents")
+    listing = AssetListing(spark)
+    first = F.pmod("doc_id", F.lit(SHELVES)) < SHELVES // 3
+    for wave in (docs.where(first), docs.where(~first)):
+        _land_files(wave, path)
+        follow_files(listing, path, ckpt, "part-*")
+    return listing.table().select(F.regexp_extract("asset", "^(.*)/", 1).alias("folder"), "length")
 
 
 @register("read_pages")
@@ -319,6 +342,19 @@ def q_resume(spark, sf):
     return read_collected_sink(spark, sink).select("tweet_id", "user_id", "image_file_0")
 
 
+@register("redelivery")
+def q_redelivery(spark, sf):
+    """ST3: after a restart the second half arrives together with the whole first
+    half again; each status is collected once."""
+    src, sink, ckpt = _stream_dirs(spark)
+    first, second = _halves(spark, sf)
+    assets = landed_once(spark, derived.assets(spark, sf))
+    for part in (first, second.unionByName(first)):
+        land_statuses(spark, part, src)
+        run_collect_stream(spark, src, sink, ckpt, assets=assets, max_files_per_trigger=4, redelivery="1 day")
+    return read_collected_sink(spark, sink).select("tweet_id", "user_id", "image_file_0")
+
+
 @register("two_runs_one_sink")
 def q_two_runs_one_sink(spark, sf):
     """Two runs, each with its own source and checkpoint, append to one sink."""

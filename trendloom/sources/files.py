@@ -6,7 +6,7 @@ splits the files over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,11 +100,13 @@ def list_assets(spark: SparkSession, path: str, base_dir: str | None = None,
     the listing is read.  ``path`` relative to ``base_dir`` when given."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", glob)
           .option("recursiveFileLookup", True).load(path).select("path", "length"))
-    if base_dir is not None:
-        base = base_dir.rstrip("/") + "/"
-        df = df.withColumn("path", F.regexp_replace(
-            "path", "^(file:)?" + _re_escape(base.removeprefix("file:")), ""))
-    return df
+    return df if base_dir is None else df.withColumn("path", relative_to(F.col("path"), base_dir))
+
+
+def relative_to(path: Column, base_dir: str) -> Column:
+    """A file's path below ``base_dir``."""
+    base = base_dir.rstrip("/") + "/"
+    return F.regexp_replace(path, "^(file:)?(//)?" + _re_escape(base.removeprefix("file://").removeprefix("file:")), "")
 
 
 def read_pages(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

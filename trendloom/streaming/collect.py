@@ -4,7 +4,7 @@
       -> PERMISSIVE parse, bad lines to a rejects table   ST5
       -> foreachBatch:                                     ST1
            F2 drop retweets, F1 tracked phrases,
-           J5 all photos landed (join with the asset listing),
+           J5 all photos landed (join with the bucketed asset listing),
            P1..P7 flatten to the collected table,
            exact limit (rows or photos) in arrival order   ST2
       -> idempotent write: output of batch b of a run goes to
@@ -39,6 +39,8 @@ from trendloom.operators import status as st
 from trendloom.operators import track
 from trendloom.schemas import COLLECTED
 from trendloom.sources.files import CORRUPT, stream_statuses
+from trendloom.session import scratch_path
+from trendloom.streaming.listing import AssetListing, landed_once
 
 PROGRESS_EVERY = 25  # report interval (rows or photos), as the reference
 LEDGER = "statuses long, statuses_photos long, rows long, photos long, refused boolean"
@@ -149,6 +151,15 @@ def collect_batch(batch: DataFrame, assets: DataFrame | None, phrases: DataFrame
     return st.collect_rows(s, assets, drop_rts=False, photos_col="_photos")
 
 
+def _written(spark: SparkSession, phrases: DataFrame | None) -> DataFrame | None:
+    """The tracking list written once, so that no batch computes it again."""
+    if phrases is None:
+        return None
+    path = scratch_path(spark, "tracked-phrases")
+    phrases.select("phrase").write.parquet(path)
+    return spark.read.schema("phrase string").parquet(path)
+
+
 def limited(rows: DataFrame, left: int, photos_as_limit: bool) -> DataFrame:
     """The first rows in (created_at, id) order: ``left`` rows, or as long as
     their photos stay within ``left``."""
@@ -158,22 +169,42 @@ def limited(rows: DataFrame, left: int, photos_as_limit: bool) -> DataFrame:
     return st.row_limit(rows, left, ["created_at", "_id"]).drop("_id")
 
 
+def first_deliveries(stream: DataFrame, window: str) -> DataFrame:
+    """ST3: a status that is delivered again within ``window`` of its first arrival
+    is left out, also across restarts on one checkpoint; state is one key for each
+    status of that time.  Time is that of arrival, so nothing comes late and no other
+    row is lost.  A status is known by its id, a line that cannot be parsed or has no id by its text."""
+    whole = F.sha2(F.coalesce(F.col(CORRUPT), F.to_json(F.struct(*[c for c in stream.columns if c != CORRUPT]))), 256)
+    known = F.col(CORRUPT).isNull() & F.col("id_str").isNotNull()
+    key = F.when(known, F.concat(F.lit("id "), "id_str")).otherwise(F.concat(F.lit("text "), whole))
+    return (stream.withColumn("_delivery", key).withColumn("_arrived", F.current_timestamp())
+            .withWatermark("_arrived", window).dropDuplicatesWithinWatermark(["_delivery"])
+            .drop("_delivery", "_arrived"))
+
+
 def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint: str,
-                         assets: DataFrame | None = None, phrases: DataFrame | None = None,
+                         assets: DataFrame | AssetListing | None = None, phrases: DataFrame | None = None,
                          limit: int | None = None, photos_as_limit: bool = False,
                          max_files_per_trigger: int | None = 1, available_now: bool = True,
                          rejects: str | None = None, progress: Progress | None = None,
-                         name: str = "collect", after_batch=None):
+                         name: str = "collect", after_batch=None, redelivery: str | None = None):
     """Start the query; returns (query, state).  ``sink`` receives
     ``data/run_id=*/batch_id=*`` (collected rows) and the ledger likewise.
-    The query is None if the run has reached its limit before."""
+    The query is None if the run has reached its limit before.  ``assets`` and
+    ``phrases`` are computed and written once; an ``AssetListing`` is read by each
+    batch as it then is.  ``redelivery`` ("1 hour") drops what is delivered again within that time."""
     run_id = run_id_of(spark, checkpoint)
     part = lambda folder, batch_id: f"{folder.rstrip('/')}/run_id={run_id}/batch_id={batch_id}"
     state = {"done": _kept_before(spark, sink, run_id, None).reached(limit, photos_as_limit), "run_id": run_id,
-             "listener": None}
+             "listener": None, "listing": None}
     if state["done"]:
         return None, state
     stream = stream_statuses(spark, source, max_files_per_trigger)
+    if redelivery is not None:
+        stream = first_deliveries(stream, redelivery)
+    if isinstance(assets, DataFrame):
+        assets = state["listing"] = landed_once(spark, assets)
+    phrases = _written(spark, phrases)
     stream = stream.observe(name, F.count(F.lit(1)).alias("rows"),
                             F.sum(F.size(st.photo_urls())).alias("photos"))
     lock = threading.Lock()
@@ -195,7 +226,8 @@ def start_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint
             if rejects is not None:
                 bad = batch.where(F.col(CORRUPT).isNotNull()).select("id_str", CORRUPT)
                 bad.write.mode("overwrite").parquet(part(rejects, batch_id))
-            rows = collect_batch(batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT), assets, phrases)
+            rows = collect_batch(batch.where(F.col(CORRUPT).isNull()).drop(CORRUPT),
+                                 None if assets is None else assets.media(), phrases)
             offered = None
             if limit is not None:
                 rows = offered = rows.persist()
@@ -242,6 +274,8 @@ def run_collect_stream(spark: SparkSession, source: str, sink: str, checkpoint:
         raise q.exception()
     if state["listener"] is not None:
         spark.streams.removeListener(state["listener"])
+    if state["listing"] is not None:
+        state["listing"].drop()
     return state
 
 
