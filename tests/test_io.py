@@ -12,6 +12,7 @@ from trendloom.operators.target import slot_target_flag
 from trendloom.plans.q_io import land_statuses
 from trendloom.schemas import COLLECTED_COLUMNS
 from trendloom.sources import derived, files, sinks
+from trendloom.streaming.first_rows import read_first_rows, run_first_rows
 from trendloom.streaming.listing import AssetListing, follow_files
 from trendloom.streaming.collect import (Progress, read_collected_sink, read_ledger, read_progress, run_collect_stream)
 
@@ -398,3 +399,38 @@ def test_redelivered_statuses_are_left_out(spark, tmpdir_path):
     got = sorted((r.tweet_id or "", r.text) for r in read_collected_sink(spark, sink).collect())
     assert got == [("", "no id"), ("", "no id either"), ("1", "one"), ("2", "two")]
     assert spark.read.parquet(rejects).count() == 2
+
+
+def test_first_rows_in_event_time(spark, tmpdir_path):
+    """Files in falling order of time; a failed batch is replayed; within the delay
+    the query stops before it has read everything."""
+    import pytest
+    s = _statuses_small(spark)
+    assets = derived.assets(spark, SF_SMALL)
+    rows = st.collect_rows(s, assets).withColumn("_id", F.col("tweet_id").cast("long"))
+    want = [r.tweet_id for r in rows.orderBy("created_at", "_id").limit(60).collect()]
+    first_half, second_half = halves(s)
+    src, sink, ckpt = (os.path.join(tmpdir_path, n) for n in ("src", "sink", "ckpt"))
+    land_statuses(spark, second_half, src, 2)
+    land_statuses(spark, first_half, src, 2)
+
+    def crash(batch_id):
+        if batch_id == 1:
+            raise RuntimeError("executor lost")
+
+    with pytest.raises(Exception):
+        run_first_rows(spark, src, sink, ckpt, 60, assets, after_batch=crash)
+    assert not run_first_rows(spark, src, sink, ckpt, 60, assets)
+    ids = lambda path: [r.tweet_id for r in read_first_rows(spark, path).withColumn("_id", F.col("tweet_id").cast("long"))
+                        .orderBy("created_at", "_id").collect()]
+    assert ids(sink) == want
+    src2, sink2, ckpt2 = (os.path.join(tmpdir_path, n) for n in ("src2", "sink2", "ckpt2"))
+    land_statuses(spark, s, src2, 8)  # in order: final as soon as a later time is read
+    assert run_first_rows(spark, src2, sink2, ckpt2, 60, assets, delay="1 second", available_now=False, timeout_s=300)
+    assert ids(sink2) == want
+    assert len(os.listdir(os.path.join(sink2, "rows"))) < 8
+    assert run_first_rows(spark, src2, sink2, ckpt2, 60, assets, delay="1 second")  # stays final
+    empty = os.path.join(tmpdir_path, "empty")
+    os.makedirs(empty)
+    assert not run_first_rows(spark, empty, os.path.join(tmpdir_path, "s3"), os.path.join(tmpdir_path, "c3"), 5)
+    assert read_first_rows(spark, os.path.join(tmpdir_path, "s3")).count() == 0

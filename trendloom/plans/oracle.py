@@ -416,6 +416,7 @@ oracle("collect_stream_all", _FULL, COLLECTED_SQL)
 oracle("collect_stream_long_list", _FULL, f"""SELECT c.tweet_id, c.created_at FROM ({COLLECTED_SQL}) c
 WHERE CAST(c.tweet_id AS BIGINT) IN (SELECT tweet_id FROM ({LONG_MATCHES}) m)""")
 oracle("stop_at_limit", _SV, f"SELECT tweet_id, created_at FROM ({COLLECTED_SQL}) c ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300")
+oracle("first_rows_any_order", _SV, f"SELECT tweet_id, created_at FROM ({COLLECTED_SQL}) c ORDER BY created_at, CAST(tweet_id AS BIGINT) LIMIT 300")
 _PHOTO_PREFIX = f"""SELECT tweet_id, created_at FROM (SELECT c.tweet_id, c.created_at,
 sum(coalesce(len(p.urls), 0)) OVER (ORDER BY c.created_at, CAST(c.tweet_id AS BIGINT) ROWS UNBOUNDED PRECEDING) AS so_far
 FROM ({COLLECTED_SQL}) c LEFT JOIN ({PHOTOS}) p ON p.tweet_id = CAST(c.tweet_id AS BIGINT)) t WHERE so_far <= 400"""

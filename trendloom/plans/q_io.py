@@ -21,6 +21,7 @@ from trendloom.sources.tables import table
 from trendloom.streaming.collect import (
     read_collected_sink, read_ledger, read_progress, run_collect_stream,
 )
+from trendloom.streaming.first_rows import read_first_rows, run_first_rows
 from trendloom.streaming.listing import AssetListing, follow_files, landed_once
 
 STREAM_LIMIT = 300
@@ -317,6 +318,19 @@ def q_stop_at_limit(spark, sf):
     return read_collected_sink(spark, sink).select("tweet_id", "created_at")
 
 
+@register("first_rows_any_order")
+def q_first_rows_any_order(spark, sf):
+    """ST2 in event time: statuses land in files by a hash of their id, so every file
+    holds every time; the rows are those of ``stop_at_limit`` all the same."""
+    src, sink, ckpt = _stream_dirs(spark)
+    staging = scratch_path(spark, "landing")
+    (derived.nested_statuses(spark, sf).repartition(8, F.xxhash64("id_str"))
+     .write.options(**sinks.JSON_OPTIONS).json(staging))
+    _move_in_order(spark, staging, src)
+    run_first_rows(spark, src, sink, ckpt, STREAM_LIMIT, derived.assets(spark, sf), max_files_per_trigger=2)
+    return read_first_rows(spark, sink).select("tweet_id", "created_at")
+
+
 @register("photo_limit_stream")
 def q_photo_limit_stream(spark, sf):
     """The photo limit over the whole stream, whatever the batches."""

@@ -65,6 +65,16 @@ def _versions(spark: SparkSession, path: str) -> list[int]:
     return [v for v in found if fs.exists(jvm.org.apache.hadoop.fs.Path(_version_path(path, v) + "/_SUCCESS"))]
 
 
+def batch_versions(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose folder ``batch_id=*`` under ``path`` is complete."""
+    fs, p, jvm = _fs(spark, path)
+    if not fs.exists(p):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(p)]
+    found = [int(n.removeprefix("batch_id=")) for n in names if n.startswith("batch_id=")]
+    return sorted(b for b in found if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/batch_id={b}/_SUCCESS")))
+
+
 def _version_path(path: str, version: int) -> str:
     return f"{path.rstrip('/')}/{VERSION}{version:06d}"
 
