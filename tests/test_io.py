@@ -12,6 +12,7 @@ from trendloom.operators.target import slot_target_flag
 from trendloom.plans.q_io import land_statuses
 from trendloom.schemas import COLLECTED_COLUMNS
 from trendloom.sources import derived, files, sinks
+from trendloom.sources import variants
 from trendloom.streaming.first_rows import read_first_rows, run_first_rows
 from trendloom.streaming.listing import AssetListing, follow_files
 from trendloom.streaming.collect import (Progress, read_collected_sink, read_ledger, read_progress, run_collect_stream)
@@ -434,3 +435,27 @@ def test_first_rows_in_event_time(spark, tmpdir_path):
     os.makedirs(empty)
     assert not run_first_rows(spark, empty, os.path.join(tmpdir_path, "s3"), os.path.join(tmpdir_path, "c3"), 5)
     assert read_first_rows(spark, os.path.join(tmpdir_path, "s3")).count() == 0
+
+
+def test_records_of_drifting_shape(spark, tmpdir_path):
+    """Every member of a record stands for itself, whatever the others hold."""
+    _write(os.path.join(tmpdir_path, "a.json"), "\n".join([
+        '{"id_str": 5, "user": {"id_str": "7", "protected": "true", "extra": [1]}, "favorite_count": "12", "new": {"x": 1}}',
+        '{"id_str": "6", "user": "nobody", "favorite_count": "many", "created_at": "2024-02-01T10:00:00.000001"}',
+        '{"id_str": "8", "user": {"id_str": {"odd": 1}, "screen_name": "ann"}, "entities": {"media": [{"type": "photo"}]}, "new": null}',
+        '{"id_str": "9", "entities": {"media": "none"}, "place": null}', "", "{broken", "[1, 2]", '"text"', "{}"]))
+    records = variants.read_records(spark, tmpdir_path)
+    got = {r.id_str: r for r in variants.typed_statuses(records).drop("record").collect()}
+    assert set(got) == {"5", "6", "8", "9", None}
+    assert (got["5"].user.id_str, got["5"].user.protected, got["5"].favorite_count) == ("7", True, 12)
+    assert got["6"].user is None and got["6"].favorite_count is None and got["6"].created_at.microsecond == 1
+    assert got["8"].user.screen_name == "ann" and got["8"].entities.media[0].type == "photo"
+    assert got["8"].entities.media[0].media_url is None
+    assert got["9"].place is None and got["9"].entities.media is None
+    assert {r.field: r.n for r in variants.unknown_fields(records).collect()} == {"new": 2}
+    assert [r[0] for r in records.where(F.col(files.CORRUPT).isNotNull()).select(files.CORRUPT).collect()] == ["{broken"]
+    whole = variants.typed_statuses(records).where("id_str = '5'").select(F.to_json("record").alias("j")).first().j
+    assert '"new":{"x":1}' in whole and '"extra":[1]' in whole
+    empty = os.path.join(tmpdir_path, "none")
+    os.makedirs(empty)
+    assert variants.typed_statuses(variants.read_records(spark, empty)).count() == 0

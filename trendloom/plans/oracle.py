@@ -433,6 +433,10 @@ FROM statuses WHERE tweet_id % 50 = 7
 UNION ALL SELECT 'collected', CAST(s.tweet_id AS VARCHAR) FROM statuses s WHERE s.tweet_id % 50 <> 7 AND {NOT_RT}""")
 oracle("read_labels", [], """SELECT CAST(row_number() OVER (ORDER BY event_type) - 1 AS INTEGER) AS class_id, event_type AS label
 FROM (SELECT DISTINCT event_type FROM events) e""")
+oracle("drifting_records", _SV, COLLECTED_SQL)
+oracle("unknown_fields", ["statuses"], """SELECT 'edit_history' AS field, count(*) AS n FROM statuses WHERE tweet_id % 4 = 1
+UNION ALL SELECT 'note', count(*) FROM statuses WHERE tweet_id % 5 = 2
+UNION ALL SELECT '(broken)', count(*) FROM statuses WHERE tweet_id % 50 = 7""")
 LANDED_FILES = """SELECT 'source=' || coalesce(source, '__HIVE_DEFAULT_PARTITION__') || '/shelf=' || CAST(doc_id % 64 AS VARCHAR) AS folder,
 CAST(sum(coalesce(strlen(text), 0) + 1) AS BIGINT) AS length FROM documents GROUP BY ALL"""
 oracle("list_assets", [], LANDED_FILES)

@@ -16,7 +16,7 @@ from trendloom.operators.pages import page_caption, page_meta
 from trendloom.plans import jobs, q_detect, q_status, q_terms
 from trendloom.plans.catalog import register
 from trendloom.session import scratch_path
-from trendloom.sources import derived, files, sinks
+from trendloom.sources import derived, files, sinks, variants
 from trendloom.sources.tables import table
 from trendloom.streaming.collect import (
     read_collected_sink, read_ledger, read_progress, run_collect_stream,
@@ -135,6 +135,40 @@ def _land_files(documents, path: str) -> None:
      .repartition("source", "shelf").write.mode("append").partitionBy("source", "shelf").text(path, lineSep="\u0001"))
 
 
+def _drifting(spark, sf) -> str:
+    """Statuses as JSON lines of changing shape: counts as text in every third, two
+    fields that the record type lacks, a place that is no object where there was none,
+    and a line that is cut off beside every fiftieth."""
+    path = scratch_path(spark, "drifting")
+    s = derived.nested_statuses(spark, sf)
+    i = F.col("id_str").cast("long")
+    whole = F.to_json(F.struct(*s.columns), sinks.JSON_OPTIONS)
+    line = F.when(i % 3 == 0, F.regexp_replace(whole, '"(favorite_count|retweet_count)":(\\d+)', '"$1":"$2"')).otherwise(whole)
+    more = lambda text: F.concat(F.expr("substring(line, 1, length(line) - 1)"), F.lit(text))
+    t = s.select(i.alias("i"), line.alias("line"), F.col("place").isNull().alias("nowhere"))
+    t = t.withColumn("line", F.when(F.col("i") % 4 == 1, more(',"edit_history":[{"at":1},2]}')).otherwise(F.col("line")))
+    t = t.withColumn("line", F.when(F.col("i") % 5 == 2, more(',"note":null}')).otherwise(F.col("line")))
+    t = t.withColumn("line", F.when(F.col("nowhere"), more(',"place":"nowhere"}')).otherwise(F.col("line")))
+    cut = F.when(F.col("i") % 50 == 7, F.array("line", F.lit('{"id_str": "cut'))).otherwise(F.array("line"))
+    t.select(F.explode(cut).alias("value")).write.text(path)
+    return path
+
+
+@register("drifting_records")
+def q_drifting_records(spark, sf):
+    """S1/P1 over records whose shape drifts: the same 32 columns as from clean ones."""
+    records = variants.read_records(spark, _drifting(spark, sf))
+    return st.collect_rows(variants.typed_statuses(records), derived.assets(spark, sf))
+
+
+@register("unknown_fields")
+def q_unknown_fields(spark, sf):
+    """The fields that the record type does not know, and the lines that are no record."""
+    records = variants.read_records(spark, _drifting(spark, sf))
+    broken = records.where(F.col(files.CORRUPT).isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    return variants.unknown_fields(records).unionByName(broken.select(F.lit("(broken)").alias("field"), "n"))
+
+
 @register("list_assets")
 def q_list_assets(spark, sf):
     """Documents landed in one file for each source and shelf; the listing gives
