@@ -138,3 +138,22 @@ def test_visited_users_are_never_shuffled(spark):
     finally:
         store.drop()
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_common_words_of_a_long_list_make_no_rows(spark, monkeypatch):
+    """Phrases and statuses meet in the cells of a grid; no pair of them is a row."""
+    words = [f"word{chr(97 + i)}" for i in range(12)]
+    phrases = [f"{a} {b}" for a in words for b in words] + [" ".join(words[:4]), "absent words", "!!!"]
+    said = {i: [w for j, w in enumerate(words) if (i >> j % 5) & 1] for i in range(32)}
+    rows = [(i, " ".join(ws)) for i, ws in said.items()] + [(1, " ".join(said[1])), (2, "wordb wordx"), (40, None), (None, "worda")]
+    statuses = spark.createDataFrame(rows, "tweet_id long, text string")
+    pdf = spark.createDataFrame([(p,) for p in [*phrases, phrases[0]]], "phrase string")
+    monkeypatch.setattr(track, "anchored", lambda *a: (_ for _ in ()).throw(AssertionError("pairs as rows")))
+    terms_of = [set(p.split()) for p in phrases if p != "!!!"]
+    want = sorted((i, t, n) for i, t in rows if i is not None and t is not None
+                  and (n := sum(p <= set(t.split()) for p in terms_of)))
+    for at_once, short in ((1 << 20, 1 << 14), (20, 0)):  # one cell, and many with all terms sent
+        monkeypatch.setattr(track, "PHRASES_AT_ONCE", at_once)
+        monkeypatch.setattr(track, "TERMS_AT_ONCE", at_once)
+        monkeypatch.setattr(track, "SHORT_LIST", short)
+        assert sorted(map(tuple, track.track_filter(statuses, pdf).collect())) == want
