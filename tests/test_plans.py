@@ -10,6 +10,7 @@ from trendloom.operators import graph, pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.operators.target import target_partition
 from trendloom.plans import q_status
+from trendloom.plans.q_io import land_statuses
 from trendloom.session import scratch_path
 from trendloom.sources import derived
 from trendloom.sources.tables import table
@@ -157,3 +158,25 @@ def test_common_words_of_a_long_list_make_no_rows(spark, monkeypatch):
         monkeypatch.setattr(track, "TERMS_AT_ONCE", at_once)
         monkeypatch.setattr(track, "SHORT_LIST", short)
         assert sorted(map(tuple, track.track_filter(statuses, pdf).collect())) == want
+
+
+def test_statuses_join_their_texts_once(spark):
+    p = derived.nested_statuses(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in p            # the media lists come with the events
+    texts = [line for line in p.splitlines() if "Join FullOuter" in line]
+    assert len(texts) == 3                      # texts and events, events and lists, ids of the lists
+
+
+def test_few_missing_photos_are_broadcast_from_the_start(spark):
+    s = derived.nested_statuses(spark, SF_SMALL)
+    p = _plan(st.all_media_resolved(s, derived.assets(spark, SF_SMALL)))
+    assert [line for line in p.splitlines() if "LeftAnti" in line]
+    assert all("BroadcastHashJoin" in line for line in p.splitlines() if "LeftAnti" in line)
+
+
+def test_a_small_landing_is_few_files(spark):
+    src = scratch_path(spark, "landing-size")
+    land_statuses(spark, derived.nested_statuses(spark, SF_SMALL), src)
+    lines = spark.read.text(src).select(F.input_file_name().alias("file"))
+    assert lines.distinct().count() < int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lines.count() == derived.nested_statuses(spark, SF_SMALL).count()
