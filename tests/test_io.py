@@ -459,3 +459,16 @@ def test_records_of_drifting_shape(spark, tmpdir_path):
     empty = os.path.join(tmpdir_path, "none")
     os.makedirs(empty)
     assert variants.typed_statuses(variants.read_records(spark, empty)).count() == 0
+
+
+def test_stream_writes_collected_rows_with_an_entropy_coder(spark, tmpdir_path):
+    """Ids and paths are hashes in hex: half of their bytes go with zstd."""
+    import glob
+
+    import pyarrow.parquet as pq
+    src, sink, ckpt = (os.path.join(tmpdir_path, n) for n in ("src", "sink", "ckpt"))
+    land_statuses(spark, _statuses_small(spark), src, 2)
+    run_collect_stream(spark, src, sink, ckpt, max_files_per_trigger=1)
+    files_ = glob.glob(os.path.join(sink, "data", "**", "*.parquet"), recursive=True)
+    kinds = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files_ if pq.ParquetFile(f).metadata.num_row_groups}
+    assert kinds == {"ZSTD"}

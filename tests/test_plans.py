@@ -9,7 +9,7 @@ from trendloom.functions.text import clean_tokens
 from trendloom.operators import graph, pages, prefix, terms, track
 from trendloom.operators import status as st
 from trendloom.operators.target import target_partition
-from trendloom.plans import q_status
+from trendloom.plans import q_io, q_status
 from trendloom.plans.q_io import land_statuses
 from trendloom.session import scratch_path
 from trendloom.sources import derived
@@ -180,3 +180,63 @@ def test_a_small_landing_is_few_files(spark):
     lines = spark.read.text(src).select(F.input_file_name().alias("file"))
     assert lines.distinct().count() < int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert lines.count() == derived.nested_statuses(spark, SF_SMALL).count()
+
+
+def _odd_tables(spark, folder: str) -> str:
+    """Documents and events with repeated, one-sided and null ids."""
+    docs = [(i, f"text {i}", None if i == 3 else "en", f"src{i % 3}") for i in [*range(1, 14), 4, 5, 5, -7]] + [(None, "no id", "en", "src")]
+    events = [(i, 100 + i, None if i == 6 else f"2024-01-01 00:00:{i % 60:02d}", "view", None if i == 9 else '{"k": 1}')
+              for i in [*range(4, 20), 5, 8, 8]] + [(None, 1, None, "view", "{}")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    (spark.createDataFrame(events, "event_id long, user_id long, at string, event_type string, props string")
+     .withColumn("ts", F.col("at").cast("timestamp_ntz")).drop("at").write.parquet(f"{folder}/events.parquet"))
+    nations = [(i, f"N{i}") for i in range(-24, 25) if i != 11] + [(2, "N2 again")]
+    spark.createDataFrame(nations, "n_nationkey long, n_name string").write.parquet(f"{folder}/nation.parquet")
+    return folder
+
+
+def test_statuses_of_sources_are_the_nested_statuses(spark, tmpdir_path):
+    sf = _odd_tables(spark, f"{tmpdir_path}/odd")
+    lines = lambda df: sorted(r[0] for r in df.select(F.to_json(F.struct(*df.columns))).collect())
+    want, sources = derived.nested_statuses(spark, sf), derived.status_sources(spark, sf)
+    got = derived.statuses_of(spark, sf, sources)
+    assert got.schema == want.schema and lines(got) == lines(want)
+    assert "full_text" not in sources.columns and "_m" not in sources.columns
+    p = _plan(got)
+    assert p.count("Exchange hashpartitioning") == 2, p  # documents and events, once each
+    assert "Exchange hashpartitioning(coalesce" not in p
+
+
+def test_landings_deal_texts_once_and_compress(spark, tmpdir_path, monkeypatch):
+    """What the streams read: narrow rows are dealt by range, lines are compressed, halves are landed together."""
+    sf = _odd_tables(spark, f"{tmpdir_path}/odd")
+    want = sorted(r[0] for r in derived.nested_statuses(spark, sf).select("id_str").collect())
+    dealt = []
+    real = q_io.land_statuses
+    monkeypatch.setattr(q_io, "land_statuses", lambda s, rows, *a, **k: (dealt.append(rows.columns), real(s, rows, *a, **k)))
+    assert q_io.q_stop_at_limit(spark, sf).count() == len([1 for r in derived.nested_statuses(spark, sf).select("text", "id_str").collect()
+                                                          if not r.text.startswith("RT")]) - _without_assets(spark, sf)
+    assert dealt and "extended_tweet" not in dealt[0] and "body" in dealt[0]
+    first, second = q_io._landed_halves(spark, sf)
+    ids = [[r.id_str for r in spark.read.json(p).select("id_str").collect()] for p in (first, second)]
+    assert sorted(ids[0] + ids[1]) == want and ids[0] and ids[1]
+    for path in (first, q_io._drifting(spark, sf)):
+        names = {r[0] for r in spark.read.text(path).select(F.input_file_name()).collect()}
+        assert names and all(n.endswith(".gz") for n in names)
+
+
+def _without_assets(spark, sf) -> int:
+    s = st.drop_retweets(derived.nested_statuses(spark, sf))
+    return s.count() - st.all_media_resolved(s, derived.assets(spark, sf)).count()
+
+
+def test_texts_of_few_files_are_dealt_to_all_tasks(spark, tmpdir_path):
+    rows = spark.createDataFrame([(str(i), f"word{i % 5} and more") for i in range(40)], "id_str string, text string")
+    rows.coalesce(1).write.json(f"{tmpdir_path}/one", compression="gzip")
+    one = spark.read.schema("id_str string, text string").json(f"{tmpdir_path}/one")
+    assert one.rdd.getNumPartitions() == 1
+    spread = track._texts_spread(one, "id_str", F.col("text"))
+    assert spread.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    phrases = spark.createDataFrame([("word1",), ("word3 more",)], "phrase string")
+    got = [sorted(map(tuple, track.track_filter(one, phrases, "id_str", few_files=f).collect())) for f in (True, False)]
+    assert got[0] == got[1] and len(got[0]) == 16
