@@ -109,6 +109,47 @@ def test_prefix_counts_against_plain_sums(spark, monkeypatch):
                 at += 1
 
 
+def test_lm_score_disk_stays_in_proportion(tmp_path):
+    """Shuffle files and stored tables never take more than eight times a small input at once, whose words
+    are many for its size."""
+    import subprocess
+    import time
+    path = os.path.join(SF_LABELS, "documents.parquet")
+    code = f"""
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "3g").config("spark.local.dir", "{tmp_path}/local").config("spark.checkpoint.dir", "{tmp_path}/shared")
+         .config("spark.sql.warehouse.dir", "{tmp_path}/warehouse").getOrCreate())
+from trendloom.llm import context_mixing
+assert context_mixing.score(spark.read.parquet("{path}")).where("score < 0").count() > 0
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    run = subprocess.Popen([sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, cwd=tmp_path)
+    most = 0
+    while run.poll() is None:
+        used = 0
+        for folder, _, names in os.walk(tmp_path):
+            for name in names:
+                try:
+                    used += os.path.getsize(os.path.join(folder, name))
+                except OSError:  # just deleted
+                    pass
+        most = max(most, used)
+        time.sleep(0.05)
+    assert run.returncode == 0
+    assert most < 8 * os.path.getsize(path), most
+
+
+def test_varints_and_packed_words():
+    values = np.array([0, 1, 127, 128, 300, 2 ** 35, 2 ** 62, 5])
+    raw, sizes = context_mixing.varints(values)
+    assert sizes.tolist() == [1, 1, 1, 2, 2, 6, 9, 1]
+    assert context_mixing.from_varints(raw.tobytes()).tolist() == values.tolist()
+    assert context_mixing.from_varints(b"").tolist() == []
+    for words in ([b""], [b"", b"a"], [b"a", "é".encode(), b"b"]):
+        assert context_mixing._split(context_mixing._joined(words)) == words
+
+
 def test_word_probabilities_sum_to_one():
     """Over all symbols of one byte after any prefix, the decisions' probabilities sum to 1."""
     codes = context_mixing.code_table(np.arange(256) ** 2)
