@@ -123,6 +123,33 @@ def test_user_partitions_skip_existing(spark, tmpdir_path):
     assert got == [(1, "x"), (2, "y"), (3, "z")]
 
 
+def test_user_partitions_are_known_by_their_folders(spark, tmpdir_path):
+    """No file of a stored user is opened: one that cannot be read is a user all the same; a run
+    without a new user writes nothing, and names that are escaped in folders are found again."""
+    p = os.path.join(tmpdir_path, "users")
+    os.makedirs(os.path.join(p, "user_id=7"))
+    _write(os.path.join(p, "user_id=7", "part-0.json.gz"), "no gzip")
+    a = spark.createDataFrame([(7, "old"), (8, "new")], "user_id long, name string")
+    assert sinks.write_user_partitions(spark, a, p) == 1
+    stored = spark.read.parquet(written(a, tmpdir_path))
+    assert sinks.write_user_partitions(spark, stored, p) == 0
+    assert sorted(n for n in os.listdir(p) if n.startswith("user_id=")) == ["user_id=7", "user_id=8"]
+    q = os.path.join(tmpdir_path, "names")
+    b = spark.createDataFrame([("a/b=c%", 1), ("é", 2)], "user_id string, n long")
+    assert [sinks.write_user_partitions(spark, b, q) for _ in range(2)] == [2, 0]
+    got = files.read_user_partitions(spark, q, "user_id string, n long")
+    assert sorted((r.user_id, r.n) for r in got.collect()) == [("a/b=c%", 1), ("é", 2)]
+    none = os.path.join(tmpdir_path, "none")
+    assert sinks.write_user_partitions(spark, a.where("user_id < 0"), none) == 0
+    assert files.read_user_partitions(spark, none, "user_id long, name string").count() == 0
+
+
+def written(df, folder):
+    path = os.path.join(folder, "written")
+    df.write.parquet(path)
+    return path
+
+
 def _statuses_small(spark):
     return derived.nested_statuses(spark, SF_SMALL)
 
