@@ -411,6 +411,28 @@ def test_stream_sees_assets_that_land_between_its_starts(spark, tmpdir_path):
     listing.drop()
 
 
+def test_a_batch_asks_the_listing_without_sorting_it(spark, tmpdir_path):
+    listing = AssetListing(spark, os.path.join(tmpdir_path, "listing"), 4)
+    landed = spark.range(1000).select(F.concat(F.lit("u"), "id").alias("media_url"))
+    listing.add(landed, "media_url", F.lit(None))
+    listing.add(landed.union(spark.createDataFrame([("more",)], "media_url string")), "media_url", F.lit(None))
+    asked = spark.createDataFrame([("u1",), ("u1",), ("u2",), ("more",), ("none",), (None,)], "media_url string")
+    found = listing.media(asked)
+    assert sorted(r.media_url for r in found.collect()) == ["more", "u1", "u2"]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "LeftSemi" in plan and "SortMergeJoin" not in plan
+    listing.drop()
+
+
+def test_landed_waves_of_a_redelivery(spark):
+    """The later wave has the statuses of both halves, each once."""
+    from trendloom.plans.q_io import _landed_halves
+    ids = lambda path: sorted(r.id_str for r in files.read_statuses(spark, path).collect())
+    want = sorted(r.id_str for r in _statuses_small(spark).collect())
+    first, again = _landed_halves(spark, SF_SMALL, again=True)
+    assert ids(again) == want and 0 < len(ids(first)) < len(want)
+
+
 def test_redelivered_statuses_are_left_out(spark, tmpdir_path):
     """Within a batch, between batches and after a restart; broken lines are known by
     their text, and records without an id are kept as they are told apart by what they say."""
