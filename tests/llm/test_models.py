@@ -64,6 +64,81 @@ def test_lm_weights_learn_within_a_short_document(spark):
     assert abs((got[1003] - got[1002]) - (got[1002] - got[1001])) > 1e-3
 
 
+def test_lm_score_sees_the_word_before(spark):
+    """Words in the order of the training texts cost less than the same words in another, also in a text of fewer than
+    32 words, all of which are scored by the same weights."""
+    import random
+    names = [f"w{chr(97 + i)}{chr(97 + 7 * i % 26)}" for i in range(24)]
+    held = [i for i in range(2000, 2400) if crc(i, 10) == 0][:2]
+    texts = []
+    for i in range(300):  # each word is followed by one of two
+        at, words = i % 24, []
+        for k in range(20):
+            words.append(names[at])
+            at = (at * 5 + 1 + (i + k) % 2) % 24
+        texts.append((i, " ".join(words)))
+    words = texts[5][1].split()
+    mixed = random.Random(1).sample(words, len(words))
+    docs = spark.createDataFrame([*texts, (held[0], " ".join(words)), (held[1], " ".join(mixed))], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in context_mixing.score(docs).where("doc_id >= 2000").collect()}
+    assert all(got[i]["held_out"] for i in held)
+    assert got[held[0]]["score"] > got[held[1]]["score"] + 5
+
+
+def test_words_before_against_plain_counts(spark, monkeypatch):
+    monkeypatch.setattr(context_mixing, "FEW_BEFORE", 2)  # most words' rows are dealt
+    texts = [*edge_rows(), *[(i, prose(i, 40)) for i in range(30)], (3, "café noir"), (3, "a a a a")]
+    want = Counter()
+    for i, t in texts:
+        raw = (t or "").encode().lower()
+        words = [*context_mixing.WORD.findall(raw), b""]
+        if crc(i, 10):
+            want.update((context_mixing.text_class(raw), w.decode(), zlib.crc32(b)) for b, w in zip([b"", *words], words))
+    got = Counter()
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for r in context_mixing.word_pairs(docs, "doc_id", "text").collect():
+        for b, n in zip(*(np.frombuffer(bytes(r[c]), np.uint32).tolist() for c in ("before", "uses")), strict=True):
+            got[r["class"], r["word"], b] += n
+    assert got == want
+
+
+def test_pair_slots_against_plain_sums(spark):
+    """The slots of the pairs hold the zeros and ones after each word before, and each Newton step
+    is that of a plain sum over all decisions of all pairs."""
+    texts = [(i, prose(i, 12)) for i in range(1, 12) if crc(i, 10)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    m, sent = context_mixing, {}
+    fit = m.first_weights
+
+    def kept(pairs, codes, table, pair_table, totals, steps=1):
+        sent.update(pairs=pairs.collect(), codes=codes, table=table, pair_table=pair_table, totals=totals)
+        return fit(pairs, codes, table, pair_table, totals, 1)
+
+    m.first_weights = kept
+    try:
+        weights = m.train(docs)[0].weights
+    finally:
+        m.first_weights = fit
+    want, g, h = np.zeros((2, 1 << m.PAIR_BITS)), np.zeros((m.GATES, m.K)), np.zeros((m.GATES, m.K, m.K))
+    for r in sent["pairs"]:
+        c = m.coded(m._symbols([r["word"]]), np.array([r["class"]]), sent["codes"])
+        prefix = m.prefix_counts(np.array(r["path"]), np.array([len(r["path"])]), np.array([r["class"]]), c, sent["totals"])
+        for b, n in zip(*(np.frombuffer(bytes(r[k]), np.uint32).tolist() for k in ("before", "uses")), strict=True):
+            slot = m.pair_slots(c.deep, np.full(len(c.deep), b, np.uint32))
+            for d, bit in enumerate(c.bits.tolist()):
+                want[bit, slot[d]] += n
+                counts = [[*sent["table"][v][c.slots[:, d]], prefix[v][d], sent["pair_table"][v][slot[d]]] for v in (0, 1)]
+                counts = np.maximum(np.array(counts) - np.array([[bit == 0], [bit == 1]]), 0)
+                x = np.log((counts[1] + m.PRIOR) / (counts[0] + m.PRIOR))
+                i = m.gates(c.place[d], counts[:, -2].sum())
+                p = 1 / (1 + np.exp(-x.sum() / m.K))
+                g[i] += n * (p - bit) * x
+                h[i] += n * p * (1 - p) * np.outer(x, x)
+    assert (want == sent["pair_table"]).all()
+    step = np.linalg.solve(h + m.RIDGE * np.eye(m.K), g[..., None])[..., 0]
+    assert np.allclose(weights, 1 / m.K - np.clip(step, -1, 1), atol=1e-3)
+
+
 def test_lm_score_is_above_the_base_on_held_out_text(spark):
     got = context_mixing.score(read(spark, SF_LABELS, "documents")).where("held_out").agg(
         {"score": "sum", "base_score": "sum"}).first().asDict()
